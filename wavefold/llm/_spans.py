@@ -11,10 +11,12 @@ of a text owns the windows that chose it, and these cover one span. So
 
 About one symbol in (window - gram) / 2 becomes a row. Grouping is by the
 anchor's hash and always by sums or minima; where more than ``wide`` different
-spans share an anchor, their windows become rows that are counted instead of
-meeting in one task. Keys are 128 bits of hash (anchor and span, or anchor,
-distance and window), so that unequal text counts as equal with a probability
-of about 2**-128 a pair.
+spans share an anchor, they are cut into blocks of windows at equal distances
+from the anchor, and what all windows of a block have in common takes the
+anchor's place: a much longer text, which fewer spans share. This goes on down
+to single windows, so no group is compared in one task unless it is small. Keys
+are 128 bits of hash (anchor and span), so that unequal text counts as equal
+with a probability of about 2**-128 a pair.
 """
 
 from __future__ import annotations
@@ -86,37 +88,45 @@ def summary(found: DataFrame) -> DataFrame:
     return found.groupBy("ah").agg(F.count("*").alias("n"), F.min("sh").alias("s1"), F.max("sh").alias("s2"))
 
 
-def _contents(batches: Iterator[pa.RecordBatch], unit: str, window: int) -> Iterator[pa.RecordBatch]:
-    """Symbols of the listed spans of each row."""
-    size = 1 if unit == "byte" else 8
+def _binary(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> pa.Array:
+    """symbols[start : start + length] for every row, as a binary column."""
+    at, _ = expand(start, length)
+    stops = np.r_[0, np.cumsum(length)] * size
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(symbols[at]).view(np.uint8))])
+
+
+def _contents(batches: Iterator[pa.RecordBatch], unit: str, window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Symbols of the listed spans of each row, and the anchor's place in them (lead)."""
     for batch in batches:
         raw, offsets = buffers(batch.column("text"))
         lists = batch.column("spans")
         flat, ends = lists.flatten(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
-        lo, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "nw"))
+        lo, n, ah = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "nw", "ah"))
         for i, j in chunks(offsets):
             symbols, first = _symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit)
-            mine = slice(ends[i], ends[j])
+            g = grams(prefix(symbols), gram).view(np.int64)
             row = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
-            start, length = first[row] + lo[mine], n[mine] - 1 + window
-            at, _ = expand(start, length)
-            data = symbols[at]
-            stops = np.r_[0, np.cumsum(length)] * size
-            for a in range(0, len(row), 4096):  # offsets of binary() are 32 bits
-                b = min(a + 4096, len(row))
-                part = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((stops[a : b + 1] - stops[a]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8)[stops[a] : stops[b]])])
-                rest = flat.slice(ends[i] + a, b - a)
-                yield pa.RecordBatch.from_arrays([rest.field("ah"), rest.field("sh"), rest.field("m"), rest.field("nw"), part], names=["ah", "sh", "m", "nw", "symbols"])
-
-
-def _windows(table: pa.Table | pa.RecordBatch, unit: str, window: int):
-    """Hash of every window of the rows' spans; the row of each, and its place there."""
+            for a in range(ends[i], ends[j], 4096):  # offsets of binary() are 32 bits
+                b = min(a + 4096, ends[j])
+                start = first[row[a - ends[i] : b - ends[i]]] + lo[a:b]
+                # The anchor is the first run with its hash that the last owned window has.
+                at, owner = expand(start + n[a:b] - 1, window - gram + 2 - n[a:b])
+                same = np.flatnonzero(g[at] == ah[a:b][owner])
+                _, one = np.unique(owner[same], return_index=True)
+                lead = at[same[one]] - start
+                rest = flat.slice(a, b - a)
+                cols = [rest.field("ah"), rest.field("sh"), rest.field("ah"), rest.field("sh"), rest.field("m"), rest.field("nw"), pa.array(np.zeros(b - a, np.int32)), pa.array(lead.astype(np.int32)), _binary(symbols, start, n[a:b] - 1 + window, 1 if unit == "byte" else 8)]
+                yield pa.RecordBatch.from_arrays(cols, names=CONTENT)
+
+
+#: A span or a part of one: of whom (span, of its anchor), its own anchor and hash, spans of its anchor, windows, place of the first in the span, anchor's distance from it.
+CONTENT = ["of_ah", "of_sh", "ah", "sh", "m", "nw", "i0", "lead", "symbols"]
+CONTENT_SHAPE = "of_ah long, of_sh long, ah long, sh long, m int, nw short, i0 int, lead int, symbols binary"
+
+
+def _read(table: pa.Table | pa.RecordBatch, unit: str) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = buffers(table.column("symbols"))
-    symbols = raw if unit == "byte" else np.frombuffer(raw.tobytes(), U)
-    first = offsets // (1 if unit == "byte" else 8)
-    n = np.diff(first) - window + 1
-    start, row = expand(first[:-1], n)
-    return runs(prefix(symbols), start, start + window), row, start - first[row]
+    return (raw, offsets) if unit == "byte" else (np.frombuffer(raw.tobytes(), U), offsets // 8)
 
 
 def _ranges(repeated: np.ndarray, row: np.ndarray, place: np.ndarray, rows: int) -> pa.Array:
@@ -138,13 +148,16 @@ def _compare(batches: Iterator[pa.RecordBatch], unit: str, window: int) -> Itera
 
     def told(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        h, row, place = _windows(table, unit, window)
+        symbols, first = _read(table, unit)
+        start, row = expand(first[:-1], np.diff(first) - window + 1)
+        h = runs(prefix(symbols), start, start + window)
         ah = table.column("ah").to_numpy()[row]
         order = np.lexsort((h, ah))
         same = np.flatnonzero((h[order][1:] == h[order][:-1]) & (ah[order][1:] == ah[order][:-1]))
         repeated = np.zeros(len(h), bool)
         repeated[order[same]] = repeated[order[same + 1]] = True
-        return pa.RecordBatch.from_arrays([_flat(table.column("ah")), _flat(table.column("sh")), _ranges(repeated, row, place, table.num_rows)], names=["ah", "sh", "ranges"])
+        place = start - first[row] + table.column("i0").to_numpy()[row]
+        return pa.RecordBatch.from_arrays([_flat(table.column("of_ah")), _flat(table.column("of_sh")), _ranges(repeated, row, place, table.num_rows)], names=["of_ah", "of_sh", "ranges"])
 
     held: list[pa.Table] = []
     size = 0
@@ -165,16 +178,29 @@ def _compare(batches: Iterator[pa.RecordBatch], unit: str, window: int) -> Itera
         yield told(pa.concat_tables(held))
 
 
-def _listed(batches: Iterator[pa.RecordBatch], unit: str, window: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 2048):
-            part = batch.slice(a, 2048)
-            h, row, place = _windows(part, unit, window)
+def _divide(batches: Iterator[pa.RecordBatch], unit: str, window: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Spans cut into blocks of windows by their distance from the anchor; a block's anchor is what its windows have in common."""
+    size = 1 if unit == "byte" else 8
+    for whole in batches:
+        for a in range(0, whole.num_rows, 4096):
+            batch = whole.slice(a, 4096)
+            symbols, first = _read(batch, unit)
+            p = prefix(symbols)
+            lead, n = batch.column("lead").to_numpy().astype(np.int64), batch.column("nw").to_numpy().astype(np.int64)
+            low, high = (lead - n + 1) // block, lead // block
+            b, row = expand(low, high - low + 1)
+            i = np.maximum(0, lead[row] - (b + 1) * block + 1)  # first and last window of the block that the span has
+            j = np.minimum(n[row] - 1, lead[row] - b * block)
+            base = first[row]
+            core = runs(p, base + lead[row] - b * block, base + lead[row] - (b + 1) * block + 1 + window)
+            ah = mix(core ^ mix(batch.column("ah").to_numpy().view(U)[row] + b.astype(U) * U(0x9E3779B97F4A7C15)))
+            sh = mix(runs(p, base + i, base + j + window) ^ mix((lead[row] - i).astype(U) * U(0x9E3779B97F4A7C15) + (j - i).astype(U)))
             of = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column("ah").take(of), part.column("sh").take(of), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], names=["ah", "sh", "place", "wh"])
+            cols = [batch.column("of_ah").take(of), batch.column("of_sh").take(of), pa.array(ah.view(np.int64)), pa.array(sh.view(np.int64)), pa.array((j - i + 1).astype(np.int16)), pa.array((batch.column("i0").to_numpy()[row] + i).astype(np.int32)), pa.array((lead[row] - i).astype(np.int32)), _binary(symbols, base + i, j - i + window, size)]
+            yield pa.RecordBatch.from_arrays(cols, names=[c for c in CONTENT if c != "m"])
 
 
-def repeats(docs: DataFrame, found: DataFrame, known: DataFrame, unit: str, window: int, wide: int = 128) -> DataFrame:
+def repeats(docs: DataFrame, found: DataFrame, known: DataFrame, unit: str, window: int, gram: int, wide: int = 128) -> DataFrame:
     """(k1, k2, runs array<struct<s, e>>): symbols [s, e) of repeated windows, for rows that have any.
 
     docs: keyed(); found: anchors() of docs; known: summary() of found, kept to
@@ -186,13 +212,31 @@ def repeats(docs: DataFrame, found: DataFrame, known: DataFrame, unit: str, wind
     sizes = _store.save(spans.groupBy("ah").agg(F.count("*").cast("int").alias("m")), "sizes")
     wanted = spans.join(sizes, "ah").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("ah", "sh", "m", "at.lo", "at.nw")).alias("spans"))
     content = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "spans")
-    content = _store.save(content.mapInArrow(functools.partial(_contents, unit=unit, window=window), "ah long, sh long, m int, nw short, symbols binary"), "content")
-    near = content.filter(F.col("m") <= wide).select("ah", "sh", "symbols").repartition("ah").sortWithinPartitions("ah")
-    near = near.mapInArrow(functools.partial(_compare, unit=unit, window=window), "ah long, sh long, ranges array<struct<a:int,b:int>>").select("ah", "sh", F.explode("ranges").alias("r")).select("ah", "sh", "r.a", "r.b")
-    listed = content.filter(F.col("m") > wide).mapInArrow(functools.partial(_listed, unit=unit, window=window), "ah long, sh long, place int, wh long")
-    often = listed.groupBy("ah", "wh").agg(F.count("*").alias("n"), F.min("sh").alias("sh"), F.min("place").alias("place")).filter("n > 1").select("ah", "wh")
-    far = listed.join(often, ["ah", "wh"]).select("ah", "sh", F.col("place").alias("a"), (F.col("place") + 1).alias("b"))
-    part = near.union(far).join(spans.filter("c = 1"), ["ah", "sh"]).select("at.k1", "at.k2", (F.col("at.lo") + F.col("a")).alias("s"), (F.col("at.lo") + F.col("b") + (window - 1)).alias("e"))
+    content = _store.save(content.mapInArrow(functools.partial(_contents, unit=unit, window=window, gram=gram), CONTENT_SHAPE), "content")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        near = rows.filter(F.col("m") <= wide).select("of_ah", "of_sh", "ah", "i0", "symbols").repartition("ah").sortWithinPartitions("ah")
+        near = near.mapInArrow(functools.partial(_compare, unit=unit, window=window), "of_ah long, of_sh long, ranges array<struct<a:int,b:int>>")
+        return near.select("of_ah", "of_sh", F.explode("ranges").alias("r")).select("of_ah", "of_sh", "r.a", "r.b")
+
+    ranges, block = compared(content), window - gram + 1
+    hot = content.filter(F.col("m") > wide)
+    while block > 1 and not hot.isEmpty():
+        block = -(-block // 4)
+        rest = [c for c in CONTENT if c != "m"]
+        parts = hot.select(*rest).mapInArrow(functools.partial(_divide, unit=unit, window=window, block=block), ", ".join(x for x in CONTENT_SHAPE.split(", ") if not x.startswith("m ")))
+        parts = _store.save(parts, "parts")
+        shared = _store.save(parts.groupBy("ah").agg(F.count("*").alias("n"), F.min("sh").alias("s1"), F.max("sh").alias("s2")).filter("n > 1"), "shared")
+        parts = _store.save(parts.join(shared, "ah").select(*rest, (F.col("s1") != F.col("s2")).alias("mixed")), "parts")
+        equal = _store.save(parts.filter("mixed").groupBy("ah", "sh").agg(F.count("*").alias("c"), F.max(F.struct(*rest)).alias("one")), "equal")
+        sizes = _store.save(equal.groupBy("ah").agg(F.count("*").cast("int").alias("m")), "sizes")
+        again = parts.filter("mixed").select("of_ah", "of_sh", "ah", "sh", "i0", "nw").join(equal.filter("c > 1").select("ah", "sh"), ["ah", "sh"])
+        sure = parts.filter("not mixed").select("of_ah", "of_sh", "i0", "nw").union(again.select("of_ah", "of_sh", "i0", "nw"))
+        content = _store.save(equal.select("one.*").join(sizes, "ah").select(*CONTENT), "content")
+        ranges = ranges.union(sure.select("of_ah", "of_sh", F.col("i0").alias("a"), (F.col("i0") + F.col("nw")).alias("b"))).union(compared(content))
+        hot = content.filter(F.col("m") > wide)
+    ranges = ranges.select(F.col("of_ah").alias("ah"), F.col("of_sh").alias("sh"), "a", "b")
+    part = ranges.join(spans.filter("c = 1"), ["ah", "sh"]).select("at.k1", "at.k2", (F.col("at.lo") + F.col("a")).alias("s"), (F.col("at.lo") + F.col("b") + (window - 1)).alias("e"))
     end = F.col("lo") + F.col("nw") + (window - 1)
     whole = hits.filter("not mixed").select("k1", "k2", F.col("lo").alias("s"), end.alias("e"))
     again = hits.filter("mixed").join(spans.filter("c > 1").select("ah", "sh"), ["ah", "sh"]).select("k1", "k2", F.col("lo").alias("s"), end.alias("e"))

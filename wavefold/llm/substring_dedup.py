@@ -33,7 +33,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wid
     docs = _spans.keyed(docs)
     found = _spans.anchors(docs, "word", window, gram)
     blocks = _store.save(_spans.summary(found).filter("n > 1"), "blocks")
-    return _spans.cut(docs, _spans.repeats(docs, found, blocks, "word", window, wide), "word", keep_text).withColumnRenamed("n_symbols", "n_words")
+    return _spans.cut(docs, _spans.repeats(docs, found, blocks, "word", window, gram, wide), "word", keep_text).withColumnRenamed("n_symbols", "n_words")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

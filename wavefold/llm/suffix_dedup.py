@@ -97,7 +97,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batche
         family.insert(_spans.anchors(docs.filter(F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)) == k), "byte", window, gram))
     known = _store.save(family.matches(), "matches")
     family.close()
-    return _spans.cut(docs, _spans.repeats(docs, found, known, "byte", window, wide), "byte", keep_text).withColumnRenamed("n_symbols", "n_bytes")
+    return _spans.cut(docs, _spans.repeats(docs, found, known, "byte", window, gram, wide), "byte", keep_text).withColumnRenamed("n_symbols", "n_bytes")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
