@@ -106,8 +106,8 @@ def _contents(batches: Iterator[pa.RecordBatch], unit: str, window: int, gram: i
             symbols, first = _symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit)
             g = grams(prefix(symbols), gram).view(np.int64)
             row = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
-            for a in range(ends[i], ends[j], 4096):  # offsets of binary() are 32 bits
-                b = min(a + 4096, ends[j])
+            for a in range(ends[i], ends[j], 1024):  # offsets of binary() are 32 bits
+                b = min(a + 1024, ends[j])
                 start = first[row[a - ends[i] : b - ends[i]]] + lo[a:b]
                 # The anchor is the first run with its hash that the last owned window has.
                 at, owner = expand(start + n[a:b] - 1, window - gram + 2 - n[a:b])
@@ -161,12 +161,10 @@ def _compare(batches: Iterator[pa.RecordBatch], unit: str, window: int) -> Itera
 
     held: list[pa.Table] = []
     size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(a, 1024) for b in batches for a in range(0, b.num_rows, 1024)):
         held.append(pa.Table.from_batches([batch]))
         size += batch.nbytes
-        if size > 4 * CHUNK:
+        if size > CHUNK:
             table = pa.concat_tables(held)
             ah = table.column("ah").to_numpy()
             cut = int(np.searchsorted(ah, ah[-1], "left"))  # the last group may go on
@@ -182,8 +180,8 @@ def _divide(batches: Iterator[pa.RecordBatch], unit: str, window: int, block: in
     """Spans cut into blocks of windows by their distance from the anchor; a block's anchor is what its windows have in common."""
     size = 1 if unit == "byte" else 8
     for whole in batches:
-        for a in range(0, whole.num_rows, 4096):
-            batch = whole.slice(a, 4096)
+        for a in range(0, whole.num_rows, 1024):
+            batch = whole.slice(a, 1024)
             symbols, first = _read(batch, unit)
             p = prefix(symbols)
             lead, n = batch.column("lead").to_numpy().astype(np.int64), batch.column("nw").to_numpy().astype(np.int64)
@@ -268,7 +266,7 @@ def _gone(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _cut(batches: Iterator[pa.RecordBatch], unit: str, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw_all, offsets = buffers(batch.column("text"))
-        for i, j in chunks(offsets, 4 * CHUNK):
+        for i, j in chunks(offsets):
             raw, o = raw_all[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if unit == "byte":
                 first = o

@@ -1,7 +1,7 @@
 """Vectorised hashing of texts held in Arrow string columns.
 
 All kernels work on the UTF-8 buffer of a whole record batch, cut into chunks
-of a few MB, so that no Python object is made for a document or a word.
+of half a MB, so that no Python object is made for a document or a word.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 U = np.uint64
 _R = 0x9E3779B97F4A7C15
 _RI = pow(_R, -1, 1 << 64)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
