@@ -132,7 +132,7 @@ GARCH_STARTS = ((0.05, 0.90), (0.10, 0.80), (0.15, 0.70), (0.08, 0.88), (0.20, 0
 
 
 def garch_fit(x) -> dict:
-    """GARCH(1, 1) of a demeaned series by Gaussian likelihood, the best of several starts; constant variance where that fails."""
+    """GARCH(1, 1) of a demeaned series by Gaussian likelihood, from the two best of several starts; constant variance where that fails."""
     x = np.asarray(x, float)
     r = x - x.mean() if len(x) else x
     var = float(r.var()) if len(r) else 0.0
@@ -151,7 +151,8 @@ def garch_fit(x) -> dict:
         return float(0.5 * np.sum(np.log(s) + z * z / s))
 
     logit = lambda q: math.log(q / (1 - q))
-    best = min((nelder_mead(loss, (math.log(1 - a - b), logit((a + b) / 0.9999), logit(a / (a + b))), 300) for a, b in GARCH_STARTS), key=lambda t: t[1])
+    starts = sorted(((math.log(1 - a - b), logit((a + b) / 0.9999), logit(a / (a + b))) for a, b in GARCH_STARTS), key=lambda p: loss(np.array(p)))
+    best = min((nelder_mead(loss, p, 200, tol=1e-7) for p in starts[:2]), key=lambda t: t[1])
     omega, alpha, beta = split(best[0])
     persistence = alpha + beta
     vol = np.sqrt(garch_variance(z, omega, alpha, beta, omega / max(1 - persistence, 1e-6))) * scale

@@ -138,3 +138,8 @@ def histogram_distance(a: DataFrame, b: DataFrame, key: list[str], value: str, b
 
     gap = F.abs(share("_ca") - share("_cb"))
     return grid.withColumn("_gap", gap).withColumn("_w", width).groupBy(*key).agg((F.sum("_gap") * F.first("_w")).alias("_emd"), F.sum("_cb").alias("_in")).select(*key, F.when(F.col("_in") > 0, F.col("_emd")).alias("emd"))
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """df dealt out by key over all shuffle partitions, for kernels whose cost its bytes don't show (small partitions would be merged)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)

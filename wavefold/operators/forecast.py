@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import adf, arma_fit, arma_forecast, find_peaks, hmm_fit, ridge_ar, viterbi
-from ..functions.series import KEY
+from ..functions.series import KEY, spread
 
 #: (p, d, q) that predict_arima tries beside d from the unit-root test.
 ORDERS = ((1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2), (2, 2), (3, 0), (0, 3), (3, 1), (1, 3), (3, 2), (2, 3))
@@ -104,7 +104,7 @@ def forecasts(rows: DataFrame, key: list[str], order: str, value: str, h: int =
             out.insert(0, k, v)
         return out
 
-    return rows.select(*key, order, value).groupBy(*key).applyInPandas(run, ", ".join(f"{k} {names[k]}" for k in key) + ", " + PREDICTED)
+    return spread(rows.select(*key, order, value), *key).groupBy(*key).applyInPandas(run, ", ".join(f"{k} {names[k]}" for k in key) + ", " + PREDICTED)
 
 
 def naive(samples: DataFrame, h: int, key: str = KEY, order: str = "i", value: str = "y") -> DataFrame:
@@ -159,7 +159,7 @@ def arima_structure(rows: DataFrame, key: list[str], order: str, value: str, max
         return pd.DataFrame([out])
 
     shape = ", ".join(f"{k} {names[k]}" for k in key) + ", p bigint, d bigint, q bigint, stationary boolean, aic double, white boolean, period bigint"
-    found = rows.select(*key, order, value).groupBy(*key).applyInPandas(run, shape)
+    found = spread(rows.select(*key, order, value), *key).groupBy(*key).applyInPandas(run, shape)
     return found.withColumn("kind", F.when(F.col("p").isNull(), "too short").otherwise(arima_kind(F.col("p"), F.col("d"), F.col("q"))))
 
 
@@ -188,7 +188,7 @@ def hmm_states(layer: DataFrame, names: tuple, states: int = 3, seed: int = 42,
         flat = m["trans"][np.ix_(by, by)].ravel().tolist()
         return pd.DataFrame({KEY: ids[0], order: df[order], "state": new[m["states"]], "n_states": k, "transitions": [flat] * n})
 
-    return layer.select(KEY, order, *names).groupBy(KEY).applyInPandas(run, f"{KEY} string, {order} bigint, state bigint, n_states bigint, transitions array<double>")
+    return spread(layer.select(KEY, order, *names), KEY).groupBy(KEY).applyInPandas(run, f"{KEY} string, {order} bigint, state bigint, n_states bigint, transitions array<double>")
 
 
 def state_profile(states: DataFrame, layer: DataFrame, names: tuple, order: str = "w", state: str = "state") -> DataFrame:
@@ -231,7 +231,7 @@ def lookback_insights(rows: DataFrame, key: list[str], order: str, value: str, l
         return pd.DataFrame(out, columns=[*key, "lookback", "loss", "optimal"])
 
     shape = ", ".join(f"{k} {names[k]}" for k in key) + ", lookback bigint, loss double, optimal bigint"
-    found = rows.select(*key, order, value).groupBy(*key).applyInPandas(run, shape)
+    found = spread(rows.select(*key, order, value), *key).groupBy(*key).applyInPandas(run, shape)
     seconds = F.col("optimal") * hop
     return found.withColumn("decay", F.exp(-1 / F.col("optimal"))).withColumn("regime", F.when(seconds < 1, "short").when(seconds < 3, "medium").otherwise("long"))
 
@@ -253,7 +253,7 @@ def lag_profile(rows: DataFrame, key: list[str], order: str, value: str, cap: in
                 out.append((*ids, int(p)))
         return pd.DataFrame(out, columns=[*key, "lag"])
 
-    found = rows.select(*key, order, value).groupBy(*key).applyInPandas(run, ", ".join(f"{k} {names[k]}" for k in key) + ", lag bigint")
+    found = spread(rows.select(*key, order, value), *key).groupBy(*key).applyInPandas(run, ", ".join(f"{k} {names[k]}" for k in key) + ", lag bigint")
     bucket = F.when(F.col("lag") < 5, "short").when(F.col("lag") < 16, "medium").otherwise("long")
     table = F.create_map(*(F.lit(v) for kv in CONCENTRATION.items() for v in kv))
     return found.groupBy(*key, bucket.alias("bucket")).agg(F.median("lag").cast("bigint").alias("lag")).withColumn("concentration", table[F.col("bucket")])

@@ -25,21 +25,28 @@ def _by_length(rows: pd.Series, f) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("array<double>")
-def magnitudes(ys: pd.Series) -> pd.Series:
+def _arrays(f):
+    """A function on stacked frames as a function on an array column."""
+
+    @F.pandas_udf("array<double>")
+    def run(ys: pd.Series) -> pd.Series:
+        return _by_length(ys, f)
+
+    return run
+
+
+def magnitudes(ys: str) -> Column:
     """abs(rfft) / n of each frame, the Nyquist bin included."""
-    return _by_length(ys, lambda y: np.abs(np.fft.rfft(y, axis=1)) / y.shape[1])
+    return _arrays(lambda y: np.abs(np.fft.rfft(y, axis=1)) / y.shape[1])(ys)
 
 
-@F.pandas_udf("array<double>")
-def spectrum_half(ys: pd.Series) -> pd.Series:
+def spectrum_half(ys: str) -> Column:
     """abs(fft) / n of bins 0 .. n // 2 - 1, without the Nyquist bin."""
-    return _by_length(ys, lambda y: np.abs(np.fft.fft(y, axis=1))[:, : y.shape[1] // 2] / y.shape[1])
+    return _arrays(lambda y: np.abs(np.fft.fft(y, axis=1))[:, : y.shape[1] // 2] / y.shape[1])(ys)
 
 
-@F.pandas_udf("array<double>")
-def phases(ys: pd.Series) -> pd.Series:
-    return _by_length(ys, lambda y: np.angle(np.fft.fft(y, axis=1))[:, : y.shape[1] // 2])
+def phases(ys: str) -> Column:
+    return _arrays(lambda y: np.angle(np.fft.fft(y, axis=1))[:, : y.shape[1] // 2])(ys)
 
 
 def total(a: Column) -> Column:

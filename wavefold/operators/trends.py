@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series as X
 from ..functions.kernels import find_peaks
-from ..functions.series import KEY
+from ..functions.series import KEY, spread
 from ..schemas import TRENDS
 from .framing import frames
 from .spectral import descriptors, magnitudes
@@ -92,7 +92,7 @@ def peaks(rows: DataFrame, key: list[str], order: str, value: str, **options) ->
         out = df.iloc[at][[*key, order, value]]
         return out.rename(columns={order: "p"})
 
-    return rows.select(*key, order, value).groupBy(*key).applyInPandas(run, shape)
+    return spread(rows.select(*key, order, value), *key).groupBy(*key).applyInPandas(run, shape)
 
 
 def direction(slope: Column, sd: Column, n: Column) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series as X
 from ..functions.kernels import garch_fit, garch_variance
-from ..functions.series import KEY
+from ..functions.series import KEY, spread
 from .trends import global_similarity, series_similarity
 
 WEIGHTS = {"energy": 0.35, "brightness": 0.20, "complexity": 0.15, "rhythm": 0.30}
@@ -29,16 +29,21 @@ def rolling_volatility(rows: DataFrame, value: str = "y", window: int = 10, key:
 
 
 def volatility_layer(series: DataFrame, window: int = 10, order: str = "w", value: str = "x") -> DataFrame:
-    """(signal_id, trend, w, vol, vol_norm) of long trend rows; the window is at most a third of the series, and at least 2."""
+    """(signal_id, trend, w, vol, vol_norm) of long trend rows; the window is at most a third of the series, and at least 2.
+
+    The width differs between series, so every row is handed to the at most
+    ``window`` frames that hold it, as one grouped deviation.
+    """
     key = [KEY, "trend"]
-    n = series.groupBy(*key).agg(F.least(F.lit(window), F.greatest(F.lit(2), F.floor(F.count("*") / 3))).cast("int").alias("_win"))
-    sized = series.join(n, key)
-    # The frame's width must be a literal: one pass for each of the few widths, every row in one of them.
-    out = None
-    for width in range(2, window + 1):
-        part = rolling_volatility(sized.filter(F.col("_win") == width), value, width, key, order)
-        out = part if out is None else out.union(part)
-    return X.zscore(out.select(*key, order, "vol"), "vol", "vol_norm", key)
+    n = series.groupBy(*key).agg(F.count("*").alias("_n"))
+    sized = series.join(n, key).withColumn("_win", F.least(F.lit(window), F.greatest(F.lit(2), F.floor(F.col("_n") / 3))))
+    w, last = F.col(order), F.col("_n") - 1
+    first = F.when(w < F.col("_win") - 1, F.greatest(w - 1, F.lit(0))).otherwise(w)
+    # A row is in the frames of the win - 1 rows that follow it, and of the one before it while that is in the warm-up.
+    early = F.filter(F.sequence(F.greatest(w - 1, F.lit(0)), F.least(F.greatest(F.col("_win") - 2, w), last)), lambda t: (t < F.col("_win") - 1) & (t >= w - 1))
+    late = F.filter(F.sequence(first, F.least(w + F.col("_win") - 1, last)), lambda t: (t >= F.col("_win") - 1) & (t >= w))
+    frames = sized.select(*key, F.col(value).alias("_x"), F.explode(F.array_union(early, late)).alias(order))
+    return X.zscore(frames.groupBy(*key, order).agg(F.stddev_pop("_x").alias("vol")), "vol", "vol_norm", key)
 
 
 def summarise(layer: DataFrame, key: list[str]) -> DataFrame:
@@ -59,7 +64,7 @@ def garch(rows: DataFrame, value: str = "y", key: list[str] | None = None, order
         fit["backend"] = "likelihood" if fit["converged"] else "constant"
         return pd.DataFrame([dict(zip(key, ids)) | fit])[[*key, *(c.split()[0] for c in GARCH_SHAPE.split(", "))]]
 
-    return rows.select(*key, order, value).groupBy(*key).applyInPandas(run, ", ".join(f"{k} {names[k]}" for k in key) + ", " + GARCH_SHAPE)
+    return spread(rows.select(*key, order, value), *key).groupBy(*key).applyInPandas(run, ", ".join(f"{k} {names[k]}" for k in key) + ", " + GARCH_SHAPE)
 
 
 def garch_recursion(rows: DataFrame, omega: float, alpha: float, beta: float, value: str = "y", order: str = "i") -> DataFrame:
