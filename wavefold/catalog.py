@@ -1,4 +1,6 @@
 """All registered queries and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import core, structure
+
+QUERIES = {**core.QUERIES, **structure.QUERIES}
+ORACLES = {**core.ORACLES, **structure.ORACLES}

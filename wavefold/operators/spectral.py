@@ -93,10 +93,11 @@ def fft(samples: DataFrame, sr: float = 1.0, with_phase: bool = False) -> DataFr
 
 
 def dominant(samples: DataFrame, sr: float = 1.0) -> DataFrame:
-    """(signal_id, freq, period, period_samples): the strongest bin but bin 0."""
-    top = fft(samples, sr).filter("bin > 0").groupBy(KEY).agg(F.max_by("freq", F.struct("mag", -F.col("bin"))).alias("freq"))
-    period = F.try_divide(F.lit(1.0), F.col("freq"))
-    return top.withColumn("period", period).withColumn("period_samples", F.coalesce(F.floor(F.col("period") * sr), F.lit(-1).cast("bigint")))
+    """(signal_id, freq, period, period_samples): the strongest bin but bin 0; whole samples are counted from the bin, free of rounding."""
+    n = samples.groupBy(KEY).agg(F.count("*").alias("n"))
+    top = fft(samples, sr).filter("bin > 0").groupBy(KEY).agg(F.max_by("bin", F.struct("mag", -F.col("bin"))).alias("bin")).join(n, KEY)
+    freq = F.col("bin") * sr / F.col("n")
+    return top.select(KEY, freq.alias("freq"), (1 / freq).alias("period"), F.floor(F.col("n") / F.col("bin")).alias("period_samples"))
 
 
 def flatness_global(samples: DataFrame) -> DataFrame:

@@ -127,37 +127,56 @@ def all_pairs(df: DataFrame, limit_to: Column | None = None) -> DataFrame:
     return out.filter(limit_to) if limit_to is not None else out
 
 
-def aligned(series: DataFrame, pair: DataFrame, value: str, order: str) -> DataFrame:
-    """(a_id, b_id, k, a, b): both series of a pair interpolated to a common length of 50 to 300."""
-    n = series.groupBy(KEY).agg(F.count("*").alias("n"))
-    sized = pair.join(n.select(F.col(KEY).alias("a_id"), F.col("n").alias("na")), "a_id").join(n.select(F.col(KEY).alias("b_id"), F.col("n").alias("nb")), "b_id")
+def aligned(series: DataFrame, pair: DataFrame) -> DataFrame:
+    """(a_id, b_id, trend, k, a, b): both series (signal_id, trend, w, x) of a pair interpolated to a common length of 50 to 300."""
+    key = ["a_id", "b_id", "trend"]
+    n = series.groupBy(KEY, "trend").agg(F.count("*").alias("n"))
+    sized = pair.join(n.select(F.col(KEY).alias("a_id"), "trend", F.col("n").alias("na")), "a_id").join(n.select(F.col(KEY).alias("b_id"), "trend", F.col("n").alias("nb")), ["b_id", "trend"])
     sized = sized.withColumn("t", F.greatest(F.lit(50), F.least(F.lit(300), F.floor((F.col("na") + F.col("nb")) / 2))))
-    sides = []
-    for side in ("a", "b"):
-        rows = sized.select("a_id", "b_id", "t", F.col(f"{side}_id").alias(KEY)).join(series.select(KEY, F.col(order).alias("o"), F.col(value).alias("x")), KEY)
-        sides.append(X.resample(rows, "x", F.col("t"), ["a_id", "b_id"], "o").withColumnRenamed("v", side))
-    return sides[0].join(sides[1], ["a_id", "b_id", "k"])
-
-
-def series_similarity(series: DataFrame, pair: DataFrame, value: str, order: str) -> DataFrame:
-    """(a_id, b_id, pearson, spearman, derivative, distribution) of paired series, correlations not under 0."""
-    key = ["a_id", "b_id"]
-    z = aligned(series, pair, value, order)
-    z = X.ranks(X.ranks(z, "a", "ra", key), "b", "rb", key)
-    z = X.gradient(X.gradient(z, "a", "da", key, "k"), "b", "db", key, "k")
+    grid = sized.select(*key, "na", "nb", "t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1)).alias("k"))
+    for s in ("a", "b"):
+        pos = F.col("k") * (F.col(f"n{s}") - 1) / (F.col("t") - 1)
+        grid = grid.withColumn("_p", pos).withColumn("_l", F.floor("_p")).withColumn("_h", F.least(F.col("_l") + 1, F.col(f"n{s}") - 1))
+        for end in ("_l", "_h"):
+            at = series.select(F.col(KEY).alias(f"{s}_id"), "trend", F.col("w").alias(end), F.col("x").alias(f"_v{end}"))
+            grid = grid.join(at, [f"{s}_id", "trend", end])
+        grid = grid.withColumn(s, F.col("_v_l") + (F.col("_p") - F.col("_l")) * (F.col("_v_h") - F.col("_v_l"))).drop("_v_l", "_v_h", "_l", "_h", "_p")
+    return grid.select(*key, "k", "a", "b")
+
+
+def _slope(x: str) -> Column:
+    w = Window.partitionBy("a_id", "b_id", "trend").orderBy("k")
+    before, after = F.lag(x).over(w), F.lead(x).over(w)
+    return F.when(before.isNull(), after - F.col(x)).when(after.isNull(), F.col(x) - before).otherwise((after - before) / 2)
+
+
+def _rank(x: str) -> Column:
+    w = Window.partitionBy("a_id", "b_id", "trend")
+    return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy("a_id", "b_id", "trend", x)) - 1) / 2
+
+
+def series_similarity(series: DataFrame, pair: DataFrame, with_peaks: bool = False) -> DataFrame:
+    """(a_id, b_id, trend, pearson, spearman, derivative, distribution[, overlap]) of paired series, correlations not under 0.
+
+    A pair's series have at most 300 points, so its windows are small however long the signals are.
+    """
+    key = ["a_id", "b_id", "trend"]
+    z = aligned(series, pair).persist()
+    y = z.select("*", _rank("a").alias("ra"), _rank("b").alias("rb"), _slope("a").alias("da"), _slope("b").alias("db"))
     flat = (F.stddev_pop("da") > 0) & (F.stddev_pop("db") > 0)
     positive = lambda c: F.greatest(F.lit(0.0), c)
-    r = z.groupBy(*key).agg(positive(X.corr("a", "b")).alias("pearson"), positive(X.corr("ra", "rb")).alias("spearman"), F.when(flat, positive(X.corr("da", "db"))).otherwise(positive(X.corr("a", "b"))).alias("derivative"), F.count("*").alias("t"))
-    bins = r.select(*key, F.least(F.lit(30), F.greatest(F.lit(10), F.floor(F.col("t") / 5))).alias("bins"))
+    r = y.groupBy(*key).agg(positive(X.corr("a", "b")).alias("pearson"), positive(X.corr("ra", "rb")).alias("spearman"), F.when(flat, positive(X.corr("da", "db"))).otherwise(positive(X.corr("a", "b"))).alias("derivative"))
+    bins = z.groupBy(*key).agg(F.least(F.lit(30), F.greatest(F.lit(10), F.floor(F.count("*") / 5))).alias("bins"))
     z = z.join(bins, key)
     emd = X.histogram_distance(z.withColumn("x", F.col("a")), z.withColumn("x", F.col("b")), key, "x", F.col("bins"))
-    return r.drop("t").join(emd, key, "left").withColumn("distribution", F.exp(-2 * F.col("emd"))).drop("emd")
+    out = r.join(emd, key, "left").withColumn("distribution", F.exp(-2 * F.col("emd"))).drop("emd")
+    return out.join(peak_overlap(z), key) if with_peaks else out
 
 
-def peak_overlap(series: DataFrame, pair: DataFrame, value: str, order: str) -> DataFrame:
-    """(a_id, b_id, overlap): shared over all peaks of the min-max scaled pair; 1 without any."""
+def peak_overlap(z: DataFrame) -> DataFrame:
+    """(a_id, b_id, trend, overlap) of aligned(): shared over all peaks of the min-max scaled pair; 1 without any."""
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
+    def run(ids: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("k")
         gap = max(1, len(df) // 20)
         sets = []
@@ -165,19 +184,15 @@ def peak_overlap(series: DataFrame, pair: DataFrame, value: str, order: str) ->
             x = df[side].to_numpy(float)
             sets.append(set(find_peaks((x - x.min()) / (x.max() - x.min() + 1e-12), height=0.6, distance=gap).tolist()))
         a, b = sets
-        return pd.DataFrame({"a_id": [df.a_id.iloc[0]], "b_id": [df.b_id.iloc[0]], "overlap": [len(a & b) / len(a | b) if a | b else 1.0]})
+        return pd.DataFrame([(*ids, len(a & b) / len(a | b) if a | b else 1.0)], columns=["a_id", "b_id", "trend", "overlap"])
 
-    return aligned(series, pair, value, order).groupBy("a_id", "b_id").applyInPandas(run, "a_id string, b_id string, overlap double")
+    return z.select("a_id", "b_id", "trend", "k", "a", "b").groupBy("a_id", "b_id", "trend").applyInPandas(run, "a_id string, b_id string, trend string, overlap double")
 
 
 def trend_similarity(layer: DataFrame, pair: DataFrame, names: tuple = TRENDS, with_peaks: bool = True) -> DataFrame:
     """(a_id, b_id, trend, ..., score): .15 Pearson + .15 Spearman + .35 derivative + .25 peak overlap + .10 distribution."""
-    out = None
-    for name in names:
-        s = series_similarity(layer, pair, name, "w")
-        s = s.join(peak_overlap(layer, pair, name, "w"), ["a_id", "b_id"]) if with_peaks else s.withColumn("overlap", F.lit(0.0))
-        part = s.withColumn("trend", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    out = series_similarity(long(layer, names), pair, with_peaks)
+    out = out if with_peaks else out.withColumn("overlap", F.lit(0.0))
     score = 0.15 * F.col("pearson") + 0.15 * F.col("spearman") + 0.35 * F.col("derivative") + 0.25 * F.col("overlap") + 0.10 * F.coalesce("distribution", F.lit(0.0))
     return out.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
 

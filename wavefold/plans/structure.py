@@ -11,7 +11,7 @@ from ..sinks import registry
 from ..sources import signals
 from .core import A, B, DFT, FA, HOP, LAYER, SEGMENTS, WIN, layer, r, sr_
 
-PAIRS = [("click", "login"), ("click", "view"), ("login", "view")]
+PAIRS = [("click", "purchase"), ("click", "view"), ("purchase", "view")]
 
 
 def spec(spark, d):
@@ -411,7 +411,7 @@ EMD = (
 )
 LONG = "lg AS (SELECT signal_id, w, 'energy' AS trend, energy AS x FROM e UNION ALL SELECT signal_id, w, 'complexity', complexity FROM e)"
 LONG4 = "lg AS (SELECT signal_id, w, 'energy' AS trend, energy AS x FROM e UNION ALL SELECT signal_id, w, 'brightness', brightness FROM e UNION ALL SELECT signal_id, w, 'complexity', complexity FROM e UNION ALL SELECT signal_id, w, 'rhythm', rhythm FROM e)"
-PR = "pr(a_id, b_id) AS (VALUES ('click', 'login'), ('click', 'view'), ('login', 'view'))"
+PR = "pr(a_id, b_id) AS (VALUES ('click', 'purchase'), ('click', 'view'), ('purchase', 'view'))"
 KEY3 = "a_id, b_id, trend"
 SIMILAR = (
     "nl AS (SELECT signal_id, trend, count(*) AS n FROM lg GROUP BY 1, 2), tl AS (SELECT a_id, b_id, x.trend, greatest(50, least(300, (x.n + y.n) // 2)) AS t, x.n AS na, y.n AS nb FROM pr JOIN nl x ON x.signal_id = a_id JOIN nl y ON y.signal_id = b_id AND y.trend = x.trend), "
@@ -460,7 +460,7 @@ ORACLES = {
     "spectral_bandwidth": f"WITH {SPEC}, {FULL}, c AS (SELECT signal_id, w, sum(fr * p) AS c FROM z GROUP BY 1, 2) SELECT signal_id, w, round(sqrt(sum((fr - c) ** 2 * p)), 6) AS bandwidth FROM z JOIN c USING (signal_id, w) GROUP BY 1, 2",
     "chroma_profile": f"WITH {SPEC}, {FULL}, c AS (SELECT signal_id, w, ((round_even(12 * log2(fr / 27.5), 0)::BIGINT % 12) + 12) % 12 AS pitch, sum(m) AS m FROM z WHERE fr > 0 GROUP BY 1, 2, 3) SELECT signal_id, w, pitch, round(m / sum(m) OVER (PARTITION BY signal_id, w), 6) AS share FROM c",
     "dominant_frequency": f"WITH {B}, n AS (SELECT signal_id, count(*) AS n FROM s GROUP BY 1), b AS (SELECT s.signal_id, k, n, sum(y * cos(2 * pi() * k * i / n)) ** 2 + sum(y * sin(2 * pi() * k * i / n)) ** 2 AS m FROM s JOIN n USING (signal_id), range(1, 60) AS q(k) WHERE k < n // 2 GROUP BY 1, 2, 3), "
-    "t AS (SELECT signal_id, arg_max(k / n, m) AS freq FROM b GROUP BY 1) SELECT signal_id, round(freq, 6) AS freq, round(1 / freq, 6) AS period, floor(1 / freq)::BIGINT AS period_samples FROM t",
+    "t AS (SELECT signal_id, arg_max(k, m) AS k, max(n) AS n FROM b GROUP BY 1) SELECT signal_id, round(k / n, 6) AS freq, round(n / k, 6) AS period, (n // k)::BIGINT AS period_samples FROM t",
     "mel_energy": f"WITH {SPEC}, {MEL} SELECT signal_id, w, mel, {sr_('level')} FROM ml",
     "mel_bands": f"WITH {SPEC}, {MEL}, l AS (SELECT signal_id, w, CASE WHEN mel < 3 THEN 'low' WHEN mel < 6 THEN 'mid' ELSE 'high' END AS band, avg(level) AS level FROM ml GROUP BY 1, 2, 3) SELECT signal_id, w, band, {sr_('level')} FROM l",
     "pearson_pairs": f"WITH {PAIRED} SELECT a_id, b_id, round({CORR.format(a='a', b='b')}, 6) AS pearson FROM pd GROUP BY 1, 2",
