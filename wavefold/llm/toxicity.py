@@ -141,12 +141,18 @@ def label_model(bits: np.ndarray, known: np.ndarray, count: np.ndarray, groups:
         mass = [np.maximum(count @ (1 - q), 1e-9), np.maximum(count @ q, 1e-9)]
         rate = [((count * p) @ votes + a) / (m + 1) for p, m, a in ((1 - q, mass[0], 0.01), (q, mass[1], 0.2))]
         prior = np.log((mass[1] + 1) / (mass[0] + 1))
-        if n == steps:
+        if n in (steps, 3 * steps // 2):
+            # Labelled rows show what groups share within a label; without enough of them the posterior has to.
+            seen = count * (known >= 0)
+            told = seen if min(seen @ (known == 1), seen @ (known == 0)) >= 50 else count
             excess = np.zeros((groups, groups))
-            for p, m, r in ((1 - q, mass[0], rate[0]), (q, mass[1], rate[1])):
-                c = (votes * (count * p)[:, None]).T @ votes / m - np.outer(r, r)
+            for p in (1 - q, q):
+                m = max(told @ p, 1e-9)
+                r = (told * p) @ votes / m
+                c = (votes * (told * p)[:, None]).T @ votes / m - np.outer(r, r)
                 s = np.sqrt(np.maximum(r * (1 - r), 1e-9))
-                excess += m / (mass[0] + mass[1]) * np.clip(c / np.outer(s, s), 0, 1)
+                excess += m / max(told.sum(), 1e-9) * np.clip(c / np.outer(s, s), 0, 1)
+            excess[excess < 0.1] = 0  # chance
             np.fill_diagonal(excess, 0)
             weight = 1 / (1 + excess.sum(1))
         fire, rest = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
