@@ -356,7 +356,7 @@ def scores(spark, d):
 
 
 def band_error_summary(spark, d):
-    return forecast.band_errors(scores(spark, d)).select("signal_id", "band", *r("avg_rmse", "min_rmse"), "best_model")
+    return forecast.band_errors(scores(spark, d)).select("signal_id", "band", *r("avg_rmse", "min_rmse", d=4), "best_model")
 
 
 def band_rank(spark, d):
@@ -493,7 +493,7 @@ ORACLES = {
     "mahalanobis_outliers": f"WITH {VEC}, q AS (SELECT w, x[1] AS a, x[2] AS b FROM v), m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_samp(a) + 1e-6 AS va, var_samp(b) + 1e-6 AS vb, covar_samp(a, b) AS vab FROM q), z AS (SELECT w, sqrt((vb * (a - ma) ** 2 - 2 * vab * (a - ma) * (b - mb) + va * (b - mb) ** 2) / (va * vb - vab * vab)) AS score FROM q, m) SELECT w, {sr_('score')} FROM z WHERE score > (SELECT quantile_cont(score, 0.95) FROM z)",
     "forecast_naive_metrics": f"WITH {B}, n AS (SELECT *, count(*) OVER (PARTITION BY signal_id) AS n FROM s), l AS (SELECT signal_id, y AS f FROM n WHERE i = n - 11), q AS (SELECT signal_id, y - f AS e FROM n JOIN l USING (signal_id) WHERE i >= n - 10) SELECT signal_id, round(sqrt(avg(e * e)), 5) AS rmse, round(avg(abs(e)), 5) AS mae, round(avg(e * e), 5) AS mse FROM q GROUP BY 1",
     "state_profile": f"WITH {LAYER}, {SEGMENTS} SELECT signal_id, label, count(*) AS windows, round(count(*) / sum(count(*)) OVER (PARTITION BY signal_id), 6) AS fraction, round(avg(energy), 6) AS mean_energy, round(avg(complexity), 6) AS mean_complexity FROM seg JOIN e USING (signal_id, w) GROUP BY 1, 2",
-    "band_error_summary": f"WITH {SCORES} SELECT signal_id, band, {sr_('avg_rmse', 'min_rmse')}, best_model FROM bz",
+    "band_error_summary": f"WITH {SCORES} SELECT signal_id, band, {sr_('avg_rmse', 'min_rmse', d=4)}, best_model FROM bz",
     "band_rank": f"WITH {SCORES} SELECT signal_id, band, {sr_('avg_rmse')}, row_number() OVER (PARTITION BY signal_id ORDER BY bz.avg_rmse, band) AS rank FROM bz",
     "delay_embedding": f"WITH {B}, q AS (SELECT signal_id, i AS j, y AS e0, lead(y, 2) OVER p AS e1, lead(y, 4) OVER p AS e2 FROM s WINDOW p AS (PARTITION BY signal_id ORDER BY i)) SELECT signal_id, j, {sr_('e0', 'e1', 'e2')} FROM q WHERE e2 IS NOT NULL",
     "experiments_upsert": "SELECT * FROM (VALUES ('a', 't1', 1::BIGINT, 1::BIGINT), ('b', 't3', 2, 5), ('c', 't4', 6, 6)) AS t(name, task_id, created_at, updated_at)",
