@@ -7,14 +7,17 @@ sampled the same shingle form a bucket. One sample of ``runs`` / threshold
 shingles stands for that many runs of the recursion, enough that a pair at the
 threshold shares no bucket with a probability of exp(-runs) only. A bucket of
 more than ``small`` sets is split again: its sets sample shingles by a hash
-that depends on the bucket's path. Small buckets are compared by brute force;
-what is still large after ``depth`` splits (groups of near copies, which
-nothing separates) is cut into pairs of blocks, so that every pair still meets.
-
-A pair meets in several buckets; the one with the smallest path counts it, which
-both sets can tell from the paths they carry. So only sets with such a pair in a
-bucket send their shingles there, and pairs never become rows: a bucket reports
-each set's number of links and one link to the bucket's component.
+that depends on the bucket's path. Small buckets are compared by brute force.
+What is still large after ``depth`` levels are groups of near copies, which
+nothing separates: large buckets that overlap are one group, which is cut into
+pairs of blocks, so that every pair of it meets once.
+
+A pair meets in several small buckets; the one with the smallest path counts it,
+which both sets can tell from the paths they carry, unless they are in one
+group. Sets also carry a sketch of their sample: a pair whose samples share far
+less than the threshold lets expect is not compared. So only sets with a pair to
+compare in a bucket send their shingles there, and pairs never become rows: a
+bucket reports each set's number of links and one link to its component there.
 """
 
 from __future__ import annotations
@@ -31,7 +34,10 @@ from . import _graph, _store
 from ._spans import keyed
 from ._text import U, buffers, chunks, expand, grams, mix, prefix, runs, word_hashes
 
-WORDS, THRESHOLD, RUNS, SAMPLE, SMALL, DEPTH = 5, 0.8, 14, 32, 64, 4
+WORDS, THRESHOLD, RUNS, SAMPLE, SMALL, DEPTH = 5, 0.8, 14, 32, 128, 3
+#: Sets in a block of a group; share of the smaller sample that a pair must have in common to be compared: with
+#: samples of 40 and 32 in common on average at the threshold, a pair falls short of it once in some 100,000.
+BLOCK, COMMON = 512, 0.28
 TOP = float(1 << 64)
 
 
@@ -115,33 +121,52 @@ def _bounds(table: pa.Table, keys: list[str]) -> list[int]:
     return np.flatnonzero(new).tolist()
 
 
-def _pairs(table: pa.Table, threshold: float) -> np.ndarray:
-    """Which pairs this bucket counts: no smaller path in common, sizes that allow the threshold, and not from one block of a pair of blocks that are told apart."""
-    path = table.column("path")[0].as_py()
-    lists = table.column("paths").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+def _shared(table: pa.Table, column: str, below: int | None = None) -> np.ndarray:
+    """Number of values that the rows' lists have in common, pair by pair."""
+    lists = _flat(table.column(column))
     n = lists.value_lengths().to_numpy(zero_copy_only=False)
     own, values = np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy()
-    less = values < path
-    out = np.triu(np.ones((len(n), len(n)), bool), 1)
-    if less.any():
-        u, col = np.unique(values[less], return_inverse=True)
-        b = np.zeros((len(n), len(u)), np.float32)
-        b[own[less], col] = 1
-        out &= (b @ b.T) == 0
+    if below is not None:
+        own, values = own[values < below], values[values < below]
+    u, col = np.unique(values, return_inverse=True)
+    often = np.bincount(col, minlength=len(u)) > 1
+    keep = often[col]
+    col, own = (np.cumsum(often) - 1)[col[keep]], own[keep]
+    out = np.zeros((len(n), len(n)), np.float32)
+    for a in range(0, int(often.sum()), 8192):
+        b = np.zeros((len(n), 8192), np.float32)
+        here = (col >= a) & (col < a + 8192)
+        b[own[here], col[here] - a] = 1
+        out += b @ b.T
+    return out
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
+def _pairs(table: pa.Table, threshold: float) -> np.ndarray:
+    """Which pairs this bucket counts, or this pair of blocks of a group (tile >= 0), by paths, groups and sizes."""
     size = table.column("n").to_numpy().astype(float)
-    out &= np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size) - 1e-9
-    block, tile = table.column("block").to_numpy(), table.column("tile").to_numpy()
-    if tile[0] >= 0:
-        a, b = divmod(int(tile[0]), 1 << 20)
-        if a != b:
+    out = np.triu(np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size) - 1e-9, 1)
+    tile = int(table.column("tile")[0].as_py())
+    if tile >= 0:
+        block = table.column("block").to_numpy()
+        if tile >> 20 != tile & ((1 << 20) - 1):
             out &= np.not_equal.outer(block, block)
-    return out
+        return out
+    out &= _shared(table, "paths", table.column("path")[0].as_py()) == 0
+    group, some = table.column("grp").to_numpy(), table.column("grouped").to_numpy(zero_copy_only=False)
+    return out & ~(np.equal.outer(group, group) & some[:, None] & some[None])
 
 
 def _needed(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         pairs = _pairs(table, threshold)
+        if pairs.any():
+            n = _flat(table.column("sketch")).value_lengths().to_numpy(zero_copy_only=False)
+            pairs &= _shared(table, "sketch") >= COMMON * np.minimum.outer(n, n)
         wanted = np.flatnonzero(pairs.any(0) | pairs.any(1))
         if len(wanted):
             yield table.take(pa.array(wanted)).combine_chunks().to_batches()[0]
@@ -162,30 +187,20 @@ def _texts_to_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa
                 for a in range(0, len(part), 256):
                     some = part.slice(a, 256)
                     of = pa.array(np.full(len(some), r))
-                    cols = [some.field("path"), some.field("tile"), some.field("block"), batch.column("node").take(of), batch.column("n").take(of), batch.column("copies").take(of), batch.column("paths").take(of), pa.array([data] * len(some), pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["path", "tile", "block", "node", "n", "copies", "paths", "data"])
+                    cols = [some.field("path"), some.field("tile"), some.field("block"), *(batch.column(c).take(of) for c in CARRIED), pa.array([data] * len(some), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["path", "tile", "block", *CARRIED, "data"])
+
+
+CARRIED = ["node", "n", "copies", "paths", "grp", "grouped"]
 
 
 def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         pairs = _pairs(table, threshold)
         raw, offsets = buffers(table.column("data"))
-        values = np.frombuffer(raw.tobytes(), U)
         size = np.diff(offsets) // 8
-        row = np.repeat(np.arange(len(size)), size)
-        order = np.argsort(values, kind="stable")
-        v, r = values[order], row[order]
-        new = np.r_[True, v[1:] != v[:-1]]
-        col = np.cumsum(new) - 1
-        often = np.bincount(col) > 1
-        keep = often[col]
-        col, r = (np.cumsum(often) - 1)[col[keep]], r[keep]
-        both = np.zeros((len(size), len(size)), np.float64)
-        for a in range(0, int(often.sum()), 8192):
-            b = np.zeros((len(size), 8192), np.float32)
-            here = (col >= a) & (col < a + 8192)
-            b[r[here], col[here] - a] = 1
-            both += b @ b.T
+        sets = pa.table({"set": pa.ListArray.from_arrays(pa.array((offsets // 8).astype(np.int32)), pa.array(np.frombuffer(raw.tobytes(), np.int64)))})
+        both = _shared(sets, "set")
         pairs &= both * (1 + threshold) >= threshold * np.add.outer(size, size) - 1e-6
         linked = pairs | pairs.T
         some = np.flatnonzero(linked.any(1))
@@ -236,25 +251,34 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
         hot = found.filter(F.col("m") > small)
         if level == depth - 1 or hot.isEmpty():
             break
-        paths = hot.select("node", "path").join(sets.select("node", "sample"), "node").mapInArrow(functools.partial(_split, threshold=threshold, rate=1.5), "node long, path long")
-
-    # Which sets have a pair that is theirs to compare in which bucket.
-    own = _store.save(leaves.groupBy("node").agg(F.array_sort(F.collect_set("path")).alias("paths")), "own")
-    own = _store.save(own.join(sets.select("node", "n"), "node"), "own")
-    blocks = F.ceil(F.col("m") / small).cast("int")
-    dealt = leaves.distinct().withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "path"), F.col("blocks").cast("long")).cast("int"))
-    tiles = F.when(F.col("blocks") == 1, F.array(F.lit(-1).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.least(b, F.col("block")).cast("long") * (1 << 20) + F.greatest(b, F.col("block")))
-    )
-    dealt = dealt.select("node", "path", "block", F.explode(tiles).alias("tile")).join(own, "node")
-    needed = dealt.repartition("path", "tile").sortWithinPartitions("path", "tile").select("path", "tile", "block", "node", "n", "paths")
-    needed = _store.save(needed.mapInArrow(functools.partial(_needed, threshold=threshold), "path long, tile long, block int, node long, n long, paths array<long>").select("node", "path", "tile", "block"), "needed")
+        paths = hot.select("node", "path").join(sets.select("node", "sample"), "node").mapInArrow(functools.partial(_split, threshold=threshold, rate=1.25), "node long, path long")
+
+    # Large leaves that overlap are one group of sets; it is dealt out in pairs of blocks.
+    large = leaves.filter(F.col("m") > small)
+    heads = _store.save(large.join(large.groupBy("path").agg(F.min("node").alias("v")), "path").select(F.col("node").alias("u"), "v").distinct(), "heads")
+    groups = _store.save(_graph.components(heads).select("node", F.col("root").alias("grp")), "groups")
+    blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    grouped = groups.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.least(b, F.col("block")).cast("long") * (1 << 20) + F.greatest(b, F.col("block")))
+    tiled = grouped.select("node", F.col("grp").alias("path"), F.explode(tiles).alias("tile"), "block")
+
+    # Which sets have a pair to compare in which bucket: a pair is counted in the smallest leaf it shares.
+    leaves = _store.save(leaves.filter(F.col("m") <= small).select("node", "path").distinct(), "leaves")
+    own = leaves.groupBy("node").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    sketch = F.transform("sample", lambda x: (F.pmod(x, F.lit(65536)) - 32768).cast("short"))
+    own = own.join(groups, "node", "full").join(sets.select("node", "n", sketch.alias("sketch")), "node")
+    own = own.select("node", "n", F.coalesce("paths", F.array().cast("array<long>")).alias("paths"), F.coalesce("grp", F.lit(0)).alias("grp"), F.col("grp").isNotNull().alias("grouped"), F.array_distinct("sketch").alias("sketch"))
+    own = _store.save(own, "own")
+    dealt = leaves.select("node", "path", F.lit(-1).cast("long").alias("tile"), F.lit(0).alias("block")).union(tiled.select("node", "path", "tile", "block")).join(own, "node")
+    needed = dealt.select("path", "tile", "block", "node", "n", "paths", "grp", "grouped", "sketch").repartition("path", "tile").sortWithinPartitions("path", "tile")
+    shape = "path long, tile long, block int, node long, n long, paths array<long>, grp long, grouped boolean, sketch array<short>"
+    needed = _store.save(needed.mapInArrow(functools.partial(_needed, threshold=threshold), shape).select("node", "path", "tile", "block"), "needed")
 
     # Those send their shingles there.
-    wanted = needed.groupBy("node").agg(F.collect_list(F.struct("path", "tile", "block")).alias("buckets")).join(sets.select("node", "copies", "k1", "k2", "n"), "node").join(own.select("node", "paths"), "node")
+    wanted = needed.groupBy("node").agg(F.collect_list(F.struct("path", "tile", "block")).alias("buckets")).join(sets.select("node", "copies", "k1", "k2"), "node").join(own.drop("sketch"), "node")
     wanted = _store.save(wanted, "wanted")
-    full = texts.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("node", "n", "copies", "paths", "buckets", "text")
-    full = full.mapInArrow(functools.partial(_texts_to_sets, words=words), "path long, tile long, block int, node long, n long, copies long, paths array<long>, data binary")
+    full = texts.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select(*CARRIED, "buckets", "text")
+    full = full.mapInArrow(functools.partial(_texts_to_sets, words=words), "path long, tile long, block int, node long, n long, copies long, paths array<long>, grp long, grouped boolean, data binary")
     full = full.repartition("path", "tile").sortWithinPartitions("path", "tile", "node")
     links = _store.save(full.mapInArrow(functools.partial(_linked, threshold=threshold), "u long, v long, links long"), "links")
 
