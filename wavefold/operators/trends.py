@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as X
-from ..functions.kernels import find_peaks
+from ..functions.kernels import find_peaks, stretch
 from ..functions.series import KEY, spread
 from ..schemas import TRENDS
 from .framing import frames
@@ -127,71 +129,50 @@ def all_pairs(df: DataFrame, limit_to: Column | None = None) -> DataFrame:
     return out.filter(limit_to) if limit_to is not None else out
 
 
-def aligned(series: DataFrame, pair: DataFrame) -> DataFrame:
-    """(a_id, b_id, trend, k, a, b): both series (signal_id, trend, w, x) of a pair interpolated to a common length of 50 to 300."""
-    key = ["a_id", "b_id", "trend"]
-    n = series.groupBy(KEY, "trend").agg(F.count("*").alias("n"))
-    sized = pair.join(n.select(F.col(KEY).alias("a_id"), "trend", F.col("n").alias("na")), "a_id").join(n.select(F.col(KEY).alias("b_id"), "trend", F.col("n").alias("nb")), ["b_id", "trend"])
-    sized = sized.withColumn("t", F.greatest(F.lit(50), F.least(F.lit(300), F.floor((F.col("na") + F.col("nb")) / 2))))
-    grid = sized.select(*key, "na", "nb", "t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1)).alias("k"))
-    for s in ("a", "b"):
-        pos = F.col("k") * (F.col(f"n{s}") - 1) / (F.col("t") - 1)
-        grid = grid.withColumn("_p", pos).withColumn("_l", F.floor("_p")).withColumn("_h", F.least(F.col("_l") + 1, F.col(f"n{s}") - 1))
-        for end in ("_l", "_h"):
-            at = series.select(F.col(KEY).alias(f"{s}_id"), "trend", F.col("w").alias(end), F.col("x").alias(f"_v{end}"))
-            grid = grid.join(at, [f"{s}_id", "trend", end])
-        grid = grid.withColumn(s, F.col("_v_l") + (F.col("_p") - F.col("_l")) * (F.col("_v_h") - F.col("_v_l"))).drop("_v_l", "_v_h", "_l", "_h", "_p")
-    return grid.select(*key, "k", "a", "b")
-
+def compare(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float | None, float]:
+    """Pearson, Spearman, derivative correlation (none under 0), similarity of distribution and overlap of peaks of two series, interpolated to a common length of 50 to 300."""
+    t = max(50, min(300, (len(x) + len(y)) // 2))
+    a, b = stretch(x, t), stretch(y, t)
 
-def _slope(x: str) -> Column:
-    w = Window.partitionBy("a_id", "b_id", "trend").orderBy("k")
-    before, after = F.lag(x).over(w), F.lead(x).over(w)
-    return F.when(before.isNull(), after - F.col(x)).when(after.isNull(), F.col(x) - before).otherwise((after - before) / 2)
+    def corr(u: np.ndarray, v: np.ndarray) -> float:
+        d = u.std() * v.std()
+        return max(0.0, float(((u - u.mean()) * (v - v.mean())).mean() / d)) if d > 0 else 0.0
 
+    def ranks(u: np.ndarray) -> np.ndarray:
+        _, at, n = np.unique(u, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2)[at]
 
-def _rank(x: str) -> Column:
-    w = Window.partitionBy("a_id", "b_id", "trend")
-    return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy("a_id", "b_id", "trend", x)) - 1) / 2
+    da, db = np.gradient(a), np.gradient(b)
+    pearson = corr(a, b)
+    derivative = corr(da, db) if da.std() > 0 and db.std() > 0 else pearson
+    bins, lo, hi = min(30, max(10, t // 5)), a.min(), a.max()
+    lo, hi = (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
+    inside = b[(b >= lo) & (b <= hi)]
+    share = [np.cumsum(np.bincount(np.minimum(np.floor((v - lo) / (hi - lo) * bins), bins - 1).astype(int), minlength=bins)) / max(len(v), 1) for v in (a, inside)]
+    distribution = math.exp(-2 * float(np.abs(share[0] - share[1]).sum()) * (hi - lo) / bins) if len(inside) else None
+    p, q = (set(find_peaks((v - v.min()) / (v.max() - v.min() + 1e-12), height=0.6, distance=max(1, t // 20)).tolist()) for v in (a, b))
+    return pearson, corr(ranks(a), ranks(b)), derivative, distribution, len(p & q) / len(p | q) if p | q else 1.0
 
 
-def series_similarity(series: DataFrame, pair: DataFrame, with_peaks: bool = False) -> DataFrame:
-    """(a_id, b_id, trend, pearson, spearman, derivative, distribution[, overlap]) of paired series, correlations not under 0.
+def series_similarity(series: DataFrame, pair: DataFrame) -> DataFrame:
+    """(a_id, b_id, trend, pearson, spearman, derivative, distribution, overlap) of the series (signal_id, trend, w, x) of each pair.
 
-    A pair's series have at most 300 points, so its windows are small however long the signals are.
+    One shuffle by pair and trend; a group holds two series of frames, not of samples.
     """
-    key = ["a_id", "b_id", "trend"]
-    z = aligned(series, pair).persist()
-    y = z.select("*", _rank("a").alias("ra"), _rank("b").alias("rb"), _slope("a").alias("da"), _slope("b").alias("db"))
-    flat = (F.stddev_pop("da") > 0) & (F.stddev_pop("db") > 0)
-    positive = lambda c: F.greatest(F.lit(0.0), c)
-    r = y.groupBy(*key).agg(positive(X.corr("a", "b")).alias("pearson"), positive(X.corr("ra", "rb")).alias("spearman"), F.when(flat, positive(X.corr("da", "db"))).otherwise(positive(X.corr("a", "b"))).alias("derivative"))
-    bins = z.groupBy(*key).agg(F.least(F.lit(30), F.greatest(F.lit(10), F.floor(F.count("*") / 5))).alias("bins"))
-    z = z.join(bins, key)
-    emd = X.histogram_distance(z.withColumn("x", F.col("a")), z.withColumn("x", F.col("b")), key, "x", F.col("bins"))
-    out = r.join(emd, key, "left").withColumn("distribution", F.exp(-2 * F.col("emd"))).drop("emd")
-    return out.join(peak_overlap(z), key) if with_peaks else out
-
-
-def peak_overlap(z: DataFrame) -> DataFrame:
-    """(a_id, b_id, trend, overlap) of aligned(): shared over all peaks of the min-max scaled pair; 1 without any."""
+    sides = [pair.join(series.withColumnRenamed(KEY, f"{s}_id"), f"{s}_id").select("a_id", "b_id", "trend", F.lit(s).alias("side"), "w", "x") for s in ("a", "b")]
 
     def run(ids: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("k")
-        gap = max(1, len(df) // 20)
-        sets = []
-        for side in ("a", "b"):
-            x = df[side].to_numpy(float)
-            sets.append(set(find_peaks((x - x.min()) / (x.max() - x.min() + 1e-12), height=0.6, distance=gap).tolist()))
-        a, b = sets
-        return pd.DataFrame([(*ids, len(a & b) / len(a | b) if a | b else 1.0)], columns=["a_id", "b_id", "trend", "overlap"])
+        x, y = (df[df.side == s].sort_values("w").x.to_numpy(float) for s in ("a", "b"))
+        found = [(*ids, *compare(x, y))] if len(x) and len(y) else []
+        return pd.DataFrame(found, columns=["a_id", "b_id", "trend", "pearson", "spearman", "derivative", "distribution", "overlap"])
 
-    return z.select("a_id", "b_id", "trend", "k", "a", "b").groupBy("a_id", "b_id", "trend").applyInPandas(run, "a_id string, b_id string, trend string, overlap double")
+    shape = "a_id string, b_id string, trend string, pearson double, spearman double, derivative double, distribution double, overlap double"
+    return spread(sides[0].union(sides[1]), "a_id", "b_id", "trend").groupBy("a_id", "b_id", "trend").applyInPandas(run, shape)
 
 
 def trend_similarity(layer: DataFrame, pair: DataFrame, names: tuple = TRENDS, with_peaks: bool = True) -> DataFrame:
     """(a_id, b_id, trend, ..., score): .15 Pearson + .15 Spearman + .35 derivative + .25 peak overlap + .10 distribution."""
-    out = series_similarity(long(layer, names), pair, with_peaks)
+    out = series_similarity(long(layer, names), pair)
     out = out if with_peaks else out.withColumn("overlap", F.lit(0.0))
     score = 0.15 * F.col("pearson") + 0.15 * F.col("spearman") + 0.35 * F.col("derivative") + 0.25 * F.col("overlap") + 0.10 * F.coalesce("distribution", F.lit(0.0))
     return out.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))

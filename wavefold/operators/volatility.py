@@ -81,7 +81,7 @@ def garch_recursion(rows: DataFrame, omega: float, alpha: float, beta: float, va
 
 def volatility_similarity(layer: DataFrame, pair: DataFrame, persistence: DataFrame | None = None, names: tuple = tuple(WEIGHTS)) -> DataFrame:
     """(a_id, b_id, trend, ..., score): .30 Pearson + .35 derivative + .20 distribution + .15 exp(-3 |difference of persistence|)."""
-    out = series_similarity(layer.filter(F.col("trend").isin(*names)).select(KEY, "trend", "w", F.col("vol").alias("x")), pair)
+    out = series_similarity(layer.filter(F.col("trend").isin(*names)).select(KEY, "trend", "w", F.col("vol").alias("x")), pair).drop("overlap")
     if persistence is not None:
         for side in ("a", "b"):
             out = out.join(persistence.select(F.col(KEY).alias(f"{side}_id"), "trend", F.col("persistence").alias(f"_{side}")), [f"{side}_id", "trend"], "left")

@@ -297,7 +297,8 @@ ORACLES = {
     "volatility_summary": f"WITH {B}, {ROLL}, z AS (SELECT signal_id, avg(vol) AS mean_vol, stddev_pop(vol) AS sd_vol, max(vol) AS max_vol, stddev_pop(vol) / (avg(vol) + 1e-12) AS vol_of_vol FROM v GROUP BY 1) "
     f"SELECT signal_id, {sr_('mean_vol', 'sd_vol', 'max_vol', 'vol_of_vol')}, CASE WHEN mean_vol > 0.1 THEN 'high' WHEN mean_vol > 0.03 THEN 'medium' ELSE 'low' END AS regime FROM z",
     "volatility_layer": f"WITH {LAYER}, l AS (SELECT signal_id, w, 'energy' AS trend, energy AS x FROM e UNION ALL SELECT signal_id, w, 'complexity', complexity FROM e), "
-    "z AS (SELECT signal_id, trend, w, CASE WHEN w < 9 THEN stddev_pop(x) OVER (PARTITION BY signal_id, trend ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING) ELSE stddev_pop(x) OVER (PARTITION BY signal_id, trend ORDER BY w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS vol FROM l), "
+    "lw AS (SELECT *, least(10, greatest(2, count(*) OVER (PARTITION BY signal_id, trend) // 3)) AS wd FROM l), "
+    "z AS (SELECT p.signal_id, p.trend, p.w, stddev_pop(o.x) AS vol FROM lw p JOIN l o ON o.signal_id = p.signal_id AND o.trend = p.trend AND CASE WHEN p.w < p.wd - 1 THEN o.w <= p.w + 1 ELSE o.w BETWEEN p.w - p.wd + 1 AND p.w END GROUP BY 1, 2, 3), "
     f"y AS (SELECT *, (vol - avg(vol) OVER p) / (stddev_pop(vol) OVER p + 1e-12) AS vol_norm FROM z WINDOW p AS (PARTITION BY signal_id, trend)) SELECT signal_id, trend, w, {sr_('vol', 'vol_norm', d=5)} FROM y",
     "garch_recursion": f"WITH RECURSIVE {B}, c AS (SELECT signal_id, i, y - avg(y) OVER (PARTITION BY signal_id) AS x FROM s), g AS (SELECT signal_id, i, x, x * x + 0.05 AS variance FROM c WHERE i = 0 UNION ALL SELECT c.signal_id, c.i, c.x, 0.05 + 0.1 * g.x * g.x + 0.85 * g.variance FROM g JOIN c ON c.signal_id = g.signal_id AND c.i = g.i + 1) "
     f"SELECT signal_id, i, {sr_('variance', d=4)} FROM g",

@@ -433,7 +433,10 @@ def _global(w: tuple) -> str:
     return f"SELECT a_id, b_id, round(least(1, greatest(0, {GLOBAL.format(*w)})) * 100, 4) AS similarity, round(1 - stddev_pop(score), 4) AS coherence, arg_max(trend, score) AS dominant FROM ss GROUP BY 1, 2"
 
 
-VOLATILE = "lg AS (SELECT signal_id, w, trend, CASE WHEN w < 9 THEN stddev_pop(x) OVER (PARTITION BY signal_id, trend ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING) ELSE stddev_pop(x) OVER (PARTITION BY signal_id, trend ORDER BY w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS x FROM l0)"
+VOLATILE = (
+    "lw AS (SELECT *, least(10, greatest(2, count(*) OVER (PARTITION BY signal_id, trend) // 3)) AS wd FROM l0), "
+    "lg AS (SELECT p.signal_id, p.w, p.trend, stddev_pop(o.x) AS x FROM lw p JOIN l0 o ON o.signal_id = p.signal_id AND o.trend = p.trend AND CASE WHEN p.w < p.wd - 1 THEN o.w <= p.w + 1 ELSE o.w BETWEEN p.w - p.wd + 1 AND p.w END GROUP BY 1, 2, 3)"
+)
 VEC = "v AS (SELECT label::VARCHAR AS signal_id, vec_id AS w, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 DOT = "list_inner_product({a}, {b})"
 UNIT = f"{VEC}, un AS (SELECT signal_id, w, list_transform(x, lambda q: q / (sqrt(list_inner_product(x, x)) + 1e-12)) AS u FROM v WHERE signal_id IN ('0', '1')), sm AS (SELECT a.signal_id AS a_id, b.signal_id AS b_id, a.w AS a_w, b.w AS b_w, exp(-3 * (1 - list_inner_product(a.u, b.u)) ** 2) AS sim FROM un a, un b WHERE a.signal_id = '0' AND b.signal_id = '1')"
