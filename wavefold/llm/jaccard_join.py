@@ -38,6 +38,8 @@ WORDS, THRESHOLD, RUNS, SAMPLE, SMALL, DEPTH = 5, 0.8, 14, 32, 128, 3
 #: Sets in a block of a group; share of the smaller sample that a pair must have in common to be compared: with
 #: samples of 40 and 32 in common on average at the threshold, a pair falls short of it once in some 100,000.
 BLOCK, COMMON = 512, 0.28
+#: Keys of rows that are broadcast, so that texts which aren't wanted need not move; more are joined by a shuffle.
+FEW = 500_000
 TOP = float(1 << 64)
 
 
@@ -277,7 +279,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     # Those send their shingles there.
     wanted = needed.groupBy("node").agg(F.collect_list(F.struct("path", "tile", "block")).alias("buckets")).join(sets.select("node", "copies", "k1", "k2"), "node").join(own.drop("sketch"), "node")
     wanted = _store.save(wanted, "wanted")
-    full = texts.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select(*CARRIED, "buckets", "text")
+    asked = texts.select("k1", "k2", "text")
+    if wanted.count() <= FEW:
+        asked = asked.join(F.broadcast(wanted.select("k1", "k2")), ["k1", "k2"], "left_semi")
+    full = asked.join(wanted, ["k1", "k2"]).select(*CARRIED, "buckets", "text")
     full = full.mapInArrow(functools.partial(_texts_to_sets, words=words), "path long, tile long, block int, node long, n long, copies long, paths array<long>, grp long, grouped boolean, data binary")
     full = full.repartition("path", "tile").sortWithinPartitions("path", "tile", "node")
     links = _store.save(full.mapInArrow(functools.partial(_linked, threshold=threshold), "u long, v long, links long"), "links")
@@ -297,14 +302,20 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one row of each component, the one with the smallest doc_id; equal rows of one doc_id are reduced to one."""
     found = jaccard_join(docs, **options)
-    kept = _store.save(found.filter("kept").groupBy("k1", "k2", "component_id", "n_shingles").agg(F.count("*").alias("copies")), "kept")
-    keys = kept.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "copies")
-    text = F.coalesce(docs["text"], F.lit(""))
-    out = docs.join(keys, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("_k1")) & (F.hash(text) == F.col("_k2")))
-    once = out.filter("copies = 1").select(*(docs[c] for c in docs.columns))
-    if kept.filter("copies > 1").isEmpty():
-        return once
-    return once.union(out.filter("copies > 1").dropDuplicates(["_k1", "_k2"]).select(*(docs[c] for c in docs.columns)))
+    keys = _store.save(found.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_copies")), "kept")
+    gone, twice = keys.filter("not _kept"), keys.filter("_kept and _copies > 1")
+
+    def same(of: DataFrame) -> tuple[DataFrame, object]:
+        few = of.count() <= FEW
+        text = F.coalesce(docs["text"], F.lit(""))
+        return (F.broadcast(of) if few else of), (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("_k1")) & (F.hash(text) == F.col("_k2"))
+
+    if twice.isEmpty():
+        return docs.join(*same(gone), "left_anti")
+    either = gone.select("_k1", "_k2").union(twice.select("_k1", "_k2"))
+    once = docs.join(*same(_store.save(either, "either")), "left_anti")
+    again = docs.join(*same(twice.select("_k1", "_k2"))).dropDuplicates(["_k1", "_k2"]).select(*(docs[c] for c in docs.columns))
+    return once.union(again)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
