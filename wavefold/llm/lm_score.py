@@ -32,9 +32,11 @@ VOCABULARY, BITS, BIGRAM = 1 << 14, 19, 0.6
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = buffers(batch.column("text"))
-        h, _ = word_hashes(raw, offsets)
-        u, n = np.unique(h, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["word", "n"])
+        found = [np.unique(word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0], return_counts=True) for i, j in chunks(offsets)]
+        if found:
+            u, at = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in found]), len(u)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
 def _ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
