@@ -27,6 +27,8 @@ from ._text import U, buffers, chunks, mix, word_hashes
 
 #: Words in the vocabulary; bits of the bigram table; share of the bigram estimate in a word's probability.
 VOCABULARY, BITS, BIGRAM = 1 << 14, 19, 0.6
+#: Target ids that are broadcast, so that texts need not move; more are joined by a shuffle.
+FEW = 500_000
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, bits:
     top = counted.orderBy(F.col("n").desc(), "word").limit(vocabulary).toArrow()
     words = np.sort(top.column("word").to_numpy().view(U))
     good = labels.groupBy("doc_id").agg((F.coalesce(F.max("quality"), F.lit(0)) * (1 - F.coalesce(F.max("toxic"), F.lit(0)))).alias("q")).filter("q = 1").select("doc_id", F.lit(True).alias("good"))
-    marked = texts.join(good, "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), "text")
+    good = _store.save(good, "good")
+    marked = texts.join(F.broadcast(good) if good.count() <= FEW else good, "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), "text")
     pairs = marked.mapInArrow(functools.partial(_pair_counts, vocabulary=words, bits=bits), "key long, target long, every long")
     pairs = _store.save(pairs.groupBy("key").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "counts").toArrow()
     key = pairs.column("key").to_numpy()
