@@ -206,6 +206,33 @@ def test_lm(spark):
     assert lm_score.lm_score(empty(spark), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_lm_counts_every_word_and_bigram(spark):
+    """Against plain Python; over 16,384 words, of which any may be rare, in chunks that part texts with the same words."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(20000)}" if rng.random() < 0.8 else "the" for _ in range(100))) for i in range(600)] + corpus(8)
+    labels = [(i, int(i % 2 == 0), int(i % 10 == 0)) for i in range(320)]
+    good = {i for i, q, t in labels if q and not t}
+    split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    one, two = ([Counter(g for i, w in split if k or i in good for g in of(w)) for k in (0, 1)] for of in (lambda w: w, lambda w: zip(w, w[1:])))
+    size, words = [sum(c.values()) for c in one], len(one[1])
+    assert words > 16384
+
+    def loss(k, w):
+        f, out = size[0] / size[k], 0.0
+        for j, x in enumerate(w):
+            p = (one[k][x] * f + 1) / (size[0] + words + 1)
+            if j:
+                p = 0.4 * p + (0.6 * two[k][w[j - 1], x] / one[k][w[j - 1]] if one[k][w[j - 1]] else 0)
+            out -= math.log2(p)
+        return out / max(1, len(w))
+
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = sorted((i or 0, len(w), loss(0, w), loss(1, w)) for i, w in split)
+    for options in ({}, {"part": 5000}):
+        got = sorted((r.doc_id or 0, r.n_tokens, r.ce_target, r.ce_background) for r in lm_score.lm_score(frame(spark, rows), table, **options).collect())
+        assert len(got) == len(want) and np.allclose(got, want, rtol=1e-9)
+
+
 def test_lm_losses_by_hand():
     vocabulary = np.array([10, 20], np.uint64)
     model = lm_score.Model(vocabulary, np.array([[3, 1, 0], [2, 2, 0]], np.float32), np.zeros((2, 1 << 8), np.float32), 8, 0.6)

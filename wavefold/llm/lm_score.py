@@ -1,13 +1,21 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models share one vocabulary, the words that are most frequent in the
-corpus: the target model counts the texts that labels call good, the background
-model all texts, with its counts scaled to the target's number of words, so that
-both are smoothed alike. A text's score is the mean over its words of the loss
-under the target model less that under the background model, in bits: the lower,
-the more it is like the target. Unigram counts are exact; bigram counts of two
-vocabulary words are kept in a table of fixed size by hash, which bounds what is
-broadcast whatever the corpus.
+Two bigram models share one vocabulary, all words of the corpus: the target
+model counts the texts that labels call good, the background model all texts,
+with its counts scaled to the target's number of words, so that both are
+smoothed alike. A text's score is the mean over its words of the loss under the
+target model less that under the background model, in bits: the lower, the more
+it is like the target.
+
+Every word and every bigram is counted, however rare, by 64-bit hash. Texts are
+written in chunks of some MB; each chunk asks once for every word and bigram it
+holds, with its own counts, in order of key and packed by ranges of keys. The
+sum over all chunks that ask for the same one is the corpus count, and the sums
+go back to each chunk in its own order. So a hot word is one entry a chunk, no
+counts are broadcast, and what is counted grows with the corpus.
+
+A caller that names a vocabulary size gets models of bounded size instead (the
+most frequent words; bigrams in a table by hash), which fit a broadcast.
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +34,10 @@ from . import _store
 from ._spans import keyed
 from ._text import U, buffers, chunks, mix, word_hashes
 
-#: Words in the vocabulary; bits of the bigram table; share of the bigram estimate in a word's probability.
-VOCABULARY, BITS, BIGRAM = 1 << 14, 19, 0.6
+#: Share of the bigram estimate in a word's probability; bits of the bigram table where the vocabulary is bounded.
+BIGRAM, BITS = 0.6, 19
+#: Bytes of text in a chunk; a longer text is in one chunk.
+PART = 8 << 20
 #: Target ids that are broadcast, so that texts need not move; more are joined by a shuffle.
 FEW = 500_000
 
@@ -99,15 +110,20 @@ class Model:
         return -np.log2(p)
 
 
-def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, bits: int = BITS, bigram: float = BIGRAM) -> Model:
-    """Both models from all docs (doc_id, text); labels (doc_id, quality, toxic) tell the target texts: quality 1, not toxic."""
+def _marked(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """texts with ``good``: whether labels tell that the text is a target."""
+    good = labels.groupBy("doc_id").agg((F.coalesce(F.max("quality"), F.lit(0)) * (1 - F.coalesce(F.max("toxic"), F.lit(0)))).alias("q")).filter("q = 1").select("doc_id", F.lit(True).alias("good"))
+    good = _store.save(good, "good")
+    return texts.join(F.broadcast(good) if good.count() <= FEW else good, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, vocabulary: int, bits: int = BITS, bigram: float = BIGRAM) -> Model:
+    """Both models of bounded size from all docs (doc_id, text); labels (doc_id, quality, toxic) tell the target texts: quality 1, not toxic."""
     texts = keyed(docs)
     counted = texts.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.col("n").desc(), "word").limit(vocabulary).toArrow()
     words = np.sort(top.column("word").to_numpy().view(U))
-    good = labels.groupBy("doc_id").agg((F.coalesce(F.max("quality"), F.lit(0)) * (1 - F.coalesce(F.max("toxic"), F.lit(0)))).alias("q")).filter("q = 1").select("doc_id", F.lit(True).alias("good"))
-    good = _store.save(good, "good")
-    marked = texts.join(F.broadcast(good) if good.count() <= FEW else good, "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), "text")
+    marked = _marked(texts, labels).select("good", "text")
     pairs = marked.mapInArrow(functools.partial(_pair_counts, vocabulary=words, bits=bits), "key long, target long, every long")
     pairs = _store.save(pairs.groupBy("key").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "counts").toArrow()
     key = pairs.column("key").to_numpy()
@@ -137,7 +153,145 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(target), pa.array(every), pa.array(target - every)], names=["doc_id", "n_tokens", "ce_target", "ce_background", "score"])
 
 
-def lm_score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def _dealt(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    """One row a chunk: about part bytes of consecutive texts, with their ids, compressed."""
+    held, size, chunk = [], 0, TaskContext.get().partitionId() << 32
+
+    def row() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "body"])
+
+    for batch in batches:
+        _, offsets = buffers(batch.column("text"))
+        for i, j in chunks(offsets, part):
+            if held and size + offsets[j] - offsets[i] > part:
+                yield row()
+                held, size, chunk = [], 0, chunk + 1
+            held.append(batch.slice(i, j - i))
+            size += offsets[j] - offsets[i]
+    if held:
+        yield row()
+
+
+def _keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words that follow another word of their row, and the keys of these bigrams."""
+    follows = np.ones(len(h), bool)
+    follows[first[:-1][first[:-1] < len(h)]] = False
+    at = np.flatnonzero(follows)
+    return at, mix(h[at - 1] * U(0x9E3779B97F4A7C15) + h[at])
+
+
+def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their counts in target texts and in all."""
+    key = np.concatenate([k for k, _ in parts])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[: len(key)]
+    return key[start], np.add.reduceat(np.concatenate([n for _, n in parts], 1)[:, order], start, 1) if len(key) else np.zeros((2, 0), np.int64)
+
+
+def _counted(texts: pa.Table, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Every word (and bigram) of a chunk, in order, with its counts there."""
+    parts = [(np.zeros(0, U), np.zeros((2, 0), np.int64))]
+    for batch in texts.to_batches():
+        raw, offsets = buffers(batch.column("text"))
+        good = batch.column("good").to_numpy(zero_copy_only=False)
+        for i, j in chunks(offsets):
+            h, first = word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            mine = np.repeat(good[i:j], np.diff(first))
+            if pairs:
+                at, two = _keys(h, first)
+                h, mine = np.concatenate([h, two]), np.concatenate([mine, mine[at]])
+            parts.append(_summed([(h, np.stack([mine.astype(np.int64), np.ones(len(h), np.int64)]))]))
+    return _summed(parts)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte by byte of their numbers, which leaves runs of zeros, compressed."""
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), 8).T).tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n * columns, codec="zstd"), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(p.T).view(np.int64).ravel() for p in planes]
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Bounds of each bucket's range in keys in order."""
+    step = (1 << 64) // buckets + 1
+    return np.r_[0, np.searchsorted(key, np.array([k * step for k in range(1, buckets)], U)), len(key)]
+
+
+def _asked(batches: Iterator[pa.RecordBatch], pairs: bool, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What each chunk holds, as differences of keys in order, by ranges of keys."""
+    for batch in batches:
+        for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body")):
+            key, n = _counted(pa.ipc.open_stream(body.as_buffer()).read_all(), pairs)
+            bounds = _bucket(key, buckets)
+            some = np.flatnonzero(np.diff(bounds))
+            data = [_pack(np.diff(key[bounds[b] : bounds[b + 1]], prepend=U(0)), n[0, bounds[b] : bounds[b + 1]], n[1, bounds[b] : bounds[b + 1]]) for b in some]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), pa.array(some), pa.array(data, pa.binary())], names=["chunk", "bucket", "data"])
+
+
+def _merged(asked: pa.Table, answers: bool) -> pa.Table:
+    """For each chunk the corpus counts of what it asked for, in its order; or the number of distinct keys and their sums."""
+    parts = [_unpack(d, 3) for d in asked.column("data").to_pylist()]
+    key = np.concatenate([np.cumsum(p[0].view(U), dtype=U) for p in parts])
+    u, at = np.unique(key, return_inverse=True)
+    n = [np.bincount(at, np.concatenate([p[k] for p in parts]), len(u)).astype(np.int64) for k in (1, 2)]
+    if not answers:
+        return pa.table({"target": [int(n[0].sum())], "every": [int(n[1].sum())], "words": [len(u)]})
+    ends = np.cumsum([len(p[0]) for p in parts])
+    data = [_pack(n[0][own], n[1][own]) for own in np.split(at, ends[:-1])]
+    return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(data, pa.binary())], names=["chunk", "bucket", "data"])
+
+
+def _answered(counts: pa.Table, texts: pa.Table, total: tuple[int, int, int], bigram: float) -> pa.Table:
+    """Scores of a chunk's texts, from the corpus counts of its words and bigrams."""
+    texts = pa.ipc.open_stream(texts.column("body")[0].as_buffer()).read_all()
+    key, _ = _counted(texts, True)
+    n = [_unpack(d, 2) for d in counts.sort_by("bucket").column("data").to_pylist()]
+    n = np.concatenate([np.stack(c) for c in n], 1) if n else np.zeros((2, 0))
+    if n.shape[1] != len(key):
+        raise ValueError(f"{n.shape[1]} answers to {len(key)} keys")
+    # The background's counts are scaled to the target's words; without target texts both models are uniform.
+    n = n * np.array([1.0, total[0] / max(1, total[1])])[:, None]
+    out = []
+    for batch in texts.to_batches():
+        raw, offsets = buffers(batch.column("text"))
+        for i, j in chunks(offsets):
+            h, first = word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            size = np.diff(first)
+            row = np.repeat(np.arange(j - i), size)
+            own = n[:, np.searchsorted(key, h)]
+            at, two = _keys(h, first)
+            p, before = (own + 1) / (total[0] + total[2] + 1), own[:, at - 1]
+            p[:, at] = bigram * n[:, np.searchsorted(key, two)] / np.maximum(before, 1e-9) + (1 - bigram) * p[:, at]
+            target, every = (np.bincount(row, b, j - i) / np.maximum(size, 1) for b in -np.log2(p))
+            out.append(pa.table([batch.column("doc_id").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(target), pa.array(every), pa.array(target - every)], names=["doc_id", "n_tokens", "ce_target", "ce_background", "score"]))
+    return pa.concat_tables(out)
+
+
+def exact(docs: DataFrame, labels: DataFrame, bigram: float = BIGRAM, part: int = PART) -> DataFrame:
+    """lm_score() by the counts of all words and bigrams."""
+    marked = _marked(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), labels).select("doc_id", "good", "text")
+    texts = _store.save(marked.mapInArrow(functools.partial(_dealt, part=part), "chunk long, body binary"), "texts")
+    buckets = 1 + docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n // part
+    shape = "chunk long, bucket long, data binary"
+    words = texts.mapInArrow(functools.partial(_asked, pairs=False, buckets=buckets), shape)
+    total = words.groupBy("bucket").applyInArrow(lambda t: _merged(t, False), "target long, every long, words long")
+    total = tuple(total.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("target", "every", "words"))).first())
+    asked = texts.mapInArrow(functools.partial(_asked, pairs=True, buckets=buckets), shape)
+    counts = asked.groupBy("bucket").applyInArrow(lambda t: _merged(t, True), shape)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return counts.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(lambda n, t: _answered(n, t, total, bigram), f"doc_id {kind}, n_tokens long, ce_target double, ce_background double, score double")
+
+
+def lm_score(docs: DataFrame, labels: DataFrame, vocabulary: int | None = None, **options) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens, ce_target, ce_background, score (their difference, bits a word).
 
     Words are separated by ASCII white space and unchanged. A null, empty or
@@ -146,7 +300,9 @@ def lm_score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     doc_id that is labelled twice has the larger labels. An empty table gives an
     empty result; other columns are ignored.
     """
-    model = fit(docs, labels, **options)
+    if vocabulary is None:
+        return exact(docs, labels, **options)
+    model = fit(docs, labels, vocabulary, **options)
     return keyed(docs).select("doc_id", "text").mapInArrow(functools.partial(_scored, model=model), "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
 
 
