@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from wavefold.llm.embedding_dedup import embedding_dedup
+from wavefold.llm.embedding_dedup import audited_recall, embedding_dedup
 from wavefold.llm.jaccard_join import jaccard_join, one_of_each
 
 from .helpers import corpus, empty, frame, prose
@@ -81,3 +81,16 @@ def test_embeddings(spark):
     got = embedding_dedup(df, block=16, length=4, longest=8).collect()
     assert Counter(want) == Counter((r.vec_id, r.n_links, r.component_id) for r in got)
     assert embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_embedding_audit_weighs_queries_alike(spark):
+    dense = [(5000, 5000, True)] * 80
+    assert audited_recall(dense + [(1, 0, False)] * 30) == 0
+    assert audited_recall(dense * 9 + [(1, 1, False)] * 30 + [(1, 0, False)]) < 0.99
+    assert audited_recall(dense + [(2, 2, False)] * 30 + [(0, 0, False)] * 90) == 1 == audited_recall([])
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((200, 16))
+    rows = [(2 * i + k, (v + k * 0.08 * rng.standard_normal(16)).tolist(), 1) for i, v in enumerate(x) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_dedup(df, tables=1, block=2, rounds=0, attempts=1)
