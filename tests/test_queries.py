@@ -38,3 +38,11 @@ QUICK = ("acf_peaks", "find_peaks", "pacf_table", "window_features", "pca_varian
 def test_runs(spark, name):
     df = catalog.QUERIES[name](spark, SF)
     assert df.count() > 0 and len(df.columns) == len(set(df.columns))
+
+
+def test_hmm_forecast_takes_every_user(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    few = [r.user_id for r in events.select("user_id").distinct().orderBy("user_id").limit(2).collect()]
+    moved = (events.user_id + 1000).cast(events.schema["user_id"].dataType)
+    events.filter(events.user_id.isin(few)).withColumn("user_id", moved).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.signal_id for r in catalog.QUERIES["hmm_forecast"](spark, str(tmp_path)).collect()} == {str(u + 1000) for u in few}

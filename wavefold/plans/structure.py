@@ -310,7 +310,7 @@ def arima_forecast(spark, d):
 
 
 def hmm_forecast(spark, d):
-    z = forecast.forecasts(signals.by_user(spark, d).filter(F.length("signal_id") < 3), ["signal_id"], "i", "y", 10, ("hmm",))
+    z = forecast.forecasts(signals.by_user(spark, d), ["signal_id"], "i", "y", 10, ("hmm",))
     return forecast.metrics(z, ["signal_id", "model"]).select("signal_id", "model", *r("rmse", "mae", d=4))
 
 
