@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from wavefold import catalog
+from wavefold.operators import discovery
 
 SF = os.environ.get("WAVEFOLD_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -46,3 +48,22 @@ def test_hmm_forecast_takes_every_user(spark, tmp_path):
     moved = (events.user_id + 1000).cast(events.schema["user_id"].dataType)
     events.filter(events.user_id.isin(few)).withColumn("user_id", moved).write.parquet(f"{tmp_path}/events.parquet")
     assert {r.signal_id for r in catalog.QUERIES["hmm_forecast"](spark, str(tmp_path)).collect()} == {str(u + 1000) for u in few}
+
+
+def test_self_motifs_search_every_lag(spark):
+    """Against plain numpy, on signals whose least lag is over 12 and whose motifs come late."""
+    from wavefold.functions.kernels import find_peaks
+
+    rng = np.random.default_rng(5)
+    rows, want = [], set()
+    for name, n in (("a", 160), ("b", 140), ("c", 9)):
+        x = rng.standard_normal((n, 4)) if name == "b" else np.eye(4)[np.arange(n) * 4 // n] + 0.05 * rng.standard_normal((n, 4))
+        if name == "a":
+            x[150:] = x[:10]
+        rows += [(name, w, *map(float, v)) for w, v in enumerate(x)]
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        all_ = [(name, lag, int(p)) for lag in range(max(3, n // 10), n - 2) for p in find_peaks(np.diag(u @ u.T, lag), height=0.85, distance=3)]
+        want |= set(all_[:20] if n >= 10 else [])
+    names = ", ".join(f"{t}_norm double" for t in discovery.TRENDS)
+    got = discovery.self_motifs(spark.createDataFrame(rows, f"signal_id string, w bigint, {names}"), block=8).collect()
+    assert want and max(k for _, k, _ in want) > 12 and {(r.signal_id, r.lag, r.p) for r in got} == want

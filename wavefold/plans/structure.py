@@ -277,7 +277,7 @@ def characters(spark, d):
 
 
 def self_motifs(spark, d):
-    return discovery.self_motifs(layer(spark, d), 12).select("signal_id", "lag", "p", *r("sim"))
+    return discovery.self_motifs(layer(spark, d)).select("signal_id", "lag", "p", *r("sim"))
 
 
 def corresponding_segments(spark, d):
