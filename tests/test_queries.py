@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from wavefold import catalog
-from wavefold.operators import discovery
+from wavefold.operators import discovery, unsupervised
 
 SF = os.environ.get("WAVEFOLD_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -67,3 +67,20 @@ def test_self_motifs_search_every_lag(spark):
     names = ", ".join(f"{t}_norm double" for t in discovery.TRENDS)
     got = discovery.self_motifs(spark.createDataFrame(rows, f"signal_id string, w bigint, {names}"), block=8).collect()
     assert want and max(k for _, k, _ in want) > 12 and {(r.signal_id, r.lag, r.p) for r in got} == want
+
+
+def test_silhouette_and_outliers_take_every_row(spark):
+    rng = np.random.default_rng(6)
+    c = np.r_[np.zeros(400), np.ones(300), 2].astype(int)
+    x = rng.standard_normal((701, 3)) + c[:, None]
+    rows = spark.createDataFrame([("s", w, v.tolist()) for w, v in enumerate(x)], "signal_id string, w bigint, x array<double>")
+    assigned = spark.createDataFrame([("s", w, int(k)) for w, k in enumerate(c)], "signal_id string, w bigint, cluster bigint")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    value = []
+    for i, k in enumerate(c):
+        a = d[i, c == k].sum() / max(1, (c == k).sum() - 1)
+        b = min(d[i, c == j].mean() for j in range(3) if j != k)
+        value.append((b - a) / max(a, b) if (c == k).sum() > 1 else 0.0)
+    assert abs(unsupervised.silhouette(assigned, rows, block=100).first()[0] - np.mean(value)) < 1e-9
+    scores = spark.range(30000).selectExpr("'s' AS signal_id", "id AS w", "double(id) AS score")
+    assert unsupervised.anomalies(scores, top=None).count() == 1500

@@ -181,10 +181,12 @@ def mahalanobis(rows: DataFrame, vector: str = "x", order: str = "w") -> DataFra
     return arrays.join(inv.filter("n >= 5"), KEY).select(KEY, order, form("c", "inv").alias("score"))
 
 
-def anomalies(scores: DataFrame, share: float = 0.05, top: int = 10, order: str = "w") -> DataFrame:
-    """Rows whose score is over its percentile, the first ``top`` by place."""
+def anomalies(scores: DataFrame, share: float = 0.05, top: int | None = 10, order: str = "w") -> DataFrame:
+    """Rows whose score is over its percentile, the first ``top`` by place, or all if it is None."""
     p = scores.groupBy(KEY).agg(F.percentile("score", F.lit(1 - share)).alias("_p"))
     z = scores.join(p, KEY).filter(F.col("score") > F.col("_p"))
+    if top is None:
+        return z.drop("_p")
     return z.withColumn("_r", F.row_number().over(Window.partitionBy(KEY).orderBy(order))).filter(F.col("_r") <= top).drop("_r", "_p")
 
 
@@ -206,13 +208,24 @@ def cluster_profile(assigned: DataFrame, rows: DataFrame, vector: str = "x", ord
     return n.crossJoin(F.broadcast(total)).join(dims, "cluster").select("cluster", "size", (F.col("size") / F.col("_t")).alias("fraction"), "first", "last", "mean")
 
 
-def silhouette(assigned: DataFrame, rows: DataFrame, cap: int = 2000, vector: str = "x", order: str = "w") -> DataFrame:
-    """(silhouette): mean of (b - a) / max(a, b) by Euclidean distance over at most cap rows (by hash), against all rows; singletons count 0."""
-    z = assigned.join(rows, [KEY, order]).select(KEY, order, "cluster", vector)
-    asked = z.orderBy(F.xxhash64(KEY, order), KEY, order).limit(cap).select(F.col(KEY).alias("_s"), F.col(order).alias("_o"), F.col("cluster").alias("_c"), F.col(vector).alias("_x"))
-    gap = F.sqrt(F.aggregate(F.zip_with(vector, "_x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    d = z.crossJoin(F.broadcast(asked)).select("_s", "_o", "_c", "cluster", gap.alias("d"))
-    m = d.groupBy("_s", "_o", "_c", "cluster").agg(F.sum("d").alias("sum"), F.count("*").alias("n"))
+def silhouette(assigned: DataFrame, rows: DataFrame, block: int = 512, vector: str = "x", order: str = "w") -> DataFrame:
+    """(silhouette): mean of (b - a) / max(a, b) by Euclidean distance over all rows, compared by blocks of about block rows; singletons count 0."""
+    z = assigned.join(rows, [KEY, order]).select(KEY, order, "cluster", vector).persist()
+    blocks = F.pmod(F.xxhash64(KEY, order), F.lit(1 + z.count() // block)).alias("_k")
+    packed = z.groupBy(blocks).agg(F.collect_list(F.struct(F.col(KEY).alias("_s"), F.col(order).alias("_o"), F.col("cluster").alias("_c"), F.col(vector).alias("_x"))).alias("_a"))
+    spread = packed.crossJoin(packed.select(F.col("_a").alias("_b")))
+
+    def partial(batches):
+        for df in batches:
+            for left, right in zip(df["_a"], df["_b"]):
+                x, y = (np.array([list(r["_x"]) for r in side], float) for side in (left, right))
+                c = np.array([r["_c"] for r in right])
+                d = np.stack([np.sqrt(((y - v) ** 2).sum(1)) for v in x])
+                for k in np.unique(c):
+                    yield pd.DataFrame({"_s": [r["_s"] for r in left], "_o": [r["_o"] for r in left], "_c": [r["_c"] for r in left], "cluster": k, "d": d[:, c == k].sum(1), "n": int((c == k).sum())})
+
+    d = spread.select("_a", "_b").repartition(z.sparkSession.sparkContext.defaultParallelism).mapInPandas(partial, f"_s string, _o {dict(z.dtypes)[order]}, _c bigint, cluster bigint, d double, n bigint")
+    m = d.groupBy("_s", "_o", "_c", "cluster").agg(F.sum("d").alias("sum"), F.sum("n").alias("n"))
     own = F.col("cluster") == F.col("_c")
     s = m.groupBy("_s", "_o").agg(F.max(F.when(own, F.try_divide(F.col("sum"), F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("sum") / F.col("n"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("n"))
     value = F.when((F.col("n") > 1) & (F.greatest("a", "b") > 0), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)

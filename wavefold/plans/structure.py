@@ -246,7 +246,7 @@ def recurrence(spark, d):
 
 def mahalanobis_outliers(spark, d):
     z = signals.vectors(spark, d).select(F.lit("all").alias("signal_id"), "w", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
-    return unsupervised.anomalies(unsupervised.mahalanobis_2d(z, "a", "b"), top=1000).select("w", *r("score"))
+    return unsupervised.anomalies(unsupervised.mahalanobis_2d(z, "a", "b"), top=None).select("w", *r("score"))
 
 
 def mahalanobis_scores(spark, d):
@@ -260,7 +260,7 @@ def kmeans_profile(spark, d):
 
 def silhouette(spark, d):
     z = signals.vectors(spark, d)
-    return unsupervised.silhouette(unsupervised.clusters(z).persist(), z, 500).select(*r("silhouette"))
+    return unsupervised.silhouette(unsupervised.clusters(z).persist(), z).select(*r("silhouette"))
 
 
 def nmf_components(spark, d):
