@@ -1,12 +1,14 @@
+import logging
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavefold.llm.embedding_dedup import audited_recall, embedding_dedup
-from wavefold.llm.jaccard_join import jaccard_join, one_of_each
+from wavefold.llm.jaccard_join import Audit, jaccard_join, one_of_each, shingles as shingle_hashes
 
 from .helpers import corpus, empty, frame, prose
 
@@ -29,7 +31,7 @@ def linked(items, alike):
                 root[max(x, y)] = min(x, y)
     low = {}
     for k, (i, _) in enumerate(items):
-        low[find(k)] = min(low.get(find(k), i), i)
+        low[find(k)] = min((x for x in (low.get(find(k)), i) if x is not None), default=None)
     return [(i, n[k], low[find(k)]) for k, (i, _) in enumerate(items)]
 
 
@@ -40,7 +42,7 @@ def shingles(t):
 
 @pytest.mark.parametrize("options", [{}, {"small": 3}, {"small": 1, "depth": 2}])
 def test_jaccard(spark, options):
-    rows = [(i, t) for i, t in corpus(3) if i is not None and i != 308]
+    rows = corpus(3) + [(None, corpus(3)[5][1]), (None, None), (600, corpus(3)[66][1] + " more"), (309, "twice and " + corpus(3)[60][1])] * 2
     rng = random.Random(5)
     base = prose(rng, 60).split()
     for k in range(30):
@@ -54,10 +56,44 @@ def test_jaccard(spark, options):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def near_copies(seed=5, pairs=150):
+    """Pairs of texts a little over the threshold, and groups of near copies."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(pairs):
+        w = prose(rng, 60).split()
+        rows.append((2 * k, " ".join(w)))
+        w[rng.randrange(60)] = f"x{k}"
+        rows.append((2 * k + 1, " ".join(w)))
+    return rows
+
+
+def test_jaccard_audits_recall_and_repeats_runs(spark, caplog):
+    rows = near_copies()
+    want = Counter((i, 1, i - i % 2) for i, _ in rows)
+    with caplog.at_level(logging.INFO, logger="wavefold.llm.jaccard_join"):
+        got = jaccard_join(frame(spark, rows), run_count=0.5, attempts=6, recall=0.999)
+        assert Counter((r.doc_id, r.n_links, r.component_id) for r in got.collect()) == want
+    seen = [r.args for r in caplog.records]
+    assert len(seen) > 1 and seen[0][2] < 0.9 and seen[-1][2] == 1  # the first attempt failed the audit
+    with pytest.raises(RuntimeError, match="recall"):
+        jaccard_join(frame(spark, rows), run_count=0.5, attempts=1)
+
+
+def test_audit_counts_links_with_other_texts():
+    audit = Audit(["a b c d e f g", "p q r s t u v"], 5, 0.8)
+    h, first, node = shingle_hashes(np.frombuffer(b"a b c d e f gp q r s t u v wx y", np.uint8), np.array([0, 13, 28, 31]), 5)
+    size = np.diff(first)
+    assert audit.near(h, np.repeat(np.arange(3), size), size).to_pylist() == [[0], [], []] and node.view(np.int64)[0] == audit.nodes[0]
+    a, b = audit.nodes.tolist()
+    assert audit.recall({0: 5, 1: 4}, {a: (4, 3), b: (3, 2)}) == (1 + 1) / 2 and audit.recall({0: 5, 1: 4}, {a: (2, 3), b: (2, 2)}) == (0 + 0.5) / 2
+    assert audit.recall({0: 3}, {a: (2, 3)}) is None and Audit([], 5, 0.8).recall({}, {}) is None
+
+
 def test_one_of_each(spark):
-    docs = frame(spark, corpus())
+    docs = frame(spark, corpus()).withColumn("_kept", F.lit(3)).withColumn("row", F.lit("r"))
     kept = one_of_each(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {(r.k1, r.node, r._kept, r.row) for r in kept.collect()} == {("x", 1, 3, "r")}
     ids = [r.doc_id for r in kept.collect()]
     assert {304, 305, 306} <= set(ids) and ids.count(309) == 1 and 300 not in ids and 201 not in ids and 200 in ids and 311 not in ids
     assert one_of_each(empty(spark)).count() == 0

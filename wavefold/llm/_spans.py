@@ -14,32 +14,37 @@ anchor's hash and always by sums or minima; where more than ``wide`` different
 spans share an anchor, they are cut into blocks of windows at equal distances
 from the anchor, and what all windows of a block have in common takes the
 anchor's place: a much longer text, which fewer spans share. This goes on down
-to single windows, so no group is compared in one task unless it is small. Keys
-are 128 bits of hash (anchor and span), so that unequal text counts as equal
-with a probability of about 2**-128 a pair.
+to single windows, so no group is compared in one task unless it is small. Rows
+are told apart by 128 bits of id and text; spans count as equal if the hashes of
+anchor and span, some 60 bits each, both agree.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
-from ._text import CHUNK, U, buffers, chunks, expand, grams, mix, prefix, runs, sliding_min, word_hashes, words
+from ._text import CHUNK, U, buffers, choosers, chunks, expand, mix, prefix, runs, sliding_min, word_hashes, words
 
-ANCHORS = "k1 long, k2 int, ah long, sh long, lo int, nw short"
+ANCHORS = "k1 long, k2 long, ah long, sh long, lo int, nw short, ld short"
+
+
+def key_of(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that rows of equal doc_id and text share and, in effect, no others; a null text is empty."""
+    return tuple(F.xxhash64(F.lit(seed), doc_id.isNull(), doc_id, F.coalesce(text, F.lit(""))) for seed in ("a", "b"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the key (k1, k2) that tells apart rows of one doc_id but not equal rows."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.hash(text).alias("k2"), text.alias("text"))
+    """doc_id, text and the key (k1, k2) that tells apart all rows but equal ones."""
+    k1, k2 = key_of(F.col("doc_id"), F.col("text"))
+    return docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def _symbols(raw: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -47,23 +52,22 @@ def _symbols(raw: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarra
 
 
 def _sample(symbols: np.ndarray, first: np.ndarray, window: int, gram: int):
-    """Anchors of the rows that first delimits: (row, anchor hash, span hash, first owned window, owned windows), positions from the row's start."""
-    p = prefix(symbols)
-    g = grams(p, gram)
-    w = window - gram + 1
+    """Anchors of the rows that first delimits: (row, anchor hash, span hash, first owned window, owned windows, anchor's distance from it), positions from the row's start."""
     count = np.maximum(0, np.diff(first) - window + 1)
     if not count.any():
         return None
-    low = U((1 << max(1, len(p).bit_length())) - 1)
-    key = g & ~low
-    key |= np.arange(len(g), dtype=U)
+    p = prefix(symbols)
+    key = choosers(symbols, gram)
+    low = U((1 << max(1, len(symbols).bit_length())) - 1)
+    key &= ~low
+    key |= np.arange(len(key), dtype=U)
     start, row = expand(first[:-1], count)
-    at = (sliding_min(key, w) & low)[start].astype(np.int64)
-    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    at = (sliding_min(key, window - gram + 1) & low)[start].astype(np.int64)
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])])
     at, lo, row, n = at[new], start[new], row[new], np.diff(np.r_[new, len(start)])
     span = runs(p, lo, lo + n - 1 + window)
     span ^= (at - lo).astype(U) * U(0x9E3779B97F4A7C15) + n.astype(U)
-    return row, g[at], mix(span), lo - first[row], n
+    return row, runs(p, at, at + gram), mix(span), lo - first[row], n, at - lo
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -73,9 +77,10 @@ def _anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, gram: in
         for i, j in chunks(offsets):
             found = _sample(*_symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit), window, gram)
             if found:
-                row, ah, sh, lo, n = found
+                row, ah, sh, lo, n, ld = found
                 of = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([k1.take(of), k2.take(of), pa.array(ah.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int16))], names=["k1", "k2", "ah", "sh", "lo", "nw"])
+                cols = [k1.take(of), k2.take(of), pa.array(ah.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(ld.astype(np.int16))]
+                yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "ah", "sh", "lo", "nw", "ld"])
 
 
 def anchors(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
@@ -84,8 +89,8 @@ def anchors(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """Per anchor hash: how often it occurs, and whether its spans differ (s1 <> s2)."""
-    return found.groupBy("ah").agg(F.count("*").alias("n"), F.min("sh").alias("s1"), F.max("sh").alias("s2"))
+    """Per anchor hash: how often it occurs, whether its spans differ (s1 <> s2), and the windows of the widest."""
+    return found.groupBy("ah").agg(F.count("*").alias("n"), F.min("sh").alias("s1"), F.max("sh").alias("s2"), F.max("nw").alias("nw"))
 
 
 def _binary(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> pa.Array:
@@ -95,27 +100,21 @@ def _binary(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, size: in
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(symbols[at]).view(np.uint8))])
 
 
-def _contents(batches: Iterator[pa.RecordBatch], unit: str, window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Symbols of the listed spans of each row, and the anchor's place in them (lead)."""
+def _contents(batches: Iterator[pa.RecordBatch], unit: str, window: int) -> Iterator[pa.RecordBatch]:
+    """Symbols of the listed spans of each row."""
     for batch in batches:
         raw, offsets = buffers(batch.column("text"))
         lists = batch.column("spans")
         flat, ends = lists.flatten(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
-        lo, n, ah = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "nw", "ah"))
+        lo, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "nw"))
         for i, j in chunks(offsets):
             symbols, first = _symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit)
-            g = grams(prefix(symbols), gram).view(np.int64)
             row = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
             for a in range(ends[i], ends[j], 1024):  # offsets of binary() are 32 bits
                 b = min(a + 1024, ends[j])
                 start = first[row[a - ends[i] : b - ends[i]]] + lo[a:b]
-                # The anchor is the first run with its hash that the last owned window has.
-                at, owner = expand(start + n[a:b] - 1, window - gram + 2 - n[a:b])
-                same = np.flatnonzero(g[at] == ah[a:b][owner])
-                _, one = np.unique(owner[same], return_index=True)
-                lead = at[same[one]] - start
                 rest = flat.slice(a, b - a)
-                cols = [rest.field("ah"), rest.field("sh"), rest.field("ah"), rest.field("sh"), rest.field("m"), rest.field("nw"), pa.array(np.zeros(b - a, np.int32)), pa.array(lead.astype(np.int32)), _binary(symbols, start, n[a:b] - 1 + window, 1 if unit == "byte" else 8)]
+                cols = [rest.field("ah"), rest.field("sh"), rest.field("ah"), rest.field("sh"), rest.field("m"), rest.field("nw"), pa.array(np.zeros(b - a, np.int32)), rest.field("ld").cast(pa.int32()), _binary(symbols, start, n[a:b] - 1 + window, 1 if unit == "byte" else 8)]
                 yield pa.RecordBatch.from_arrays(cols, names=CONTENT)
 
 
@@ -143,19 +142,25 @@ def _flat(column: pa.ChunkedArray) -> pa.Array:
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
 
-def _compare(batches: Iterator[pa.RecordBatch], unit: str, window: int) -> Iterator[pa.RecordBatch]:
+def by_hash(symbols: np.ndarray, first: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+    """Which windows, in order of (row, start), occur in another row of their row's group."""
+    start, row = expand(first[:-1], np.diff(first) - window + 1)
+    h, group = runs(prefix(symbols), start, start + window), group[row]
+    order = np.lexsort((h, group))
+    same = np.flatnonzero((h[order][1:] == h[order][:-1]) & (group[order][1:] == group[order][:-1]))
+    repeated = np.zeros(len(h), bool)
+    repeated[order[same]] = repeated[order[same + 1]] = True
+    return repeated
+
+
+def _compare(batches: Iterator[pa.RecordBatch], unit: str, window: int, shared: Callable) -> Iterator[pa.RecordBatch]:
     """Windows that spans of one anchor share; rows come in order of ah."""
 
     def told(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         symbols, first = _read(table, unit)
         start, row = expand(first[:-1], np.diff(first) - window + 1)
-        h = runs(prefix(symbols), start, start + window)
-        ah = table.column("ah").to_numpy()[row]
-        order = np.lexsort((h, ah))
-        same = np.flatnonzero((h[order][1:] == h[order][:-1]) & (ah[order][1:] == ah[order][:-1]))
-        repeated = np.zeros(len(h), bool)
-        repeated[order[same]] = repeated[order[same + 1]] = True
+        repeated = shared(symbols, first, table.column("ah").to_numpy(), window)
         place = start - first[row] + table.column("i0").to_numpy()[row]
         return pa.RecordBatch.from_arrays([_flat(table.column("of_ah")), _flat(table.column("of_sh")), _ranges(repeated, row, place, table.num_rows)], names=["of_ah", "of_sh", "ranges"])
 
@@ -198,23 +203,25 @@ def _divide(batches: Iterator[pa.RecordBatch], unit: str, window: int, block: in
             yield pa.RecordBatch.from_arrays(cols, names=[c for c in CONTENT if c != "m"])
 
 
-def repeats(docs: DataFrame, found: DataFrame, known: DataFrame, unit: str, window: int, gram: int, wide: int = 128) -> DataFrame:
+def repeats(docs: DataFrame, found: DataFrame, known: DataFrame, unit: str, window: int, gram: int, wide: int = 128, shared: Callable = by_hash) -> DataFrame:
     """(k1, k2, runs array<struct<s, e>>): symbols [s, e) of repeated windows, for rows that have any.
 
-    docs: keyed(); found: anchors() of docs; known: summary() of found, kept to
-    n > 1 and written, so that a hot anchor's partition can be split in the join.
+    docs: keyed(); found: anchors() of docs; known: the anchors that occur more
+    than once, with the least and the greatest hash of their spans (ah, s1, s2),
+    written, so that a hot anchor's partition can be split in the join; shared:
+    tells which windows spans of one anchor share.
     """
-    at = [F.col("k1"), F.col("k2"), F.col("lo"), F.col("nw")]
-    hits = _store.save(found.join(known, "ah").select(*at, "ah", "sh", (F.col("s1") != F.col("s2")).alias("mixed")), "hits")
+    at = [F.col("k1"), F.col("k2"), F.col("lo"), F.col("nw"), F.col("ld")]
+    hits = _store.save(found.join(known.select("ah", "s1", "s2"), "ah").select(*at, "ah", "sh", (F.col("s1") != F.col("s2")).alias("mixed")), "hits")
     spans = _store.save(hits.filter("mixed").groupBy("ah", "sh").agg(F.count("*").alias("c"), F.max(F.struct(*at)).alias("at")), "spans")
     sizes = _store.save(spans.groupBy("ah").agg(F.count("*").cast("int").alias("m")), "sizes")
-    wanted = spans.join(sizes, "ah").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("ah", "sh", "m", "at.lo", "at.nw")).alias("spans"))
+    wanted = spans.join(sizes, "ah").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("ah", "sh", "m", "at.lo", "at.nw", "at.ld")).alias("spans"))
     content = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "spans")
-    content = _store.save(content.mapInArrow(functools.partial(_contents, unit=unit, window=window, gram=gram), CONTENT_SHAPE), "content")
+    content = _store.save(content.mapInArrow(functools.partial(_contents, unit=unit, window=window), CONTENT_SHAPE), "content")
 
     def compared(rows: DataFrame) -> DataFrame:
         near = rows.filter(F.col("m") <= wide).select("of_ah", "of_sh", "ah", "i0", "symbols").repartition("ah").sortWithinPartitions("ah")
-        near = near.mapInArrow(functools.partial(_compare, unit=unit, window=window), "of_ah long, of_sh long, ranges array<struct<a:int,b:int>>")
+        near = near.mapInArrow(functools.partial(_compare, unit=unit, window=window, shared=shared), "of_ah long, of_sh long, ranges array<struct<a:int,b:int>>")
         return near.select("of_ah", "of_sh", F.explode("ranges").alias("r")).select("of_ah", "of_sh", "r.a", "r.b")
 
     ranges, block = compared(content), window - gram + 1
@@ -224,8 +231,8 @@ def repeats(docs: DataFrame, found: DataFrame, known: DataFrame, unit: str, wind
         rest = [c for c in CONTENT if c != "m"]
         parts = hot.select(*rest).mapInArrow(functools.partial(_divide, unit=unit, window=window, block=block), ", ".join(x for x in CONTENT_SHAPE.split(", ") if not x.startswith("m ")))
         parts = _store.save(parts, "parts")
-        shared = _store.save(parts.groupBy("ah").agg(F.count("*").alias("n"), F.min("sh").alias("s1"), F.max("sh").alias("s2")).filter("n > 1"), "shared")
-        parts = _store.save(parts.join(shared, "ah").select(*rest, (F.col("s1") != F.col("s2")).alias("mixed")), "parts")
+        twice = _store.save(parts.groupBy("ah").agg(F.count("*").alias("n"), F.min("sh").alias("s1"), F.max("sh").alias("s2")).filter("n > 1"), "twice")
+        parts = _store.save(parts.join(twice, "ah").select(*rest, (F.col("s1") != F.col("s2")).alias("mixed")), "parts")
         equal = _store.save(parts.filter("mixed").groupBy("ah", "sh").agg(F.count("*").alias("c"), F.max(F.struct(*rest)).alias("one")), "equal")
         sizes = _store.save(equal.groupBy("ah").agg(F.count("*").cast("int").alias("m")), "sizes")
         again = parts.filter("mixed").select("of_ah", "of_sh", "ah", "sh", "i0", "nw").join(equal.filter("c > 1").select("ah", "sh"), ["ah", "sh"])

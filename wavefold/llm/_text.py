@@ -12,27 +12,45 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_R = 0x9E3779B97F4A7C15
-_RI = pow(_R, -1, 1 << 64)
 CHUNK = 1 << 19
+#: Hashes are sums of symbol * base**place modulo the prime 2**31 - 1, in two lanes of a base each.
+PRIME, SHIFT = U((1 << 31) - 1), U(31)
+BASES = (1_103_515_245, 1_664_525_017)
+#: Multiplier of the cheap sums modulo 2**64, which choose among places and never tell that texts are equal.
+_ODD = 0x9E3779B97F4A7C15
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_pow = [np.ones(1, U), np.ones(1, U)]
+_pow: dict = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r**i and r**-i modulo 2**64 for i up to n."""
-    if len(_pow[0]) <= n:
-        size = max(n + 1, CHUNK + 1)
-        for k, r in enumerate((_R, _RI)):
-            out = np.full(size, U(r), U)
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-            _pow[k] = out
-    return _pow[0], _pow[1]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number of the same residue modulo PRIME; changes its argument."""
+    high = x >> SHIFT
+    x &= PRIME
+    x += high
+    return x
+
+
+def powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo PRIME for i up to n."""
+    if lane not in _pow or len(_pow[lane][0]) <= n:
+        size, out = max(n + 1, CHUNK + 1), []
+        for r in (BASES[lane] % int(PRIME), pow(BASES[lane], -1, int(PRIME))):
+            table = np.ones(1, U)
+            while len(table) < size:
+                table = np.r_[table, _exact(table * U(pow(r, len(table), int(PRIME))))]
+            out.append(table[:size])
+        _pow[lane] = tuple(out)
+    return _pow[lane]
+
+
+def _exact(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(_fold(x)))
+    x[x == PRIME] = 0
+    return x
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,25 +64,63 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix(symbols: np.ndarray) -> np.ndarray:
-    """Prefix sums whose differences hash every run of symbols; see runs()."""
+    """Prefix sums in two lanes whose differences hash every run of symbols; see runs()."""
     n = len(symbols)
-    out = np.zeros(n + 1, U)
-    x = symbols.astype(U)
-    x += U(1)
-    x *= powers(n)[0][:n]
-    np.cumsum(x, out=out[1:])
+    if n >= 1 << 30:
+        raise ValueError("a text is too long to be hashed in one piece")
+    out = np.zeros((2, n + 1), U)
+    narrow = symbols.dtype == np.uint8
+    for lane in range(2):
+        x = symbols.astype(U) if narrow else symbols >> U(31 * lane)
+        if narrow:
+            x += U(1)
+        else:
+            x &= PRIME
+        x *= powers(lane, n)[0][:n]
+        np.cumsum(x if narrow and n < 1 << 24 else _fold(x), out=out[lane, 1:])  # sums stay below 2**63
     return out
 
 
+def _lanes(low: np.ndarray, high: np.ndarray, inverse) -> np.ndarray:
+    out = None
+    for k in range(2):
+        x = _fold(high[k] - low[k])
+        x *= inverse(k)
+        x = _exact(x)
+        if out is None:
+            out = x << SHIFT
+        else:
+            out |= x
+    return mix(out)
+
+
 def runs(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of symbols[start:end] for arrays of bounds; equal runs of one length hash alike."""
-    return mix((p[end] - p[start]) * powers(len(p))[1][start])
+    """Hash of symbols[start:end] for arrays of bounds; equal runs of one length hash alike, others with a probability of some 2**-60 only."""
+    n = p.shape[1]
+    return _lanes((p[0][start], p[1][start]), (p[0][end], p[1][end]), lambda k: powers(k, n)[1][start])
 
 
 def grams(p: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k symbols, by its start."""
-    n = len(p) - k
-    return mix((p[k:] - p[:n]) * powers(len(p))[1][:n]) if n > 0 else np.zeros(0, U)
+    n = p.shape[1] - k
+    return _lanes(p[:, :n], p[:, k:], lambda lane: powers(lane, n)[1][:n]) if n > 0 else np.zeros(0, U)
+
+
+_odd: list[np.ndarray] = []
+
+
+def choosers(symbols: np.ndarray, k: int) -> np.ndarray:
+    """A number for every run of k symbols, by its start, that equal runs share. Cheap; it chooses among runs and never tells that two are equal."""
+    n = len(symbols)
+    if n < k:
+        return np.zeros(0, U)
+    if not _odd or len(_odd[0]) <= n:
+        _odd[:] = [np.multiply.accumulate(np.r_[U(1), np.full(max(n, CHUNK) + 1, U(x))]) for x in (_ODD, pow(_ODD, -1, 1 << 64))]
+    x = symbols.astype(U) + U(1)
+    x *= _odd[0][:n]
+    p = np.zeros(n + 1, U)
+    np.cumsum(x, out=p[1:])
+    return mix((p[k:] - p[: n - k + 1]) * _odd[1][: n - k + 1])
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

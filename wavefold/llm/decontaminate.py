@@ -11,17 +11,21 @@ is DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _store
+from ._spans import key_of
 
 WINDOW, SHARE = 13, 20
 #: Characters that separate words, once A-Z are lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Test windows up to which they are broadcast: 13 words of 10 bytes each make 50 MB at most.
-SMALL = 200_000
+#: Test windows in a block. A block's windows and terms are broadcast: 13 words of 10 bytes each make 50 MB at most.
+#: More windows are more blocks, each held against all of the index.
+BLOCK = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -31,9 +35,8 @@ def tokens(text: Column) -> Column:
 
 def forward(docs: DataFrame) -> DataFrame:
     """The stored token lists: doc_id, the key (k1, k2) of equal rows, and tokens."""
-    text = F.coalesce("text", F.lit(""))
-    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text).alias("k2"))
-    return _store.save(docs.select("doc_id", *key, tokens(F.col("text")).alias("tokens")), "tokens")
+    k1, k2 = key_of(F.col("doc_id"), F.col("text"))
+    return _store.save(docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), tokens(F.col("text")).alias("tokens")), "tokens")
 
 
 def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -42,34 +45,36 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item_id", tokens(F.col("text")).alias("w")).filter(F.size("w") > 0).select("item_id", F.explode(w).alias("words")).distinct()
 
 
-def _small(df: DataFrame, few: bool) -> DataFrame:
-    return F.broadcast(df) if few else df
-
-
-def find_matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
+def find_matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block: int = BLOCK) -> DataFrame:
     """Where windows of items occur in index (forward()): k1, k2, start, length, item_id.
 
     With slop, near matches come too: both rarest terms occur in order, moved
     against each other by at most slop words; ``agree`` is then the share of
     the window's distinct words among the words round the rarest term.
     """
-    tests = _store.save(windows(items, window), "windows")
-    n_tests = tests.count()
-    few = n_tests <= SMALL
+    tests = windows(items, window).withColumn("wid", F.xxhash64("words"))
+    blocks = 1 + tests.count() // block
+    tests = _store.save(tests.withColumn("block", F.pmod(F.xxhash64("wid"), F.lit(blocks)).cast("int")), "windows")
+    parts = [_matched(index, tests.filter(F.col("block") == k).drop("block"), window, slop) for k in range(blocks)]
+    return functools.reduce(DataFrame.union, parts)
+
+
+def _matched(index: DataFrame, tests: DataFrame, window: int, slop: int | None) -> DataFrame:
+    """find_matches() of one block of windows (item_id, words, wid)."""
     terms = tests.select(F.explode("words").alias("term")).distinct()
-    counts = index.select(F.explode(F.array_distinct("tokens")).alias("term")).join(_small(terms, few), "term").groupBy("term").agg(F.count("*").alias("df"))
+    counts = index.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
     counts = _store.save(counts, "terms")
-    ranked = tests.withColumn("wid", F.xxhash64("words")).select("item_id", "words", "wid", F.posexplode("words").alias("off", "term")).join(counts, "term")
+    ranked = tests.select("item_id", "words", "wid", F.posexplode("words").alias("off", "term")).join(counts, "term")
     ranked = ranked.groupBy("item_id", "wid", "words").agg(F.array_sort(F.collect_list(F.struct("df", "term", "off"))).alias("lists")).filter(F.size("lists") == F.size("words"))
     ranked = ranked.withColumn("one", F.col("lists")[0]).withColumn("two", F.get("lists", F.lit(1)))
     ranked = _store.save(ranked.select("item_id", "words", "one.term", "one.off", F.col("two.term").alias("term2"), F.col("two.off").alias("off2")), "ranked")
     firsts, seconds = ranked.select("term", F.lit(True).alias("first")).distinct(), ranked.filter("term2 is not null").select(F.col("term2").alias("term"), F.lit(True).alias("second")).distinct()
     wanted = firsts.join(seconds, "term", "full").select("term", F.coalesce("first", F.lit(False)).alias("first"))
     reach = window - 1 + (slop or 0)
-    postings = index.select("k1", "k2", "tokens", F.posexplode("tokens").alias("pos", "term")).join(_small(wanted, few), "term")
+    postings = index.select("k1", "k2", "tokens", F.posexplode("tokens").alias("pos", "term")).join(F.broadcast(wanted), "term")
     context = F.when(F.col("first"), F.slice("tokens", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, 2 * reach + 1))
     postings = _store.save(postings.select("k1", "k2", "term", "pos", context.alias("context")), "postings")
-    candidates = postings.filter("context is not null").join(_small(ranked, few), "term").withColumn("start", F.col("pos") - F.col("off"))
+    candidates = postings.filter("context is not null").join(F.broadcast(ranked), "term").withColumn("start", F.col("pos") - F.col("off"))
     moved = postings.select("k1", "k2", F.col("term").alias("term2"), F.col("pos").alias("pos2"))
     at = F.col("start") - F.greatest(F.col("pos") - reach, F.lit(0)) + 1
     whole = (F.col("start") >= 0) & (F.slice("context", F.greatest(at, F.lit(1)), F.size("words")) == F.col("words"))
@@ -113,11 +118,10 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """docs without its contaminated rows (see judge)."""
-    bad = judge(docs, items, window, share).filter("contaminated").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    bad = _store.save(bad, "contaminated")
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("_k1")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_k2"))
-    return docs.join(bad, same, "left_anti")
+    """docs without its contaminated rows (see judge); columns stay as they are, whatever their names, and an empty table stays empty."""
+    bad = _store.save(judge(docs, items, window, share).filter("contaminated").select("k1", "k2").distinct(), "contaminated")
+    k1, k2 = key_of(docs["doc_id"], docs["text"])
+    return docs.join(bad, (k1 == bad["k1"]) & (k2 == bad["k2"]), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,23 @@
-"""Suffix-array dedup: a logarithmic family of sparse suffix indexes.
-
-Each new batch of documents gets a sorted run of its sampled suffixes: one for
-every anchor (see ``_spans``), ordered by the hash of the suffix's first bytes
-instead of by the bytes themselves, which keeps equal suffixes adjacent and is
-all that finding long matches needs. A run is merge-scanned against the levels
-that the family has: levels are tables bucketed alike, so a scan is a join of
-bucket with bucket that moves no row. Levels of equal size are merged
+"""Suffix-array dedup: a logarithmic family of sparse suffix arrays.
+
+Documents come in batches, and each new batch gets a sorted run of its sampled
+suffixes: one for every anchor (see ``_spans``). Suffixes are ordered by the
+fingerprint of their first ``gram`` bytes instead of by the bytes themselves,
+which keeps equal beginnings adjacent and is all that finding long matches
+needs; suffixes that begin alike are one entry, with the least and the greatest
+fingerprint of the text round them. Before a run becomes part of the family, it
+is merge-scanned against every level: level tables are bucketed and sorted
+alike, so a scan is a merge of bucket with bucket that moves no row. A scan
+emits the matches that the new batch makes, with their length: the whole span
+where all texts round a suffix are equal, or else at least ``gram`` bytes, to be
+extended when the spans' bytes are compared. Then levels of equal size merge
 into one of twice the size, so n batches leave at most log2(n) + 1 levels and an
-entry is rewritten log2(n) times. Matches found by the scans are refined to
-exact bytes and cut.
+entry is rewritten log2(n) times.
 """
 
 from __future__ import annotations
 
-import uuid
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,59 +28,63 @@ WINDOW, GRAM, BATCHES = 200, 32, 4
 
 
 class IndexFamily:
-    """Levels of suffix runs; level k holds 2**k batches, or is None.
+    """Levels of suffix runs; level k holds 2**k batches, or is None. ``found`` has the matches that each insert made, by anchor."""
 
-    An entry is a suffix hash with the number of its occurrences and the least
-    and greatest hash of the span round it.
-    """
-
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, buckets: int | None = None):
+        self.spark, self.window, self.gram = spark, window, gram
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[str | None] = []
+        self.found: list[DataFrame] = []
 
-    def _table(self, run: DataFrame) -> str:
-        name = f"wavefold_run_{uuid.uuid4().hex}"
-        run.write.option("compression", "zstd").bucketBy(self.buckets, "ah").sortBy("ah").option("path", _store.path(self.spark, "run")).saveAsTable(name)
-        return name
+    def __enter__(self) -> IndexFamily:
+        return self
 
-    def _drop(self, name: str) -> None:
-        at = self.spark.table(name).inputFiles()
-        self.spark.sql(f"DROP TABLE {name}")
-        if at:
-            _store.delete(self.spark, at[0].rsplit("/", 1)[0])
+    def __exit__(self, *_) -> None:
+        while self.levels:
+            table = self.levels.pop()
+            if table:
+                _store.drop(self.spark, table)
 
     def insert(self, suffixes: DataFrame) -> None:
-        """Sort a batch's suffixes into a run and merge runs of equal size upwards."""
-        run = self._table(_spans.summary(suffixes).repartition(self.buckets, "ah"))
-        for k in range(len(self.levels) + 1):
-            if k == len(self.levels):
-                self.levels.append(None)
-            if self.levels[k] is None:
-                self.levels[k] = run
-                return
-            merged = self._table(self._merge(self.spark.table(self.levels[k]), self.spark.table(run)))
-            self._drop(run)
-            self._drop(self.levels[k])
-            self.levels[k], run = None, merged
-
-    @staticmethod
-    def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        b = b.select("ah", *(F.col(c).alias(f"{c}_b") for c in ("n", "s1", "s2")))
-        return a.hint("merge").join(b, "ah", "full").select("ah", (F.coalesce("n", F.lit(0)) + F.coalesce("n_b", F.lit(0))).alias("n"), F.least("s1", "s1_b").alias("s1"), F.greatest("s2", "s2_b").alias("s2"))
+        """Sort a batch's suffixes (anchors()) into a run, scan the levels with it, and merge runs of equal size upwards."""
+        run = _store.bucketed(_spans.summary(suffixes).repartition(self.buckets, "ah"), "ah", self.buckets)
+        try:
+            self.found.append(_store.save(self._scan(run), "matches"))
+            k = 0
+            while k < len(self.levels) and self.levels[k]:
+                merged = _store.bucketed(self._merge(self.levels[k], run), "ah", self.buckets)
+                old, self.levels[k] = self.levels[k], None
+                for table in (run, old):
+                    _store.drop(self.spark, table)
+                run, k = merged, k + 1
+        except BaseException:
+            _store.drop(self.spark, run)
+            raise
+        self.levels[k : k + 1] = [run]
+
+    def _scan(self, run: str) -> DataFrame:
+        """Matches within a run, and of the run with each level: (ah, s1, s2, length)."""
+        new = self.spark.table(run)
+        pairs = [new.filter("n > 1").select("ah", "s1", "s2", "nw")]
+        for level in filter(None, self.levels):
+            old = self.spark.table(level).select("ah", *(F.col(c).alias(f"{c}_") for c in ("s1", "s2", "nw")))
+            pairs.append(new.hint("merge").join(old, "ah").select("ah", F.least("s1", "s1_").alias("s1"), F.greatest("s2", "s2_").alias("s2"), F.greatest("nw", "nw_").alias("nw")))
+        every = functools.reduce(DataFrame.union, pairs)
+        whole = F.col("nw").cast("int") - 1 + self.window
+        return every.select("ah", "s1", "s2", F.when(F.col("s1") == F.col("s2"), whole).otherwise(self.gram).alias("length"))
+
+    def _merge(self, a: str, b: str) -> DataFrame:
+        """Both runs as one, entry by entry of the two sorted tables."""
+        names = ("n", "s1", "s2", "nw")
+        other = self.spark.table(b).select("ah", *(F.col(c).alias(f"{c}_") for c in names))
+        both = self.spark.table(a).hint("merge").join(other, "ah", "full")
+        n = F.coalesce("n", F.lit(0)) + F.coalesce("n_", F.lit(0))
+        return both.select("ah", n.alias("n"), F.least("s1", "s1_").alias("s1"), F.greatest("s2", "s2_").alias("s2"), F.greatest("nw", "nw_").alias("nw"))
 
     def matches(self) -> DataFrame:
-        """Suffixes that occur more than once in the family, found by scanning its levels against each other."""
-        runs = [self.spark.table(t) for t in self.levels if t]
-        out = runs[0]
-        for r in runs[1:]:
-            out = self._merge(out, r)
-        return out.filter("n > 1")
-
-    def close(self) -> None:
-        for t in self.levels:
-            if t:
-                self._drop(t)
-        self.levels = []
+        """Suffixes that occur more than once, from the matches that the inserts emitted: (ah, s1, s2, length)."""
+        every = functools.reduce(DataFrame.union, self.found)
+        return every.groupBy("ah").agg(F.min("s1").alias("s1"), F.max("s2").alias("s2"), F.min("length").alias("length"))
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, wide: int = 128, keep_text: bool = False) -> DataFrame:
@@ -91,12 +99,12 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batche
     other than doc_id and text are ignored. A null doc_id stays null.
     """
     docs = _spans.keyed(docs)
-    found = _spans.anchors(docs, "byte", window, gram)
-    family = IndexFamily(docs.sparkSession)
-    for k in range(batches):
-        family.insert(_spans.anchors(docs.filter(F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)) == k), "byte", window, gram))
-    known = _store.save(family.matches(), "matches")
-    family.close()
+    found = _spans.anchors(docs, "byte", window, gram).withColumn("batch", F.pmod("k1", F.lit(batches)).cast("int"))
+    found = _store.save(found, "suffixes", by="batch")
+    with IndexFamily(docs.sparkSession, window, gram) as family:
+        for k in range(batches):
+            family.insert(found.filter(F.col("batch") == k))
+        known = _store.save(family.matches(), "known")
     return _spans.cut(docs, _spans.repeats(docs, found, known, "byte", window, gram, wide), "byte", keep_text).withColumnRenamed("n_symbols", "n_bytes")
 
 

@@ -289,10 +289,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, gr
     return Model(keys, np.array([r.weight for r in rows[1:]]), rows[0].weight if rows else 0.0)
 
 
-def score(docs: DataFrame, model: Model, carry: tuple = ("doc_id",)) -> DataFrame:
-    """carry and ``score`` for every row of docs, from its text alone; a null text is empty and gets the score of no words."""
-    shape = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry) + ", score double"
-    return docs.select(*carry, F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(functools.partial(_scored, model=model), shape)
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, score) for every row of docs, from its text alone; row has all columns. A null text is empty and gets the score of no words."""
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    kind = docs.select(row).schema["row"].dataType.simpleString()
+    return docs.select(row, F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(functools.partial(_scored, model=model), f"row {kind}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -304,13 +305,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
     lexicon votes alone. Null and empty texts, repeated rows and empty tables
     are scored like any other; other columns are ignored.
     """
-    scored = score(docs, fit(docs, labels, **options))
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels, **options)).select("row.doc_id", "score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """docs without the rows that score threshold or more."""
-    return score(docs.withColumn("_text", F.col("text")), fit(docs, labels, **options), tuple(c for c in docs.columns if c != "text") + ("_text",)).filter(F.col("score") < threshold).withColumnRenamed("_text", "text").select(*docs.columns)
+    """docs without the rows that score threshold or more; all columns stay as they are, whatever their names, and an empty table stays empty."""
+    return score(docs, fit(docs, labels, **options)).filter(F.col("score") < threshold).select("row.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
