@@ -123,10 +123,22 @@ def test_embedding_audit_weighs_queries_alike(spark):
     dense = [(5000, 5000, True)] * 80
     assert audited_recall(dense + [(1, 0, False)] * 30) == 0
     assert audited_recall(dense * 9 + [(1, 1, False)] * 30 + [(1, 0, False)]) < 0.99
-    assert audited_recall(dense + [(2, 2, False)] * 30 + [(0, 0, False)] * 90) == 1 == audited_recall([])
+    assert audited_recall(dense + [(2, 2, False)] * 30 + [(0, 0, False)] * 90) == 1 and audited_recall([(0, 0, False)]) is None
     rng = np.random.default_rng(2)
     x = rng.standard_normal((200, 16))
     rows = [(2 * i + k, (v + k * 0.08 * rng.standard_normal(16)).tolist(), 1) for i, v in enumerate(x) for k in (0, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     with pytest.raises(RuntimeError, match="recall"):
         embedding_dedup(df, tables=1, block=2, rounds=0, attempts=1)
+
+
+def test_embedding_attempts_go_on_until_the_audit_holds(spark, caplog):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((150, 24))
+    rows = [(2 * i + k, (v + k * 0.08 * rng.standard_normal(24)).tolist(), 1) for i, v in enumerate(x) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    with caplog.at_level(logging.INFO, logger="wavefold.llm.embedding_dedup"):
+        got = embedding_dedup(df, tables=1, block=4, rounds=0, attempts=40)
+        assert all(r.n_links == 1 and r.component_id == r.vec_id - r.vec_id % 2 for r in got.collect())
+    seen = [r.args for r in caplog.records]
+    assert len(seen) > 1 and min(seen[0][1].values()) < 0.99 <= min(seen[-1][1].values()) and seen[0][2] >= 200

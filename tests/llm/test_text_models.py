@@ -190,17 +190,54 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs, table.limit(0)).filter("score is null").count() == 0
 
 
-def test_label_model_discounts_repeats():
+def test_label_model_estimates_accuracies_and_discounts_repeats(spark):
     rng = np.random.default_rng(0)
     y = rng.random(20000) < 0.2
-    fire = [rng.random(20000) < np.where(y, a, b) for a, b in ((0.7, 0.02), (0.6, 0.03), (0.5, 0.05))]
-    bits = sum(f.astype(int) << k for k, f in enumerate([*fire, fire[2], fire[2]]))
+    rates = ((0.7, 0.02), (0.6, 0.03), (0.5, 0.05))
+    fire = [rng.random(20000) < np.where(y, a, b) for a, b in rates]
+    fire += [fire[2], fire[2]]  # one voter three times
     known = np.where(rng.random(20000) < 0.2, y, -1).astype(int)
-    pattern, n = np.unique(np.stack([bits, known], 1), axis=0, return_counts=True)
-    q = toxicity.label_model(pattern[:, 0], pattern[:, 1], n.astype(float), 5)
-    by = dict(zip(pattern[:, 0].tolist(), q))
-    true = {b: y[bits == b].mean() for b in by}
-    assert abs(by[0b11100] - true[0b11100]) < 0.25 and by[0b00011] > 0.95 and by[0] < 0.1
+    lists = [([k for k in range(5) if fire[k][i]], int(known[i])) for i in range(20000)]
+    counts = Counter((tuple(v), k) for v, k in lists)
+    votes = spark.createDataFrame([(list(v), k, n) for (v, k), n in counts.items()], "voters array<int>, known long, n long")
+    told = [(k, v) for v, k in lists if k >= 0]
+    pairs = Counter((k * 5 + a) * 5 + b for k, v in told for a in v for b in v)
+    pair, n = (np.array(x) for x in zip(*sorted(pairs.items())))
+    weight = toxicity.correlations(pair, n, tuple(sum(k == c for k, _ in told) for c in (0, 1)), 5)
+    assert np.all(weight[2:] < 0.4) and np.all(weight[:2] > 0.9)
+    model = toxicity.label_model(votes, 5, weight)
+    assert np.allclose(model.rate[1, :3], [a for a, _ in rates], atol=0.1) and np.allclose(model.rate[0, :3], [b for _, b in rates], atol=0.02) and abs(model.prior - 0.2) < 0.05
+    judge = lambda m, v: float(m.posterior(np.array(v, int), np.zeros(len(v), int), 1, np.array([-1]))[0])
+    true = lambda v: y[[tuple(w) == tuple(v) for w, _ in lists]].mean()
+    naive = toxicity.LabelModel(model.rate, model.silent, model.prior, np.ones(5), model.told)
+    assert abs(judge(model, [2, 3, 4]) - true([2, 3, 4])) < 0.3 < abs(judge(naive, [2, 3, 4]) - true([2, 3, 4]))
+    assert judge(model, [0, 1]) > 0.95 and judge(model, []) < 0.1
+
+
+def test_posteriors_teach_words_that_no_labelled_row_has(spark):
+    """Toxic words seen only beside voters of unlabelled rows: without the label model's posteriors the classifier misses them."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(1500):
+        w = prose(rng, rng.randint(8, 40)).split()
+        bad = i % 5 == 0
+        seen = i < 500
+        if bad:
+            w[1:1] = ["scumbag", "moronic"] if seen else ["scumbag", "vilespeak", "gutterly"] if i < 1200 else ["vilespeak", "gutterly"]
+        rows.append((i, " ".join(w)))
+        if seen:
+            labels.append((i, 1, int(bad)))
+    docs, table = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    every = toxicity.posteriors(docs, table)
+    told = [i for i, _ in rows if i >= 1200 and i % 5 == 0 and zlib.crc32(str(i).encode()) % 3 == 1]
+
+    def caught(model):
+        scores = {r.doc_id: r.score for r in toxicity.score(docs.select("doc_id", "text"), model).select("row.doc_id", "score").collect()}
+        assert all(scores[i] < 0.7 for i, _ in rows if i % 5)
+        return sum(scores[i] >= 0.7 for i in told) / len(told)
+
+    gold = spark.createDataFrame([(float(i % 5 == 0), t) for i, t in rows[:500] if zlib.crc32(str(i).encode()) % 3 != 1], "target double, text string")
+    assert caught(toxicity.train(every)) >= 0.9 and caught(toxicity.train(gold)) <= 0.1
 
 
 def seats(weights, n):
@@ -211,7 +248,15 @@ def seats(weights, n):
     return got
 
 
-@pytest.mark.parametrize("n", [0, 1, 7, 50, 333])
+def test_seats_by_highest_quotients():
+    rng = random.Random(5)
+    for n in (0, 1, 7, 50, 333):
+        weights = [float(rng.choice([0, 1, 3, 5, rng.randint(1, 500)])) for _ in range(12)]
+        assert source_mix.seats(weights, n) == seats(weights, n)
+    assert source_mix.seats([0.0, 0.0], 0) == [0, 0]
+
+
+@pytest.mark.parametrize("n", [0, 7, 333])
 def test_apportion(spark, n):
     rng = random.Random(n)
     rows = [("a", k, float(rng.choice([0, 1, 3, 5, rng.randint(1, 500)])), n) for k in range(12)] + [("b", 0, 5.0, n)]
@@ -225,10 +270,43 @@ def test_targets():
     assert source_mix.targets([0, 0]) == [0.0, 0.0] and source_mix.targets([]) == []
 
 
+def plain_taken(rows, words, shard_of, seats_of_source, block, most):
+    """Words taken of each row: every shard lays its documents end to end and takes its blocks, round after round."""
+    out = Counter()
+    for source, own in rows.items():
+        shards = {}
+        for key, size, turn in own:
+            shards.setdefault(shard_of(source, key), []).append((turn, key, size))
+        ids = sorted(shards)
+        quota = seats([sum(x[2] for x in shards[k]) for k in ids], seats_of_source[source]) if any(x[2] for k in ids for x in shards[k]) else [0] * len(ids)
+        for k, q in zip(ids, quota):
+            line = [key for _, key, size in sorted(shards[k]) for _ in range(size)]
+            for j in range(min(q * block, most * len(line))):
+                out[line[j % len(line)]] += 1
+    return out
+
+
+def test_mix_takes_blocks_end_to_end(spark):
+    rows = [(i, t) for i, t in {i: t for i, t in corpus(9, 300) if i is not None}.items()]
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in source_mix.source_mix(docs).collect()}
+    keys = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(source_mix.WORD)), F.lit(0)).cast("long").alias("size"))
+    keys = keys.withColumn("turn", F.xxhash64(F.lit(source_mix.SEED), "doc_id", "size")).withColumn("deal", F.xxhash64(F.lit(source_mix.SEED + 1), "doc_id")).collect()
+    by, deal = {}, {r.doc_id: r.deal for r in keys}
+    for r in keys:
+        by.setdefault(r.source, []).append((r.doc_id, r.size, r.turn))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    words = source_mix.targets([sum(x[1] for x in by[s]) for s in names])
+    given = dict(zip(names, seats(words, round(sum(words) / source_mix.BLOCK))))
+    count = {s: source_mix.shards(len(by[s])) for s in names}
+    want = plain_taken(by, words, lambda s, key: deal[key] % count[s], given, source_mix.BLOCK, 2)
+    assert {i: r.taken for i, r in got.items()} == {i: want[i] for i in got}
+
+
 def test_mix(spark):
     rows = corpus(6, 400)
     docs = frame(spark, rows)
-    got = source_mix.source_mix(docs, shard_rows=50).collect()
+    got = source_mix.source_mix(docs).collect()
     size = Counter((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in rows)
     assert size == Counter((r.doc_id, r.size) for r in got)
     assert all(0 <= r.taken <= 2 * r.size for r in got)
@@ -240,7 +318,8 @@ def test_mix(spark):
     for s, t in zip(names, want):
         assert all(math.isclose(r.target, t) and r.source_size == sum(x.size for x in by[s]) for r in by[s])
         assert abs(sum(r.taken for r in by[s]) - t) <= 16 * 12
-    again = source_mix.source_mix(docs.repartition(7), shard_rows=50)
+    assert sum(source_mix.seats([3.0, 0.0, 5.5, 1.0], 20)) == 20 and source_mix.seats([], 0) == []
+    again = source_mix.source_mix(docs.repartition(7))
     assert Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in again.collect())
     assert source_mix.source_mix(empty(spark)).count() == 0
 
@@ -327,3 +406,21 @@ def test_url_index_finds_what_all_rules_find(spark):
     for _ in range(500):
         host, path = ".".join(rng.choices(parts, k=3)), "/" + "/".join(rng.choices(parts, k=2))
         assert url_rules.judge(host, path, filed, compiled) == url_rules.judge(host, path, every, compiled)
+
+
+def test_many_rules_long_urls_and_empty_tables(spark):
+    rng = random.Random(8)
+    names = [a + b for a in "abcdefgh" for b in "klmnopqr"]
+    rules = [(rng.choice(("allow", "block")), f"{x}.{y}/{z}") for x, y, z in {tuple(rng.choice(names) for _ in range(3)) for _ in range(3000)}]
+    patterns = [("block", f"*/{x}{y}/*") for x, y in {(rng.choice(names), rng.choice(names)) for _ in range(300)}]
+    urls = [f"http://{rng.choice(names)}.{rng.choice(names)}.{rng.choice(names)}/{rng.choice(names)}{rng.choice(names)}/x" for _ in range(400)] + ["http://ak.bl/" + "z" * 200_000, "http://" + "a." * 50_000 + "b/", "http://ak.bl/" + "x/" * 50_000]
+    pages = spark.createDataFrame([(i, u, "h", "v", "f0") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string, f0 string")
+    got = {r.page_id: r for r in url_rules.url_filter(pages, rules, patterns).collect()}
+    assert len(got) == len(urls)
+    for i, url in enumerate(urls):
+        host, path = url_rules.split(url)
+        fits = [(len(t), t, v) for v, t in rules if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.split("/")[1])]
+        assert got[i].rule == (max(fits)[1] if fits else None) and (not fits or got[i].verdict == max(fits)[2])
+        if not fits:
+            assert got[i].verdict == ("block" if any(re.search(re.escape(p[1:-1]), host + path) for _, p in patterns) else "allow")
+    assert url_rules.url_filter(pages.limit(0)).count() == 0 and url_rules.url_filter(pages, (), ()).filter("verdict <> 'allow'").count() == 0

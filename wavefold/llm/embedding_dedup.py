@@ -8,10 +8,12 @@ keeps the nearest, until little changes. A node whose whole list lies over the
 threshold is saturated; lists are doubled while there are such nodes. What is
 saturated at the longest list (a dense group of near copies) is compared
 exactly, block by block within its component, and counted without listing
-pairs. Recall is audited with a bounded set of nodes held against all rows: it
-is the mean over nodes that have links of the share found, so that dense groups
-weigh no more than pairs, and it has to hold for nodes outside dense components
-alone as well. Below the target, more projections and rounds follow; where they
+pairs. Recall is audited with a bounded set of nodes held against all rows: some
+drawn at random, some that have links in the first graph, and some that have
+links by other projections, which the graph never sees. It is the mean over
+nodes that have links of the share found, so that dense groups weigh no more
+than pairs, and it has to hold for nodes outside dense components alone as well,
+and for the independent nodes alone. Below the target, more projections and rounds follow; where they
 run out, the operator raises instead of returning links that are not whole.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +30,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _graph, _store
+from ._text import buffers
 
-THRESHOLD, FLOOR, TABLES, BLOCK, LIST, LONGEST, ROUNDS, AUDIT, RECALL, TILE = 0.93, 0.5, 8, 64, 10, 40, 4, 256, 0.99, 256
+THRESHOLD, FLOOR, TABLES, BLOCK, LIST, LONGEST, ROUNDS, AUDIT, RECALL, TILE = 0.93, 0.5, 8, 64, 10, 40, 4, 1024, 0.99, 1024
 #: Times that TABLES more projections are tried before the audit's failure is an error.
 ATTEMPTS = 16
 GRAPH = "u long, v long, sim double"
@@ -36,8 +40,8 @@ GRAPH = "u long, v long, sim double"
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Unit rows from equally long float32 binaries, in double precision."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = np.stack([np.frombuffer(v, np.float32) for v in column.to_pylist()]).astype(np.float64)
+    raw, offsets = buffers(column)
+    x = np.frombuffer(raw.tobytes(), np.float32).reshape(len(offsets) - 1, -1).astype(np.float64)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -61,15 +65,15 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _coded(batches: Iterator[pa.RecordBatch], tables: range) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size = np.array([len(v) for v in batch.column("vec").to_pylist()], np.int64)
+        size = np.diff(buffers(batch.column("vec"))[1])
         for dim in np.unique(size):
             part = batch.take(pa.array(np.flatnonzero(size == dim)))
             x = _matrix(part.column("vec"))
             node = part.column("node").to_numpy()
             for t in tables:
-                planes = np.random.default_rng((t, x.shape[1])).standard_normal((x.shape[1], 24))
+                planes = np.random.default_rng((t % (1 << 32), x.shape[1])).standard_normal((x.shape[1], 24))
                 code = ((x @ planes > 0) @ (1 << np.arange(23, -1, -1))).astype(np.int64)
-                turn = (node.view(np.uint64) * np.uint64(2 * t + 3)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                turn = (node.view(np.uint64) * np.uint64((2 * t + 3) % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
                 yield pa.RecordBatch.from_arrays([part.column("grp"), pa.array(np.full(len(x), t, np.int32)), pa.array(code), pa.array(turn.astype(np.int64)), part.column("node"), part.column("vec")], names=["grp", "t", "code", "turn", "node", "vec"])
 
 
@@ -187,11 +191,17 @@ def _audited(batches: Iterator[pa.RecordBatch], queries: list, threshold: float)
                 yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(n[some].astype(np.int64))], names=["node", "links"])
 
 
-def audited_recall(rows: list[tuple[int, int, bool]]) -> float:
-    """Mean share found of the links of each query (true, found, dense) that has any: of all queries, or of those that are not dense, whichever is less."""
+def audited_recall(rows: list[tuple[int, int, bool]]) -> float | None:
+    """Mean share found of the links of each query (true, found, dense) that has any: of all queries, or of those that are not dense, whichever is less; None without links."""
     share = [(min(found, true) / true, dense) for true, found, dense in rows if true]
     groups = [x for x, _ in share], [x for x, dense in share if not dense]
-    return min((sum(g) / len(g) for g in groups if g), default=1.0)
+    return min((sum(g) / len(g) for g in groups if g), default=None)
+
+
+def _drawn(nodes: DataFrame, some: DataFrame | None, limit: int) -> list[tuple]:
+    """Up to limit nodes, of those in some (node) if given, in order of hash: (node, grp, vec)."""
+    rows = nodes if some is None else nodes.join(some.distinct(), "node")
+    return [(r.node, r.grp, r.vec) for r in rows.select("node", "grp", "vec").orderBy(F.xxhash64("node"), "node").limit(limit).collect()]
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, floor: float = FLOOR, tables: int = TABLES, block: int = BLOCK, length: int = LIST, longest: int = LONGEST, rounds: int = ROUNDS, audit: int = AUDIT, recall: float = RECALL, attempts: int = ATTEMPTS) -> DataFrame:
@@ -211,10 +221,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, floor: flo
     rows = _store.save(vectors.select("vec_id", "embedding", "label").mapInArrow(_nodes, "vec_id long, node long, grp long, vec binary"), "vectors")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"), F.min("grp").alias("grp"), F.min("vec").alias("vec"))
     nodes = _store.save(nodes, "nodes")
-    queries = [(r.node, r.grp, r.vec) for r in nodes.orderBy(F.xxhash64("node"), "node").limit(audit).select("node", "grp", "vec").collect()]
-    true = nodes.mapInArrow(functools.partial(_audited, queries=queries, threshold=threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("true"))
-    true = _store.save(true, "audit")
-    graph = None
+    graph = true = None
     for attempt in range(attempts):
         fresh = _projected(nodes, range(attempt * tables, (attempt + 1) * tables), length, floor, block)
         graph = _best(fresh if graph is None else graph.union(fresh), length)
@@ -233,9 +240,18 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, floor: flo
         full = links.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= length).select(F.col("u").alias("node"))
         roots = _store.save(_graph.components(links), "roots")
         found = _counted(nodes, links, roots, full, threshold)
+        if true is None:
+            other = _projected(nodes, range(-tables, 0), length, threshold, block).select(F.col("u").alias("node"))
+            draws = {"random": _drawn(nodes, None, audit), "linked": _drawn(nodes, links.select(F.col("u").alias("node")), audit // 2), "independent": _drawn(nodes, other, audit // 2)}
+            queries = list({q[0]: q for d in draws.values() for q in d}.values())
+            true = nodes.mapInArrow(functools.partial(_audited, queries=queries, threshold=threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("true"))
+            true = _store.save(true, "audit")
         dense = roots.join(full.join(roots, "node").select("root").distinct(), "root").select("node", F.lit(True).alias("dense"))
-        seen = true.join(found, "node", "left").join(dense, "node", "left").select("true", F.coalesce("links", F.lit(0)), F.coalesce("dense", F.lit(False))).collect()
-        reached = audited_recall([tuple(r) for r in seen])
+        seen = true.join(found, "node", "left").join(dense, "node", "left").select("node", "true", F.coalesce("links", F.lit(0)), F.coalesce("dense", F.lit(False))).collect()
+        seen = {r[0]: tuple(r)[1:] for r in seen}
+        by = {k: audited_recall([seen[q[0]] for q in d if q[0] in seen]) for k, d in draws.items()}
+        reached = min((x for x in by.values() if x is not None), default=1.0)
+        logging.getLogger(__name__).info("attempt %d: recall %s over %d true links", attempt, by, sum(x[0] for x in seen.values()))
         if reached >= recall:
             break
     else:

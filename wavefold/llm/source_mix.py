@@ -9,14 +9,17 @@ where it takes more than it has.
 
 from __future__ import annotations
 
+import heapq
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _store
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Words in a block; rows in a shard, about; sources, which the driver holds as one row each.
-BLOCK, SHARD_ROWS, MAX_SOURCES, SEED = 16, 500, 1_000_000, 20
+#: Words in a block; sources, which the driver holds as one row each.
+BLOCK, MAX_SOURCES, SEED = 16, 1_000_000, 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,10 +37,31 @@ def targets(sizes: list[int], weights=WEIGHTS, share: float = SHARE, most: float
         for i in full:
             out[i] = float(most * sizes[i])
         left -= sum(out[i] for i in full)
-        active = [i for i in active if i not in set(full)]
+        gone = set(full)
+        active = [i for i in active if i not in gone]
     return out
 
 
+def seats(weights: list[float], n: int) -> list[int]:
+    """n seats by the highest quotients weight / 1, / 3, / 5 ..., ties by place: by rounding at a divisor that is near, then seat by seat."""
+    total, got = sum(weights), [0] * len(weights)
+    if total > 0:
+        share = max(0.0, n - len(weights) / 2 - 1)
+        got = [max(0, math.floor(w * share / total + 0.5)) for w in weights]
+        queue = [(-w / (2 * g + 1), i) for i, (w, g) in enumerate(zip(weights, got)) if w > 0]
+        heapq.heapify(queue)
+        for _ in range(n - sum(got)):
+            _, i = heapq.heappop(queue)
+            got[i] += 1
+            heapq.heappush(queue, (-weights[i] / (2 * got[i] + 1), i))
+    return got
+
+
+def shards(rows: int) -> int:
+    """Shards of a source: as many as a shard has rows, about, so that neither the shards of a source nor the rows of a shard are many for one task."""
+    return max(1, math.isqrt(rows))
+
+
 def apportion(df: DataFrame, group: list[str], weight: Column, seats: Column, order: list[str]) -> DataFrame:
     """df with the column ``quota``: seats of each group given by the highest quotients weight / (2 a - 1), ties by order.
 
@@ -61,7 +85,7 @@ def apportion(df: DataFrame, group: list[str], weight: Column, seats: Column, or
     return some.groupBy(*keep, "_low").agg(F.sum("_got").alias("_got")).select(*keep, (F.col("_low") + F.col("_got")).cast("long").alias("quota"))
 
 
-def source_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
+def source_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """Mix docs (doc_id, text, source): doc_id, size, source_size, target, taken, source.
 
     size is the number of words; target the source's words in the mix; taken
@@ -79,17 +103,15 @@ def source_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
         raise ValueError(f"more than {MAX_SOURCES} sources")
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     words = targets([r.n for r in totals], weights, share, most)
-    rows = [(i, r.source, r.n, t, max(1, -(-r.rows // shard_rows))) for i, (r, t) in enumerate(zip(totals, words))]
-    sources = spark.createDataFrame(rows, "sid int, source string, source_size long, target double, shards int")
-    seats = round(sum(words) / block)
-    sources = apportion(sources.withColumn("all", F.lit(0)), ["all"], F.col("target"), F.lit(seats), ["sid"]).withColumnRenamed("quota", "blocks").drop("all")
-    sources = _store.save(sources, "sources")
+    blocks = seats(words, round(sum(words) / block))
+    rows = [(i, r.source, r.n, t, shards(r.rows), n) for i, (r, t, n) in enumerate(zip(totals, words, blocks))]
+    sources = _store.save(spark.createDataFrame(rows, "sid int, source string, source_size long, target double, shards int, blocks long"), "sources")
     sized = sized.withColumnRenamed("source", "_source")
     dealt = sized.join(sources, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
     dealt = dealt.withColumn("turn", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")).cast("int"))
-    shards = dealt.groupBy("sid", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
-    shards = _store.save(apportion(shards, ["sid"], F.col("shard_size"), F.col("blocks"), ["shard"]).drop("blocks"), "quotas")
-    laid = dealt.join(shards, ["sid", "shard"])
+    quotas = dealt.groupBy("sid", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
+    quotas = _store.save(apportion(quotas, ["sid"], F.col("shard_size"), F.col("blocks"), ["shard"]).drop("blocks"), "quotas")
+    laid = dealt.join(quotas, ["sid", "shard"])
     before = F.sum("size").over(Window.partitionBy("sid", "shard").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
     laid = laid.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("words", F.col("quota") * block)
     rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0)

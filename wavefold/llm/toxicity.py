@@ -1,13 +1,16 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon entries (words) and patterns (the first bytes of words),
-found in a bounded sample of labelled rows next to a seed lexicon. Voters that
-fire together become one group, and every document of the corpus gets the
-pattern of groups that fire on it. A generative model explains how often each
-pattern occurs: a hidden label, an accuracy of each group for either label, and
-correlations of groups within a label, which discount what correlated groups
-add. It gives each pattern a posterior label. A linear classifier on hashed
-words and word beginnings is trained on posteriors and scores every whole text.
+found in a bounded sample of labelled rows next to a seed lexicon. The voters
+that fire are listed for every document of the corpus; a label, where a row has
+one, is one more voter. A generative model explains the lists by a hidden label:
+each voter has a rate of its own for either label, estimated by EM over all
+documents, and voters that fire together more often than the label explains are
+correlated, which divides what each adds. Voters that do not fire abstain; that
+none fires is evidence with rates of its own. The model gives posterior labels
+to documents with and without a known one, and a linear classifier on hashed
+words and word beginnings is trained on these posteriors. It scores every whole
+text.
 """
 
 from __future__ import annotations
@@ -25,14 +28,12 @@ from . import _store
 from ._spans import keyed
 from ._text import U, buffers, chunks, mix, prefix, runs, words
 
-#: Labelled rows that voters and classifier are fitted on, at most; the first by hash.
-MAX_LABELLED = 12_000
-GROUPS, VOTERS, SUPPORT, KEEP, THRESHOLD = 12, 2048, 5, 4096, 0.7
+#: Labelled rows that voters and classifier are fitted on, at most (the first by hash), and unlabelled ones that the classifier is fitted on, about.
+MAX_LABELLED, UNLABELLED = 12_000, 12_000
+#: Voters and weights of the model, at most; rows that a word or a pair of voters must have; rounds of EM.
+VOTERS, KEEP, SUPPORT, ROUNDS, THRESHOLD = 2048, 4096, 5, 8, 0.7
 SEED = ("idiot", "moron", "stupid", "scum", "trash", "pathetic", "worthless", "disgusting", "loser", "clown")
 BEGINNINGS = (4, 5)
-#: How far a row's own label counts against the posterior that its votes give.
-TRUST = 0.9
-
 #: Bytes that separate words here: ASCII that is no letter.
 BREAK = np.zeros(256, bool)
 BREAK[:128] = True
@@ -84,134 +85,145 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(pos), pa.array(np.bincount(at, minlength=len(u)) - pos)], names=["h", "pos", "neg"])
 
 
-def _fired(batches: Iterator[pa.RecordBatch], keys: np.ndarray, group: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Of voters (keys, in order): the list that fires on each row, or the bits of their groups."""
+def _fired(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The voters (places in keys, which are in order) that fire on each row, beside its other columns."""
     for batch in batches:
         raw, offsets = buffers(batch.column("text"))
         for i, j in chunks(offsets):
             h, row = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[at] == h
-            at, row = at[hit], row[hit]
-            bits = np.zeros(j - i, np.int64)
-            if group is not None:
-                np.bitwise_or.at(bits, row, np.int64(1) << group[at])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in batch.schema.names if k != "text"), pa.array(bits)], names=[*(k for k in batch.schema.names if k != "text"), "bits"])
-            else:
-                v, row = _distinct(at.astype(U), row)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)), pa.array(v.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([lists], names=["voters"])
-
-
-def correlated(counts: np.ndarray, purity: np.ndarray, limit: int) -> np.ndarray:
-    """Group of each voter, from the rows on which two fire: voters that share most of their rows are joined, and what is left is put into limit groups of like purity."""
-    n = len(counts)
-    own = np.maximum(1, np.diag(counts))
-    share = counts / np.minimum.outer(own, own)
-    parent = np.arange(n)
-    for i in np.argsort(-own, kind="stable"):
-        near = np.flatnonzero((share[i] >= 0.9) & (np.arange(n) != i))
-        for j in near:
-            if own[j] >= own[i] and parent[i] == i:
-                parent[i] = parent[j]
-                break
-    for _ in range(n):
-        up = parent[parent]
-        if (up == parent).all():
-            break
-        parent = up
-    heads = sorted(set(parent.tolist()), key=lambda h: (purity[h], h))
-    place = {h: k * limit // len(heads) for k, h in enumerate(heads)}
-    return np.array([place[h] for h in parent.tolist()], np.int64)
-
-
-def label_model(bits: np.ndarray, known: np.ndarray, count: np.ndarray, groups: int, steps: int = 100) -> np.ndarray:
-    """Posterior of label 1 for each pattern, by EM over (pattern, known label or -1, rows).
-
-    A group that fires or not is a vote with a probability of its own in either
-    label. After a first fit without correlations, the correlation of groups
-    within a label is measured, and each group's evidence is divided by one plus
-    its correlations with the others, so that groups that repeat each other
-    count once; the fit is then repeated.
-    """
-    votes = (bits[:, None] >> np.arange(groups)) & 1
-    q = np.where(known >= 0, known, np.where(votes.sum(1) > 0, 0.8, 0.05)).astype(float)
-    weight = np.ones(groups)
-    for n in range(2 * steps):
-        mass = [np.maximum(count @ (1 - q), 1e-9), np.maximum(count @ q, 1e-9)]
-        rate = [((count * p) @ votes + a) / (m + 1) for p, m, a in ((1 - q, mass[0], 0.01), (q, mass[1], 0.2))]
-        prior = np.log((mass[1] + 1) / (mass[0] + 1))
-        if n in (steps, 3 * steps // 2):
-            # Labelled rows show what groups share within a label; without enough of them the posterior has to.
-            seen = count * (known >= 0)
-            told = seen if min(seen @ (known == 1), seen @ (known == 0)) >= 50 else count
-            excess = np.zeros((groups, groups))
-            for p in (1 - q, q):
-                m = max(told @ p, 1e-9)
-                r = (told * p) @ votes / m
-                c = (votes * (told * p)[:, None]).T @ votes / m - np.outer(r, r)
-                s = np.sqrt(np.maximum(r * (1 - r), 1e-9))
-                excess += m / max(told.sum(), 1e-9) * np.clip(c / np.outer(s, s), 0, 1)
-            excess[excess < 0.1] = 0  # chance
-            np.fill_diagonal(excess, 0)
-            weight = 1 / (1 + excess.sum(1))
-        fire, rest = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        z = prior + (votes * fire + (1 - votes) * rest) @ weight
-        q = np.where(known >= 0, known, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def _surprise(pos: np.ndarray, n: np.ndarray, base: float) -> np.ndarray:
-    """By how many standard deviations the share of label 1 among n rows differs from base."""
-    return (pos - base * n) / np.sqrt(np.maximum(n, 1) * base * (1 - base))
-
-
-def _train(batches: Iterator[pa.RecordBatch], keep: int, steps: int = 500, rate: float = 0.5, decay: float = 1e-3) -> Iterator[pa.RecordBatch]:
-    """Logistic regression on posteriors, on the hashed words and beginnings that tell most, by AdaGrad over the whole sample."""
-    held, base = [], 0
+            v, row = _distinct(at[hit].astype(U), row[hit])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)), pa.array(v.astype(np.int32)))
+            rest = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in rest), lists], names=[*rest, "voters"])
+
+
+def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """How many rows of either label (known) each pair of voters (and each voter, as a pair with itself) has."""
+    for batch in batches:
+        codes, known = [], batch.column("known").to_numpy()
+        for label, voters in zip(known, batch.column("voters")):
+            v = voters.values.to_numpy().astype(np.int64)
+            codes.append(np.add.outer((label * size + v) * size, v).ravel())
+        pair, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+
+
+@dataclass
+class LabelModel:
+    """Rates at which each voter fires in either label (rows: 0, 1), and no voter does; the share of label 1; weights that correlations leave; rates at which a known label is 1."""
+
+    rate: np.ndarray
+    silent: np.ndarray
+    prior: float
+    weight: np.ndarray
+    told: np.ndarray
+
+    def posterior(self, voters: np.ndarray, row: np.ndarray, rows: int, known: np.ndarray) -> np.ndarray:
+        """Of label 1, for rows whose voters (with the row of each) are given, and known labels (-1: none)."""
+        votes = np.bincount(row, self.weight[voters] * np.log(self.rate[1] / self.rate[0])[voters], rows)
+        none = np.bincount(row, minlength=rows) == 0
+        z = np.log(self.prior / (1 - self.prior)) + np.where(none, np.log(self.silent[1] / self.silent[0]), votes)
+        label = [np.log((1 - self.told[1]) / (1 - self.told[0])), np.log(self.told[1] / self.told[0]), 0.0]
+        z += np.array(label)[known]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    lists = batch.column("voters")
+    n = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+
+
+def _expected(batches: Iterator[pa.RecordBatch], model: LabelModel | None, size: int) -> Iterator[pa.RecordBatch]:
+    """E-step: rows of either label that each voter has (places size to size + 3: no voter; all; known; known as 1), by the model or by a first guess."""
+    sums = np.zeros((2, size + 4))
+    for batch in batches:
+        n, known = batch.column("n").to_numpy(), batch.column("known").to_numpy()
+        v, row = _lists(batch)
+        none = np.bincount(row, minlength=len(n)) == 0
+        q = model.posterior(v, row, len(n), known) if model else np.where(known >= 0, known, np.where(none, 0.05, 0.8))
+        for k, mass in enumerate(((1 - q) * n, q * n)):
+            sums[k, :size] += np.bincount(v, mass[row], size)
+            sums[k, size:] += mass[none].sum(), mass.sum(), mass[known >= 0].sum(), mass[known == 1].sum()
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 4)), pa.array(sums[0]), pa.array(sums[1])], names=["place", "clean", "toxic"])
+
+
+def correlations(pair: np.ndarray, n: np.ndarray, rows: tuple[int, int], size: int, least: int = SUPPORT) -> np.ndarray:
+    """What is left of each voter's evidence: 1 / (1 + its correlations, within a label, with other voters), from _together() and the rows of either label."""
+    label, a, b = pair // size // size, pair // size % size, pair % size
+    own = np.zeros((2, size))
+    own[label[a == b], a[a == b]] = n[a == b]
+    excess = np.zeros(size)
+    for k in range(2):
+        if rows[k]:
+            rate = own[k] / rows[k]
+            some = (label == k) & (a != b) & (n >= least)
+            x, y = a[some], b[some]
+            spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
+            c = np.clip((n[some] / rows[k] - rate[x] * rate[y]) / (spread[x] * spread[y]), 0, 1)
+            excess += rows[k] / sum(rows) * np.bincount(x, np.where(c >= 0.1, c, 0), size)
+    # Nearly all of what voters fire on is in label 1, so its correlations count whole.
+    return 1 / (1 + excess * sum(rows) / max(1, rows[1])) if rows[1] else 1 / (1 + excess)
+
+
+def label_model(votes: DataFrame, size: int, weight: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
+    """EM over votes (voters array<int>, known, n): the driver gets the sums of each voter in each round."""
+    model = None
+    for _ in range(rounds):
+        step = votes.mapInArrow(functools.partial(_expected, model=model, size=size), "place long, clean double, toxic double")
+        got = step.groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).orderBy("place").collect()
+        sums = np.array([[r.clean for r in got], [r.toxic for r in got]])
+        none, every, known, ones = sums[:, size:].T
+        rate = (sums[:, :size] + np.array([[0.05], [0.5]])) / (every[:, None] + 1)
+        told = np.clip((ones + np.array([0.0, 1.0])) / (known + 1), [0.005, 0.9], [0.1, 0.995])
+        model = LabelModel(rate, (none + 0.5) / (every + 1), float(np.clip(every[1] / max(every.sum(), 1e-9), 1e-4, 0.5)), weight, told)
+    return model
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], model: LabelModel) -> Iterator[pa.RecordBatch]:
+    """Rows with the posterior of their votes."""
+    for batch in batches:
+        v, row = _lists(batch)
+        q = model.posterior(v, row, batch.num_rows, batch.column("known").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(q), batch.column("body")], names=["target", "text"])
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that have a feature, and the sum of their targets."""
     for batch in batches:
         raw, offsets = buffers(batch.column("text"))
         target = batch.column("target").to_numpy()
-        held += [(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], target[i:j]) for i, j in chunks(offsets)]
-    if not held:
+        for i, j in chunks(offsets):
+            h, row = _distinct(*features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+            u, at = np.unique(h, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(at, target[i:j][row], len(u))), pa.array(np.bincount(at, minlength=len(u)))], names=["h", "pos", "n"])
+
+
+def _train(batches: Iterator[pa.RecordBatch], size: int, steps: int = 500, rate: float = 0.5, decay: float = 1e-3) -> Iterator[pa.RecordBatch]:
+    """Logistic regression of targets on lists of features (places up to size), by AdaGrad over all rows at once; place -1 is the bias."""
+    y, col, row, base = [], [], [], 0
+    for batch in batches:
+        v, r = _lists(batch)
+        y.append(batch.column("target").to_numpy())
+        col.append(v)
+        row.append(r + base)
+        base += batch.num_rows
+    if not base:
         return
-    y = np.concatenate([t for _, _, t in held])
-    mean = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
-    bits = 22  # a first look by buckets, so that no table of all words is held
-    pos, n = np.zeros(1 << bits), np.zeros(1 << bits)
-    for raw, offsets, t in held:
-        h, row = features(raw, offsets)
-        h, row = _distinct(h >> U(64 - bits), row)
-        pos += np.bincount(h.astype(np.int64), t[row], 1 << bits)
-        n += np.bincount(h.astype(np.int64), minlength=1 << bits)
-    some = (n >= SUPPORT) & (np.abs(_surprise(pos, n, mean)) > 5)
-    found, rows = [], []
-    for raw, offsets, t in held:
-        h, row = features(raw, offsets)
-        h, row = _distinct(*(x[some[h >> U(64 - bits)]] for x in (h, row)))
-        found.append(h)
-        rows.append(row + base)
-        base += len(t)
-    h, row = np.concatenate(found), np.concatenate(rows)
-    keys, col = np.unique(h, return_inverse=True)
-    n = np.bincount(col, minlength=len(keys))
-    tell = np.where(n >= SUPPORT, np.abs(_surprise(np.bincount(col, y[row], len(keys)), n, mean)), 0)
-    best = np.sort(np.argsort(-tell, kind="stable")[:keep])
-    best = best[tell[best] > 5]
-    place = np.full(len(keys) + 1, -1)
-    place[best] = np.arange(len(best))
-    col, row = place[col][place[col] >= 0], row[place[col] >= 0]
-    w, b = np.zeros(len(best)), 0.0
-    g2, gb2 = np.full(len(best), 1e-8), 1e-8
+    y, col, row = map(np.concatenate, (y, col, row))
+    w, b = np.zeros(size), 0.0
+    g2, gb2 = np.full(size, 1e-8), 1e-8
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(y)) + b, -30, 30)))
         e = p - y
-        g, gb = np.bincount(col, e[row], len(w)) / len(y) + decay * w / max(1, len(w)), e.mean()
+        g, gb = np.bincount(col, e[row], size) / len(y) + decay * w / max(1, size), e.mean()
         g2 += g * g
         gb2 += gb * gb
         w -= rate * g / np.sqrt(g2)
         b -= rate * gb / np.sqrt(gb2)
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[U(0), keys[best]].view(np.int64)), pa.array(np.r_[b, w])], names=["h", "weight"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, size)), pa.array(np.r_[b, w])], names=["place", "weight"])
 
 
 @dataclass
@@ -244,49 +256,72 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in rest), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*rest, "score"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, groups: int = GROUPS, keep: int = KEEP) -> Model:
-    """Voters, label model and classifier from docs (doc_id, text) and labels (doc_id, toxic), without held-out rows.
+def find_voters(sample: DataFrame, total) -> np.ndarray:
+    """Hashes, in order, of the seed lexicon and of words and beginnings that labelled rows (toxic, text) tell by."""
+    keys = np.unique(seeds())
+    if not total.pos:
+        return keys
+    odds = sample.mapInArrow(_counts, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    expected = (F.col("pos") + F.col("neg")) * F.lit(total.pos / total.n)
+    sure = F.col("pos") * F.ln(F.col("pos") / expected) - F.col("pos") + expected  # a word that tells nothing reaches this by chance with exp(-it)
+    odds = odds.filter((F.col("pos") >= SUPPORT) & (F.col("pos") > 9 * F.col("neg"))).filter(sure > 9)
+    best = odds.orderBy(F.col("pos").desc(), "neg", "h").limit(VOTERS).select("h").collect()
+    return np.unique(np.r_[keys, np.array([r.h for r in best], np.int64).view(U)])
+
+
+def posteriors(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
+    """The classifier's training rows (target, text): up to max_labelled labelled ones and about ``unlabelled`` others, none held out, with the label model's posteriors.
 
-    The labelled sample is bounded by max_labelled; votes are counted over all
-    documents, and the driver gets a row for each of at most 2**groups patterns.
+    Voters and their correlations come from the labelled rows, rates from the
+    votes on all documents. A row's own label is a voter among others.
     """
-    spark = docs.sparkSession
     texts = keyed(docs)
     open_ = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = _store.save(open_.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labelled")
-    sample = texts.join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("long").alias("toxic"), "text")
-    sample = _store.save(sample, "sample")
+    sample = _store.save(texts.join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("long").alias("toxic"), "text"), "sample")
     total = sample.agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).first()
-    keys, share = np.unique(seeds()), {}
-    if total.pos:
-        odds = sample.mapInArrow(_counts, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        expected = (F.col("pos") + F.col("neg")) * F.lit(total.pos / total.n)
-        sure = F.col("pos") * F.ln(F.col("pos") / expected) - F.col("pos") + expected  # a word that tells nothing reaches this by chance with exp(-it)
-        odds = odds.filter((F.col("pos") >= SUPPORT) & (F.col("pos") > 9 * F.col("neg"))).filter(sure > 9)
-        best = odds.orderBy(F.col("pos").desc(), "neg", "h").limit(VOTERS).collect()
-        share = {int(np.int64(r.h).view(U)): r.pos / (r.pos + r.neg + 1) for r in best}
-        keys = np.unique(np.r_[keys, np.array([r.h for r in best], np.int64).view(U)])
-    purity = np.array([share.get(int(k), 0.9) for k in keys])
-    pairs = sample.mapInArrow(functools.partial(_fired, keys=keys, group=None), "voters array<int>")
-    pairs = pairs.filter(F.size("voters") > 0).collect()
-    both = np.zeros((len(keys), len(keys)))
-    for r in pairs:
-        both[np.ix_(r.voters, r.voters)] += 1
-    group = correlated(both, purity, groups)
-    lined = texts.join(F.broadcast(chosen), "doc_id", "left").select(F.coalesce(F.col("toxic").cast("long"), F.lit(-1).cast("long")).alias("known"), "text")
-    votes = lined.mapInArrow(functools.partial(_fired, keys=keys, group=group), "known long, bits long").groupBy("known", "bits").count().collect()
-    if not votes:
+    keys = find_voters(sample, total)
+    fired = functools.partial(_fired, keys=keys)
+
+    pairs = sample.select(F.col("toxic").alias("known"), "text").mapInArrow(fired, "known long, voters array<int>").filter(F.size("voters") > 0)
+    pairs = pairs.mapInArrow(functools.partial(_together, size=len(keys)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT).collect()
+    pair, n = (np.array([r[k] for r in pairs], np.int64) for k in ("pair", "n"))
+    weight = correlations(pair, n, (total.n - (total.pos or 0), total.pos or 0), len(keys))
+
+    # A random share of the other rows trains the classifier; equal ones among them count once.
+    rows = docs.count()
+    bound = int(-(1 << 63) + (1 << 64) * min(1.0, unlabelled / max(1, rows))) if rows > unlabelled else (1 << 63) - 1
+    drawn = (F.col("k1") <= bound) & ~held_out(F.col("doc_id"))
+    known = texts.join(F.broadcast(chosen.select("doc_id", F.col("toxic").cast("long").alias("known"))), "doc_id", "left")
+    known = known.select("k1", "k2", F.coalesce("known", F.lit(-1).cast("long")).alias("known"), "text", drawn.alias("drawn"))
+    votes = known.select("known", "text").mapInArrow(fired, "known long, voters array<int>").groupBy("voters", "known").agg(F.count("*").alias("n"))
+    model = label_model(_store.save(votes, "votes"), len(keys), weight)
+
+    train = known.filter("known < 0 and drawn").dropDuplicates(["k1", "k2"]).select("known", "text").union(sample.select(F.col("toxic").alias("known"), "text"))
+    train = train.select("known", F.col("text").alias("body"), "text").mapInArrow(fired, "known long, body string, voters array<int>")
+    return train.mapInArrow(functools.partial(_labelled, model=model), "target double, text string")
+
+
+def train(rows: DataFrame, keep: int = KEEP) -> Model:
+    """The linear classifier of rows (target, text), on the hashed words and beginnings that tell most; texts stay where they are, only lists of these meet in one task."""
+    rows = _store.save(rows, "training")
+    total = rows.agg(F.coalesce(F.avg("target"), F.lit(0.0)).alias("mean"), F.count("*").alias("n")).first()
+    if not total.n:
         return Model(np.zeros(0, U), np.zeros(0), 0.0)
-    votes.sort(key=lambda r: (r.known, r.bits))
-    pattern = np.array([r.bits for r in votes])
-    posterior = label_model(pattern, np.array([r.known for r in votes]), np.array([r["count"] for r in votes], float), groups)
-    table = spark.createDataFrame([(int(b), float(p)) for b, p in dict(zip(pattern.tolist(), posterior.tolist())).items()], "bits long, target double")
-    base = sample if total.n else texts.select(F.lit(-1).cast("long").alias("toxic"), "text").limit(max_labelled)
-    voted = base.select("toxic", F.col("text").alias("body"), "text").mapInArrow(functools.partial(_fired, keys=keys, group=group), "toxic long, body string, bits long")
-    ready = voted.join(F.broadcast(table), "bits").select(F.when(F.col("toxic") < 0, F.col("target")).otherwise(TRUST * F.col("toxic") + (1 - TRUST) * F.col("target")).alias("target"), F.col("body").alias("text"))
-    rows = ready.coalesce(1).mapInArrow(functools.partial(_train, keep=keep), "h long, weight double").collect()
-    keys = np.array([r.h for r in rows[1:]], np.int64).view(U)
-    return Model(keys, np.array([r.weight for r in rows[1:]]), rows[0].weight if rows else 0.0)
+    mean = float(np.clip(total["mean"], 1e-6, 1 - 1e-6))
+    told = rows.mapInArrow(_told, "h long, pos double, n long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT)
+    tell = F.round(F.abs(F.col("pos") - mean * F.col("n")) / F.sqrt(F.col("n") * mean * (1 - mean)), 9)
+    best = told.select("h", tell.alias("tell")).filter("tell > 5").orderBy(F.col("tell").desc(), "h").limit(keep).select("h").collect()
+    keys = np.sort(np.array([r.h for r in best], np.int64).view(U))
+    lists = rows.mapInArrow(functools.partial(_fired, keys=keys if len(keys) else np.zeros(1, U)), "target double, voters array<int>")
+    weights = lists.orderBy("target", "voters").coalesce(1).mapInArrow(functools.partial(_train, size=max(1, len(keys))), "place long, weight double").collect()
+    by = {r.place: r.weight for r in weights}
+    return Model(keys, np.array([by[k] for k in range(len(keys))]), by[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep: int = KEEP, **options) -> Model:
+    """Voters, label model and classifier from docs (doc_id, text) and labels (doc_id, toxic), without held-out rows; options are those of posteriors()."""
+    return train(posteriors(docs, labels, **options), keep)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -25,7 +25,7 @@ PATTERNS = (("block", "*/ads/*"), ("block", "*/banner/*"), ("block", "ad.*/*"),
 TOKEN = re.compile(r"[A-Za-z0-9]+")
 PARTS = re.compile(r"://([^/?#]*)([^?#]*)")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Rules that go to the workers at once; more are applied in further passes.
+#: Rules, or tokens, that go to the workers at once; more are applied in further passes.
 BLOCK = 100_000
 
 
@@ -58,12 +58,14 @@ def split(url: str | None) -> tuple[str, str]:
 
 def token_counts(urls: DataFrame, tokens: Iterable[str]) -> dict[str, int]:
     """How many rows of urls (url) have each of the tokens: as many rows as rules have tokens."""
-    spark = urls.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in sorted(tokens)], "token string")
+    spark, names, counts = urls.sparkSession, sorted(tokens), {}
     own = F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("url", "[?#].*", ""), F.lit("([A-Za-z0-9]+)")))).alias("token")
     lower = F.translate("token", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = urls.select(own).select(F.explode(F.array_distinct(F.array("token", lower))).alias("token"))
-    return {r.token: r["count"] for r in found.join(wanted, "token").groupBy("token").count().collect()}
+    for i in range(0, len(names), BLOCK):
+        wanted = spark.createDataFrame([(t,) for t in names[i : i + BLOCK]], "token string")
+        counts |= {r.token: r["count"] for r in found.join(F.broadcast(wanted), "token").groupBy("token").count().collect()}
+    return counts
 
 
 def index(rules: Iterable[Rule], counts: dict[str, int]) -> dict[str | None, list[Rule]]:
