@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 
+from .fits import arma_fits, garch_fits
+
 
 def find_peaks(x, height: float | None = None, distance: float | None = None, prominence: float | None = None) -> np.ndarray:
     """Places of local maxima; of a plateau, its middle rounded down.
@@ -128,36 +130,9 @@ def garch_variance(r: np.ndarray, omega: float, alpha: float, beta: float, first
     return out
 
 
-GARCH_STARTS = ((0.05, 0.90), (0.10, 0.80), (0.15, 0.70), (0.08, 0.88), (0.20, 0.60))
-
-
 def garch_fit(x) -> dict:
-    """GARCH(1, 1) of a demeaned series by Gaussian likelihood, from the two best of several starts; constant variance where that fails."""
-    x = np.asarray(x, float)
-    r = x - x.mean() if len(x) else x
-    var = float(r.var()) if len(r) else 0.0
-    if len(r) < 10 or var < 1e-14:
-        return {"omega": var, "alpha": 0.0, "beta": 0.0, "persistence": 0.0, "half_life": None, "converged": False, "cond_vol": np.full(len(r), math.sqrt(var)).tolist()}
-    scale = math.sqrt(var)
-    z = r / scale
-
-    def split(p: np.ndarray) -> tuple[float, float, float]:
-        total = 0.9999 / (1 + math.exp(-np.clip(p[1], -30, 30)))
-        share = 1 / (1 + math.exp(-np.clip(p[2], -30, 30)))
-        return math.exp(np.clip(p[0], -25, 5)), total * share, total * (1 - share)
-
-    def loss(p: np.ndarray) -> float:
-        s = np.maximum(garch_variance(z, *split(p)), 1e-12)
-        return float(0.5 * np.sum(np.log(s) + z * z / s))
-
-    logit = lambda q: math.log(q / (1 - q))
-    starts = sorted(((math.log(1 - a - b), logit((a + b) / 0.9999), logit(a / (a + b))) for a, b in GARCH_STARTS), key=lambda p: loss(np.array(p)))
-    best = min((nelder_mead(loss, p, 200, tol=1e-7) for p in starts[:2]), key=lambda t: t[1])
-    omega, alpha, beta = split(best[0])
-    persistence = alpha + beta
-    vol = np.sqrt(garch_variance(z, omega, alpha, beta, omega / max(1 - persistence, 1e-6))) * scale
-    half = math.log(0.5) / math.log(persistence) if 0 < persistence < 1 else None
-    return {"omega": omega * var, "alpha": alpha, "beta": beta, "persistence": persistence, "half_life": half, "converged": bool(np.isfinite(best[1])), "cond_vol": vol.tolist()}
+    """garch_fits() of one series."""
+    return garch_fits([x])[0]
 
 
 #: 5 % critical values of the Dickey-Fuller statistic with a constant: b0 + b1 / n + b2 / n**2 (MacKinnon 2010).
@@ -186,46 +161,9 @@ def adf(x, maxlag: int = 10) -> tuple[float, bool]:
     return best[1], best[1] < ADF_5[0] + ADF_5[1] / n + ADF_5[2] / n**2
 
 
-def _residuals(z: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    p, q = len(ar), len(ma)
-    e = np.zeros(len(z))
-    for t in range(len(z)):
-        v = z[t]
-        for j in range(min(p, t)):
-            v -= ar[j] * z[t - 1 - j]
-        for j in range(min(q, t)):
-            v -= ma[j] * e[t - 1 - j]
-        e[t] = v
-    return e
-
-
 def arma_fit(x, p: int, d: int, q: int) -> dict:
-    """ARIMA(p, d, q) by Hannan-Rissanen and, with a moving-average part, conditional least squares; AIC and BIC of the Gaussian likelihood."""
-    w = np.diff(np.asarray(x, float), d) if d else np.asarray(x, float)
-    mean = w.mean() if not d else 0.0
-    z = w - mean
-    n = len(z)
-    ar, ma = np.zeros(p), np.zeros(q)
-    if p + q and n > p + q + 2:
-        k = min(max(p + q, 5), n // 4)
-        e = z
-        if q and k:
-            a = np.column_stack([z[k - j : n - j] for j in range(1, k + 1)])
-            c, *_ = np.linalg.lstsq(a, z[k:], rcond=None)
-            e = np.r_[np.zeros(k), z[k:] - a @ c]
-        m = max(p, q + (k if q else 0))
-        a = np.column_stack([z[m - j : n - j] for j in range(1, p + 1)] + [e[m - j : n - j] for j in range(1, q + 1)])
-        c, *_ = np.linalg.lstsq(a, z[m:], rcond=None)
-        ar, ma = c[:p], c[p:]
-        if q:
-            f = lambda v: float(min(1e300, np.sum(np.square(np.clip(_residuals(z, v[:p], v[p:]), -1e100, 1e100)))))
-            v, _ = nelder_mead(f, np.clip(np.r_[ar, ma], -0.95, 0.95), 60 * (p + q), 0.1)
-            ar, ma = v[:p], v[p:]
-    e = _residuals(z, ar, ma)
-    s2 = max(float(np.mean(np.square(np.clip(e, -1e100, 1e100)))), 1e-300)
-    like = -0.5 * n * (math.log(2 * math.pi * s2) + 1)
-    k = p + q + 1 + (not d)
-    return {"order": (p, d, q), "ar": ar, "ma": ma, "mean": mean, "resid": e, "aic": -2 * like + 2 * k, "bic": -2 * like + k * math.log(max(n, 2)), "z": z, "x": np.asarray(x, float)}
+    """arma_fits() of one series and order."""
+    return arma_fits([x], [d], ((p, q),))[0][0]
 
 
 def arma_forecast(fit: dict, h: int) -> np.ndarray:

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import adf, arma_fit, arma_forecast, find_peaks, hmm_fit, ridge_ar, viterbi
+from ..functions.fits import arma_fits, series_batches
+from ..functions.kernels import adf, arma_forecast, find_peaks, hmm_fit, ridge_ar, viterbi
 from ..functions.series import KEY, spread
 
-#: (p, d, q) that predict_arima tries beside d from the unit-root test.
-ORDERS = ((1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2), (2, 2), (3, 0), (0, 3), (3, 1), (1, 3), (3, 2), (2, 3))
+#: Fixed values: (p, q) that predict_arima tries, in this order; d comes from the unit-root test.
+ORDERS = ((1, 1), (1, 0), (0, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (4, 1), (4, 2), (0, 0), (2, 0), (0, 2))
 MODELS = ("arima", "hmm", "ridge", "ridge_long")
 PREDICTED = "model string, step bigint, forecast double, actual double, backend string, error string"
 
@@ -24,21 +26,19 @@ def metrics(df: DataFrame, key: list[str], truth: str = "actual", forecast: str
     return df.groupBy(*key).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"))
 
 
-def predict_arima(train: np.ndarray, h: int) -> tuple[np.ndarray, str]:
-    """The order with the lowest AIC, or one within 10 of it with a lower BIC; the mean of the last five values where nothing fits."""
-    if len(train) < max(10, h):
-        return np.full(h, train[-5:].mean()), "mean"
-    d = 0 if adf(train)[1] else 1
-    best = None
-    for p, q in ORDERS:
-        try:
-            f = arma_fit(train, p, d, q)
-        except (np.linalg.LinAlgError, ValueError):
-            continue
-        if np.isfinite(f["aic"]) and (best is None or f["aic"] < best["aic"] or (f["aic"] < best["aic"] + 10 and f["bic"] < best["bic"])):
-            best = f
-    out = arma_forecast(best, h) if best else np.full(h, np.nan)
-    return (out, "css") if np.isfinite(out).all() else (np.full(h, train[-5:].mean()), "mean")
+def predict_arima(trains: list[np.ndarray], h: int) -> list[tuple[np.ndarray, str]]:
+    """For each series the order with the lowest AIC, or one within 10 of it with a lower BIC; the mean of the last five values where nothing fits."""
+    out = [(np.full(h, x[-5:].mean()), "mean") for x in trains]
+    own = [i for i, x in enumerate(trains) if len(x) >= max(10, h)]
+    for i, fits in zip(own, arma_fits([trains[i] for i in own], [0 if adf(trains[i])[1] else 1 for i in own], ORDERS) if own else ()):
+        best = None
+        for f in fits:
+            if np.isfinite(f["aic"]) and (best is None or f["aic"] < best["aic"] or (f["aic"] < best["aic"] + 10 and f["bic"] < best["bic"])):
+                best = f
+        ahead = arma_forecast(best, h) if best else np.full(h, np.nan)
+        if np.isfinite(ahead).all():
+            out[i] = ahead, "css"
+    return out
 
 
 def predict_hmm(train: np.ndarray, h: int, states: int = 3, seed: int = 42) -> tuple[np.ndarray, str]:
@@ -47,7 +47,7 @@ def predict_hmm(train: np.ndarray, h: int, states: int = 3, seed: int = 42) -> t
         return np.full(h, train[-1]), "persistence"
     best = None
     for k in sorted({max(2, states - 1), states, states + 1}):
-        m = hmm_fit(train, k, seed, restarts=1, steps=30)
+        m = hmm_fit(train, k, seed, restarts=3, steps=30)
         size = k * k + 2 * k
         score = m["loglik"] - 0.5 * size * math.log(len(train)) - (1000 if (m["trans"].sum(1) < 0.5).any() else 0)
         if best is None or score > best[0]:
@@ -61,50 +61,48 @@ def predict_hmm(train: np.ndarray, h: int, states: int = 3, seed: int = 42) -> t
     return np.array(out), "baum-welch"
 
 
-def forecast_one(x: np.ndarray, h: int, models: tuple = MODELS) -> list[tuple]:
-    """Rows (model, step, forecast, actual, backend, error): fitted on all but the last h values, held against those."""
-    x = np.asarray(x, float)
-    rows = []
-    for name in models:
-        if len(x) < h + 5:
-            rows += [(name, k, None, None, "none", "too short") for k in range(h)]
-            continue
-        train, actual, error = x[:-h], x[-h:], None
-        try:
-            if name == "arima":
-                out, backend = predict_arima(train, h)
-            elif name == "hmm":
-                out, backend = predict_hmm(train, h)
-            elif name == "ridge":
-                out, backend = ridge_ar(train, 10, h), "ridge"
-            elif name == "ridge_long":
-                out, backend = ridge_ar(train, 30, h), "ridge"
-            elif name == "naive":
-                out, backend = np.full(h, train[-1]), "persistence"
-            elif name == "mean":
-                out, backend = np.full(h, train.mean()), "mean"
-            else:
-                raise ValueError(f"unknown model {name}")
-        except (np.linalg.LinAlgError, FloatingPointError) as e:
-            out, backend, error = np.zeros(h), "none", str(e)
-        rows += [(name, k, float(out[k]), float(actual[k]), backend, error) for k in range(h)]
-    return rows
+ONE = {
+    "hmm": lambda x, h: predict_hmm(x, h), "ridge": lambda x, h: (ridge_ar(x, 10, h), "ridge"), "ridge_long": lambda x, h: (ridge_ar(x, 30, h), "ridge"),
+    "naive": lambda x, h: (np.full(h, x[-1]), "persistence"), "mean": lambda x, h: (np.full(h, x.mean()), "mean"),
+}
+
+
+def forecast_many(series: list[np.ndarray], h: int, models: tuple = MODELS) -> list[list[tuple]]:
+    """For each series rows (model, step, forecast, actual, backend, error): fitted on all but the last h values, held against those."""
+    series = [np.asarray(x, float) for x in series]
+    long = [i for i, x in enumerate(series) if len(x) >= h + 5]
+    arima = dict(zip(long, predict_arima([series[i][:-h] for i in long], h))) if "arima" in models else {}
+    out = []
+    for i, x in enumerate(series):
+        rows = []
+        for name in models:
+            if len(x) < h + 5:
+                rows += [(name, k, None, None, "none", "too short") for k in range(h)]
+                continue
+            error = None
+            try:
+                ahead, backend = arima[i] if name == "arima" else ONE[name](x[:-h], h)
+            except (np.linalg.LinAlgError, FloatingPointError) as e:
+                ahead, backend, error = np.zeros(h), "none", str(e)
+            rows += [(name, k, float(ahead[k]), float(x[len(x) - h + k]), backend, error) for k in range(h)]
+        out.append(rows)
+    return out
 
 
 def forecasts(rows: DataFrame, key: list[str], order: str, value: str, h: int = 20, models: tuple = MODELS) -> DataFrame:
-    """(key, model, step, forecast, actual, backend, error) of every series; each series is one group."""
+    """(key, model, step, forecast, actual, backend, error) of every series; a task fits its series many at a time."""
     unknown = set(models) - {*MODELS, "naive", "mean"}
     if unknown:
         raise ValueError(f"unknown models {sorted(unknown)}")
     names = {f.name: f.dataType.simpleString() for f in rows.schema}
+    columns = [*key, "model", "step", "forecast", "actual", "backend", "error"]
 
-    def run(ids: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(forecast_one(df.sort_values(order)[value].to_numpy(), h, models), columns=["model", "step", "forecast", "actual", "backend", "error"])
-        for k, v in zip(reversed(key), reversed(ids)):
-            out.insert(0, k, v)
-        return out
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, series in series_batches(frames, key, value):
+            yield pd.DataFrame([(*k, *r) for k, own in zip(ids, forecast_many(series, h, models)) for r in own], columns=columns)
 
-    return spread(rows.select(*key, order, value), *key).groupBy(*key).applyInPandas(run, ", ".join(f"{k} {names[k]}" for k in key) + ", " + PREDICTED)
+    dealt = spread(rows.select(*key, order, value), *key).sortWithinPartitions(*key, order)
+    return dealt.mapInPandas(run, ", ".join(f"{k} {names[k]}" for k in key) + ", " + PREDICTED)
 
 
 def naive(samples: DataFrame, h: int, key: str = KEY, order: str = "i", value: str = "y") -> DataFrame:
@@ -146,7 +144,7 @@ def arima_structure(rows: DataFrame, key: list[str], order: str, value: str, max
         if n >= 10 and x.std() > 1e-12:
             ok = adf(x, min(10, n // 3))[1]
             d = 0 if ok else 1
-            best = min((arma_fit(x, p, d, q) for p in range(max_p + 1) for q in range(max_q + 1)), key=lambda f: f["aic"] if np.isfinite(f["aic"]) else math.inf)
+            best = min(arma_fits([x], [d], tuple((p, q) for p in range(max_p + 1) for q in range(max_q + 1)))[0], key=lambda f: f["aic"] if np.isfinite(f["aic"]) else math.inf)
             e = best["resid"]
             lags = max(2, min(10, len(e) // 4) // 2 * 2)
             r = correlations(e, lags)

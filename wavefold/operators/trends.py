@@ -19,13 +19,19 @@ from .spectral import descriptors, magnitudes
 WEIGHTS = {"energy": 0.35, "brightness": 0.25, "complexity": 0.15, "rhythm": 0.25}
 
 
+def _changes(samples: DataFrame) -> DataFrame:
+    """samples with ``_f``: change of the squared pre-emphasised value (y[i] - .97 y[i-1]; the first value as it is), by one window."""
+    df, w, core = X.chunked(samples, 2, 0)
+    one, two = F.lag("y", 1).over(w), F.lag("y", 2).over(w)
+    df = df.withColumn("_1", one).withColumn("_2", two)
+    now, before = F.col("y") - 0.97 * F.col("_1"), F.col("_1") - 0.97 * F.coalesce("_2", F.lit(0.0))
+    return X.tidy(df.withColumn("_f", now * now - before * before), core).drop("_1", "_2")
+
+
 def frame_energy(samples: DataFrame, win: int, hop: int) -> DataFrame:
     """(signal_id, w, energy, rhythm, n): root mean square, and mean absolute change of the pre-emphasised square."""
-    pre = X.difference(samples, "y", "_e", 0.97)
     # A change belongs to the frames that hold both of its samples: every frame of a sample but those it opens.
-    pre = pre.withColumn("_q", F.col("_e") * F.col("_e"))
-    pre = X.difference(pre, "_q", "_f")
-    f = frames(pre, win, hop, ["_f"])
+    f = frames(_changes(samples), win, hop, ["_f"])
     return f.groupBy(KEY, "w").agg(F.sqrt(F.avg(F.col("y") * F.col("y"))).alias("energy"), F.avg(F.when(F.col("k") > 0, F.abs("_f"))).alias("rhythm"), F.count("*").alias("n"))
 
 
@@ -35,9 +41,7 @@ def trends(samples: DataFrame, win: int, hop: int, sr: float = 1.0, normalise: b
     One grouping makes both the aggregates and the frame's array, so the
     samples are shuffled once.
     """
-    pre = X.difference(samples, "y", "_e", 0.97)
-    pre = X.difference(pre.withColumn("_q", F.col("_e") * F.col("_e")), "_q", "_f")
-    f = frames(pre, win, hop, ["_f"])
+    f = frames(_changes(samples), win, hop, ["_f"])
     g = f.groupBy(KEY, "w").agg(
         F.sqrt(F.avg(F.col("y") * F.col("y"))).alias("energy"), F.coalesce(F.avg(F.when(F.col("k") > 0, F.abs("_f"))), F.lit(0.0)).alias("rhythm"),
         F.transform(F.array_sort(F.collect_list(F.struct("k", "y"))), lambda s: s["y"]).alias("ys"), F.first("hop").alias("hop"),

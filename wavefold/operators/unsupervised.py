@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series as X
 from ..functions.kernels import find_peaks, nmf
-from ..functions.series import KEY
+from ..functions.series import KEY, spread
 from .framing import embed, stride, subsequences
 from .spectral import dot
 from .trends import peaks
@@ -104,41 +104,54 @@ def motifs(profile: DataFrame, seconds: float, hop: float, top: int = 5) -> tupl
     return found, odd.select(KEY, "j", "distance")
 
 
+def _run_lengths(mask: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of True down the columns."""
+    edge = np.diff(np.pad(mask.T, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    return np.nonzero(edge == -1)[1] - np.nonzero(edge == 1)[1]
+
+
+def recurrence_lines(x: np.ndarray, threshold: float) -> tuple:
+    """Recurrence rate, determinism, laminarity, mean diagonal and vertical line and the entropy of diagonal lines, of vectors x."""
+    n = len(x)
+    square = np.zeros((n, n))
+    for k in range(x.shape[1]):
+        gap = x[:, None, k] - x[None, :, k]
+        square += gap * gap
+    far = np.sqrt(square)
+    near = far < threshold * far.max(initial=0.0)
+    np.fill_diagonal(near, False)
+    total = int(near.sum())
+    # Row i is moved by i to the right, so that columns are diagonals.
+    skew = np.zeros((n, 2 * n), bool)
+    skew[:, :n] = near[:, ::-1]
+    skew = skew.ravel()[: n * (2 * n - 1)].reshape(n, 2 * n - 1)
+    out = []
+    for mask in (skew, near):
+        runs = _run_lengths(mask)
+        runs = runs[runs >= 2]
+        p = np.unique(runs, return_counts=True)[1] / (len(runs) + 1e-12)
+        out.append((runs.sum() / max(total, 1), runs.mean() if len(runs) else 1.0, float(-(p * np.log(p + 1e-12)).sum())))
+    return total / (n * n), out[0][0], out[1][0], out[0][1], out[1][1], out[0][2]
+
+
 def recurrence(rows: DataFrame, dim: int = 3, delay: int = 2, threshold: float = 0.15, cap: int = 300, vector: str = "x", order: str = "w") -> DataFrame:
     """(signal_id, recurrence_rate, determinism, laminarity, mean_diag_length, trapping_time, entropy_diag, level).
 
-    Delay vectors are strided to about cap, which bounds the pairs; pairs nearer
-    than threshold times the largest distance are recurrent, and lines are runs
-    of them along a diagonal or a column.
+    Delay vectors are strided to under twice cap, so that a signal's pairs are
+    one bounded matrix; pairs nearer than threshold times the largest distance
+    are recurrent, and lines are runs of them along a diagonal or a column.
     """
     e = embed(rows, dim, delay, vector, order)
     n0 = e.groupBy(KEY).agg(F.count("*").alias("n0"))
     e = e.join(n0, KEY).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n0") / cap)))
-    e = e.filter(F.col("j") % F.col("step") == 0).select(KEY, (F.col("j") / F.col("step")).cast("bigint").alias("i"), "e")
-    n = e.groupBy(KEY).agg(F.count("*").alias("n"))
-    pairs = e.join(e.select(KEY, F.col("i").alias("j"), F.col("e").alias("f")), KEY).filter("i < j")
-    gap = F.sqrt(F.aggregate(F.zip_with("e", "f", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    d = pairs.select(KEY, "i", "j", gap.alias("d"))
-    far = d.groupBy(KEY).agg(F.max("d").alias("far"))
-    near = d.join(far, KEY).filter(F.col("d") < threshold * F.col("far")).select(KEY, "i", "j")
-    full = near.union(near.select(KEY, F.col("j").alias("i"), F.col("i").alias("j")))
-
-    def lines(of: str, line, place: str) -> DataFrame:
-        r = full.withColumn("line", line)
-        w = Window.partitionBy(KEY, "line").orderBy(place)
-        islands = r.withColumn("island", F.col(place) - F.row_number().over(w)).groupBy(KEY, "line", "island").agg(F.count("*").alias("len"))
-        h = islands.filter("len >= 2").groupBy(KEY, "len").agg(F.count("*").alias("c"))
-        tot = Window.partitionBy(KEY)
-        p = F.col("c") / (F.sum("c").over(tot) + 1e-12)
-        return h.withColumn("p", p).groupBy(KEY).agg(F.sum(F.col("len") * F.col("c")).alias(f"points_{of}"), F.sum("c").alias(f"lines_{of}"), F.sum(-F.col("p") * F.ln(F.col("p") + 1e-12)).alias(f"entropy_{of}"))
-
-    total = full.groupBy(KEY).agg(F.count("*").alias("r"))
-    z = n.join(total, KEY, "left").join(lines("d", F.col("j") - F.col("i"), "i"), KEY, "left").join(lines("v", F.col("j"), "i"), KEY, "left").fillna(0)
-    mean = lambda k: F.when(F.col(f"lines_{k}") > 0, F.try_divide(f"points_{k}", f"lines_{k}")).otherwise(1.0)
-    out = z.select(
-        KEY, (F.col("r") / (F.col("n") * F.col("n"))).alias("recurrence_rate"), (F.col("points_d") / F.greatest("r", F.lit(1))).alias("determinism"), (F.col("points_v") / F.greatest("r", F.lit(1))).alias("laminarity"),
-        mean("d").alias("mean_diag_length"), mean("v").alias("trapping_time"), F.col("entropy_d").alias("entropy_diag"),
-    )
+    e = e.filter(F.col("j") % F.col("step") == 0).select(KEY, "j", "e")
+    names = ["recurrence_rate", "determinism", "laminarity", "mean_diag_length", "trapping_time", "entropy_diag"]
+
+    def run(ids: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*ids, *recurrence_lines(np.stack(df.sort_values("j").e.to_numpy()), threshold))], columns=[KEY, *names])
+
+    kind = rows.schema[KEY].dataType.simpleString()
+    out = spread(e, KEY).groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, " + ", ".join(f"{k} double" for k in names))
     level = F.when(F.col("determinism") > 0.8, "high").when(F.col("determinism") > 0.5, "medium").when(F.col("determinism") > 0.2, "low").otherwise("random")
     return out.withColumn("level", F.concat(level, F.when(F.col("laminarity") > 0.6, "+laminar").otherwise("")))
 

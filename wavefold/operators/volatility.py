@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series as X
-from ..functions.kernels import garch_fit, garch_variance
+from ..functions.fits import garch_fits, series_batches
+from ..functions.kernels import garch_variance
 from ..functions.series import KEY, spread
 from .trends import global_similarity, series_similarity
 
@@ -58,13 +61,19 @@ def garch(rows: DataFrame, value: str = "y", key: list[str] | None = None, order
     key = key or [KEY]
     names = {f.name: f.dataType.simpleString() for f in rows.schema}
 
-    def run(ids: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        x = df.sort_values(order)[value].to_numpy(float)
-        fit = garch_fit(x) if len(x) >= least else garch_fit(x[:0]) | {"omega": float(x.var()) if len(x) else 0.0, "cond_vol": [float(x.std())] * len(x)}
-        fit["backend"] = "likelihood" if fit["converged"] else "constant"
-        return pd.DataFrame([dict(zip(key, ids)) | fit])[[*key, *(c.split()[0] for c in GARCH_SHAPE.split(", "))]]
+    columns = [*key, *(c.split()[0] for c in GARCH_SHAPE.split(", "))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, series in series_batches(frames, key, value):
+            fits = garch_fits([x if len(x) >= least else x[:0] for x in series])
+            for fit, x in zip(fits, series):
+                if len(x) < least:
+                    fit |= {"omega": float(x.var()) if len(x) else 0.0, "cond_vol": [float(x.std())] * len(x)}
+                fit["backend"] = "likelihood" if fit["converged"] else "constant"
+            yield pd.DataFrame([dict(zip(key, k)) | fit for k, fit in zip(ids, fits)])[columns]
 
-    return spread(rows.select(*key, order, value), *key).groupBy(*key).applyInPandas(run, ", ".join(f"{k} {names[k]}" for k in key) + ", " + GARCH_SHAPE)
+    dealt = spread(rows.select(*key, order, value), *key).sortWithinPartitions(*key, order)
+    return dealt.mapInPandas(run, ", ".join(f"{k} {names[k]}" for k in key) + ", " + GARCH_SHAPE)
 
 
 def garch_recursion(rows: DataFrame, omega: float, alpha: float, beta: float, value: str = "y", order: str = "i") -> DataFrame:
