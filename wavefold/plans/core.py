@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import series as X
 from ..operators import framing, stats, trends, volatility
 from ..sources import signals, synth
+from .sql import peaks as peaks_sql
 
 WIN, HOP = 64, 32
 SWIN, SHOP = 16, 8
@@ -105,7 +106,7 @@ def trend_layer(spark, d):
 
 
 def trend_summary(spark, d):
-    return trends.summary(layer(spark, d), ("energy", "complexity")).select("signal_id", "trend", *r("mean", "sd", "low", "high", "range_pct"), "direction")
+    return trends.summary(layer(spark, d)).join(trends.peak_counts(layer(spark, d)), ["signal_id", "trend"]).select("signal_id", "trend", *r("mean", "sd", "low", "high", "range_pct", d=5), "direction", "n_peaks")
 
 
 def resampled_series(spark, d):
@@ -119,7 +120,7 @@ def lag_windows(spark, d):
 
 
 def acf_table(spark, d):
-    return stats.acf(signals.by_user(spark, d), 6).select("signal_id", "lag", *r("acf"))
+    return stats.acf(signals.by_user(spark, d)).select("signal_id", "lag", *r("acf"))
 
 
 def acf_peaks(spark, d):
@@ -168,7 +169,7 @@ def zero_crossing(spark, d):
 
 
 def sample_entropy(spark, d):
-    return stats.sample_entropy(X.zscore(signals.by_user(spark, d), "y", "z").select("signal_id", "i", F.col("z").alias("y"))).select("signal_id", "b", "a", *r("sampen"))
+    return stats.sample_entropy(signals.by_user(spark, d)).select("signal_id", "b", "a", *r("sampen"))
 
 
 def rolling_volatility(spark, d):
@@ -190,7 +191,7 @@ def garch_fit(spark, d):
 
 
 def volatility_layer(spark, d):
-    v = volatility.volatility_layer(trends.long(layer(spark, d), ("energy", "complexity")))
+    v = volatility.volatility_layer(trends.long(layer(spark, d)))
     return v.select("signal_id", "trend", "w", *r("vol", "vol_norm", d=5))
 
 
@@ -256,7 +257,18 @@ TONE = (
     "tone AS (SELECT i, y / (max(abs(y)) OVER () + 1e-8) AS y FROM raw)"
 )
 
+LONG4 = "lg AS (SELECT signal_id, w, 'energy' AS trend, energy AS x FROM e UNION ALL SELECT signal_id, w, 'brightness', brightness FROM e UNION ALL SELECT signal_id, w, 'complexity', complexity FROM e UNION ALL SELECT signal_id, w, 'rhythm', rhythm FROM e)"
+#: Durbin-Levinson: phi holds the coefficients of order lag, from which the next order follows.
+LEVINSON = (
+    "rl AS (SELECT signal_id, any_value(n) AS n, list(acf ORDER BY lag) AS r FROM acf GROUP BY 1), "
+    "dl AS (SELECT signal_id, n, r, 1::BIGINT AS lag, [r[2]] AS phi FROM rl UNION ALL SELECT signal_id, n, r, lag + 1, list_append(list_transform(phi, lambda x, j: x - pk * phi[len(phi) - j + 1]), pk) "
+    "FROM (SELECT *, CASE WHEN abs(1 - list_inner_product(phi, r[2:lag + 1])) < 1e-12 THEN 0 ELSE (r[lag + 2] - list_inner_product(phi, list_reverse(r[2:lag + 1]))) / (1 - list_inner_product(phi, r[2:lag + 1])) END AS pk FROM dl WHERE lag < 5)), "
+    "pf AS (SELECT signal_id, n, 0::BIGINT AS lag, 1.0::DOUBLE AS acf, 1.0::DOUBLE AS pacf FROM rl UNION ALL SELECT signal_id, n, lag, r[lag + 1], phi[lag] FROM dl)"
+)
+
 ORACLES = {
+    "find_peaks": f"WITH RECURSIVE {B}, {peaks_sql('pk', 's', 'signal_id', 'i', 'y', distance='5', prominence='0.3 * sd')} SELECT signal_id, p, round(v, 6) AS y FROM pk",
+    "pacf_table": f"WITH RECURSIVE {B}, {ACF.format(n=6)}, {LEVINSON} SELECT signal_id, lag, {sr_('acf', 'pacf')}, round(1.96 / sqrt(n), 6) AS ci FROM pf",
     "frame_rms": f"WITH {FA}, {RMS} SELECT signal_id, w, {sr_('energy')} FROM e",
     "trend_zscore": f"WITH {FA}, {RMS} SELECT signal_id, w, round((energy - avg(energy) OVER p) / (stddev_pop(energy) OVER p + 1e-12), 6) AS z FROM e WINDOW p AS (PARTITION BY signal_id)",
     "trend_minmax": f"WITH {B} SELECT signal_id, i, round((y - min(y) OVER p) / (max(y) OVER p - min(y) OVER p + 1e-12), 6) AS m FROM s WINDOW p AS (PARTITION BY signal_id)",
@@ -267,14 +279,14 @@ ORACLES = {
     "structural_segments": f"WITH {LAYER}, {SEGMENTS} SELECT signal_id, w, label FROM seg",
     "segment_counts": f"WITH {LAYER}, {SEGMENTS} SELECT signal_id, label, count(*) AS windows FROM seg GROUP BY 1, 2",
     "trend_layer": f"WITH {LAYER} SELECT signal_id, w, (w * 32 + 32)::DOUBLE AS t_mid, {sr_('energy', 'brightness', 'complexity')}, {sr_('rhythm', d=4)} FROM e",
-    "trend_summary": f"WITH {LAYER}, l AS (SELECT signal_id, w, 'energy' AS trend, energy AS x FROM e UNION ALL SELECT signal_id, w, 'complexity', complexity FROM e), "
+    "trend_summary": f"WITH RECURSIVE {LAYER}, {LONG4.replace('lg AS', 'l AS', 1)}, {peaks_sql('pk', 'l', 'signal_id, trend', 'w', 'x', distance='greatest(1, n // 10)')}, pc AS (SELECT signal_id, trend, count(*) AS n_peaks FROM pk GROUP BY 1, 2), "
     "z AS (SELECT signal_id, trend, avg(x) AS mean, stddev_pop(x) AS sd, min(x) AS low, max(x) AS high, (max(x) - min(x)) / (max(x) + 1e-12) AS range_pct, regr_slope(x, w::DOUBLE) AS sl, count(*) AS n FROM l GROUP BY 1, 2) "
-    f"SELECT signal_id, trend, {sr_('mean', 'sd', 'low', 'high', 'range_pct')}, CASE WHEN sl > sd * 0.3 / n THEN 'rising' WHEN sl < -sd * 0.3 / n THEN 'falling' ELSE 'flat' END AS direction FROM z",
+    f"SELECT signal_id, trend, {sr_('mean', 'sd', 'low', 'high', 'range_pct', d=5)}, CASE WHEN sl > sd * 0.3 / n THEN 'rising' WHEN sl < -sd * 0.3 / n THEN 'falling' ELSE 'flat' END AS direction, coalesce(n_peaks, 0) AS n_peaks FROM z LEFT JOIN pc USING (signal_id, trend)",
     "resampled_series": f"WITH {B}, g AS (SELECT signal_id, n, k, k * (n - 1) / 99.0 AS p FROM (SELECT signal_id, count(*) AS n FROM s GROUP BY 1), (SELECT range AS k FROM range(100))) "
     "SELECT g.signal_id, k, round(a.y + (p - floor(p)) * (b.y - a.y), 6) AS v FROM g JOIN s a ON a.signal_id = g.signal_id AND a.i = floor(p) JOIN s b ON b.signal_id = g.signal_id AND b.i = least(floor(p) + 1, n - 1)",
     "lag_windows": f"WITH {B}, z AS (SELECT signal_id, i, sum(y) OVER (p ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS past, sum(y) OVER (p ROWS BETWEEN 30 FOLLOWING AND 39 FOLLOWING) AS ahead, y AS first, lead(y, 39) OVER p AS last FROM s WINDOW p AS (PARTITION BY signal_id ORDER BY i)) "
     "SELECT signal_id, i, round(past, 4) AS past, round(ahead, 4) AS ahead, round(first, 6) AS first, round(last, 6) AS last FROM z WHERE last IS NOT NULL",
-    "acf_table": f"WITH {B}, {ACF.format(n=6)} SELECT signal_id, lag, {sr_('acf')} FROM acf",
+    "acf_table": f"WITH {B}, {ACF.format(n=40)} SELECT signal_id, lag, {sr_('acf')} FROM acf",
     "acf_peaks": f"WITH {B}, {ACF.format(n=20)}, z AS (SELECT *, lag(acf) OVER p AS a, lead(acf) OVER p AS b FROM acf WINDOW p AS (PARTITION BY signal_id ORDER BY lag)), "
     "t AS (SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY acf DESC, lag) AS rank, lag, acf FROM z WHERE lag BETWEEN 2 AND 18 AND acf > a AND acf > b AND acf > 1.96 / sqrt(n)) "
     f"SELECT signal_id, rank, lag, {sr_('acf')} FROM t WHERE rank <= 3",
@@ -288,15 +300,14 @@ ORACLES = {
     f"v AS (SELECT q.signal_id, (exp(-lb / 2) * ({CHI.replace('st', 'lb')}) > 0.05)::BIGINT + (exp(-bp / 2) * ({CHI.replace('st', 'bp')}) > 0.05)::BIGINT + (share < 0.10)::BIGINT + coalesce(ratio < 10, true)::BIGINT + coalesce(p_value > 0.05, true)::BIGINT AS votes, exp(-statistic / 2) > 0.05 AS is_normal "
     "FROM q JOIN vz USING (signal_id) JOIN rp USING (signal_id) JOIN jb USING (signal_id)) SELECT signal_id, votes, votes >= 3 AS is_white, is_normal FROM v",
     "zero_crossing": f"WITH {B}, c AS (SELECT signal_id, i, sign(y - avg(y) OVER (PARTITION BY signal_id)) AS g FROM s) SELECT signal_id, round(sum(coalesce(d, 0)) / count(*), 6) AS zcr FROM (SELECT *, abs(g - lag(g) OVER (PARTITION BY signal_id ORDER BY i)) AS d FROM c) GROUP BY 1",
-    "sample_entropy": f"WITH {B}, z0 AS (SELECT signal_id, i, (y - avg(y) OVER p) / (stddev_pop(y) OVER p + 1e-12) AS y FROM s WINDOW p AS (PARTITION BY signal_id)), "
-    "z AS (SELECT signal_id, i, (y - avg(y) OVER p) / (stddev_pop(y) OVER p + 1e-10) AS z, 0.2 * stddev_pop(y) OVER p AS tol FROM z0 WINDOW p AS (PARTITION BY signal_id)), "
+    "sample_entropy": f"WITH {B}, z AS (SELECT signal_id, i, (y - avg(y) OVER p) / (stddev_pop(y) OVER p + 1e-10) AS z, 0.2 * stddev_pop(y) OVER p AS tol FROM s WINDOW p AS (PARTITION BY signal_id)), "
     "t AS (SELECT signal_id, i, tol, z AS a, lead(z, 1) OVER p AS b, lead(z, 2) OVER p AS c, lead(z, 3) OVER p AS d FROM z WINDOW p AS (PARTITION BY signal_id ORDER BY i)), "
     "m AS (SELECT x.signal_id, count(*) AS b, count(*) FILTER (WHERE y.d IS NOT NULL AND x.d IS NOT NULL AND abs(x.c - y.c) <= x.tol) AS a FROM t x JOIN t y ON x.signal_id = y.signal_id AND x.i < y.i AND abs(x.a - y.a) <= x.tol AND abs(x.b - y.b) <= x.tol WHERE x.c IS NOT NULL AND y.c IS NOT NULL GROUP BY 1) "
     "SELECT q.signal_id, coalesce(b, 0) AS b, coalesce(a, 0) AS a, round(-ln((a + 1) / (b + 1)), 6) AS sampen FROM (SELECT DISTINCT signal_id FROM s) q LEFT JOIN m USING (signal_id)",
     "rolling_volatility": f"WITH {B}, {ROLL} SELECT signal_id, i, {sr_('vol')} FROM v",
     "volatility_summary": f"WITH {B}, {ROLL}, z AS (SELECT signal_id, avg(vol) AS mean_vol, stddev_pop(vol) AS sd_vol, max(vol) AS max_vol, stddev_pop(vol) / (avg(vol) + 1e-12) AS vol_of_vol FROM v GROUP BY 1) "
     f"SELECT signal_id, {sr_('mean_vol', 'sd_vol', 'max_vol', 'vol_of_vol')}, CASE WHEN mean_vol > 0.1 THEN 'high' WHEN mean_vol > 0.03 THEN 'medium' ELSE 'low' END AS regime FROM z",
-    "volatility_layer": f"WITH {LAYER}, l AS (SELECT signal_id, w, 'energy' AS trend, energy AS x FROM e UNION ALL SELECT signal_id, w, 'complexity', complexity FROM e), "
+    "volatility_layer": f"WITH {LAYER}, {LONG4.replace('lg AS', 'l AS', 1)}, "
     "lw AS (SELECT *, least(10, greatest(2, count(*) OVER (PARTITION BY signal_id, trend) // 3)) AS wd FROM l), "
     "z AS (SELECT p.signal_id, p.trend, p.w, stddev_pop(o.x) AS vol FROM lw p JOIN l o ON o.signal_id = p.signal_id AND o.trend = p.trend AND CASE WHEN p.w < p.wd - 1 THEN o.w <= p.w + 1 ELSE o.w BETWEEN p.w - p.wd + 1 AND p.w END GROUP BY 1, 2, 3), "
     f"y AS (SELECT *, (vol - avg(vol) OVER p) / (stddev_pop(vol) OVER p + 1e-12) AS vol_norm FROM z WINDOW p AS (PARTITION BY signal_id, trend)) SELECT signal_id, trend, w, {sr_('vol', 'vol_norm', d=5)} FROM y",

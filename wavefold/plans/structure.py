@@ -9,7 +9,9 @@ from ..functions import series as X
 from ..operators import discovery, forecast, framing, similarity, spectral, trends, unsupervised, volatility
 from ..sinks import registry
 from ..sources import signals
-from .core import A, B, DFT, FA, HOP, LAYER, SEGMENTS, WIN, layer, r, sr_
+from .core import A, B, DFT, FA, HOP, LAYER, LONG4, SEGMENTS, WIN, layer, r, sr_
+from .sql import peaks as peaks_sql
+from .sql import simple_errors
 
 PAIRS = [("click", "purchase"), ("click", "view"), ("purchase", "view")]
 
@@ -46,7 +48,7 @@ def dominant_frequency(spark, d):
 
 
 def spectrum(spark, d):
-    return spectral.fft(signals.by_user(spark, d)).select("signal_id", "bin", *r("freq", "mag"))
+    return spectral.fft(signals.by_user(spark, d)).withColumn("level", 20 * F.log10(F.col("mag") + 1e-10)).select("signal_id", "bin", *r("freq", "level", d=5))
 
 
 def flatness_global(spark, d):
@@ -72,7 +74,8 @@ def mfcc(spark, d):
 
 
 def stft(spark, d):
-    return spectral.stft(signals.by_type(spark, d), 256, 64).groupBy("signal_id").agg(F.count("*").alias("frames"))
+    z = spectral.stft(signals.by_type(spark, d), 256, 64)
+    return z.select("signal_id", "frame", F.posexplode("values").alias("bin", "mag")).select("signal_id", "frame", F.col("bin").cast("bigint").alias("bin"), *r("mag"))
 
 
 def asked(spark, d):
@@ -115,22 +118,17 @@ def type_pairs(spark):
 
 
 def contrast_report(spark, d):
-    z = discovery.contrast(layer(spark, d), type_pairs(spark), ("energy", "complexity"))
+    z = discovery.contrast(layer(spark, d), type_pairs(spark))
     return z.select("a_id", "b_id", "trend", *r("mean_a", "mean_b", "ratio", "overlap", "confidence"), "kind")
 
 
 def trend_similarity(spark, d):
-    z = trends.trend_similarity(layer(spark, d), type_pairs(spark), with_peaks=False)
-    return z.select("a_id", "b_id", "trend", *r("pearson", "spearman", "derivative", "distribution", "score", d=5))
-
-
-def trend_similarity_peaks(spark, d):
     z = trends.trend_similarity(layer(spark, d), type_pairs(spark))
-    return z.select("a_id", "b_id", "trend", *r("overlap", "score", d=5))
+    return z.select("a_id", "b_id", "trend", *r("pearson", "spearman", "derivative", "distribution", "overlap", "score", d=5))
 
 
 def dynamics_similarity(spark, d):
-    s = trends.trend_similarity(layer(spark, d), type_pairs(spark), with_peaks=False)
+    s = trends.trend_similarity(layer(spark, d), type_pairs(spark))
     return trends.global_similarity(s).select("a_id", "b_id", *r("similarity", "coherence", d=4), "dominant")
 
 
@@ -139,20 +137,21 @@ def volatility_similarity(spark, d):
     return volatility.volatility_global(volatility.volatility_similarity(v, type_pairs(spark))).select("a_id", "b_id", *r("similarity", "coherence", d=4), "dominant")
 
 
-def vec(spark, d, labels=("0", "1")):
-    return signals.vectors(spark, d).filter(F.col("signal_id").isin(*labels))
+def vec(spark, d):
+    return signals.vectors(spark, d)
 
 
 def vec_pair(spark):
-    return trends.pairs(spark, [("0", "1")])
+    """Every label beside the next one."""
+    return trends.pairs(spark, [(str(k), str((k + 1) % 10)) for k in range(10)])
 
 
 def similarity_matrix(spark, d):
-    return similarity.similarity_matrix(vec(spark, d), vec_pair(spark)).select("a_w", "b_w", *r("sim"))
+    return similarity.similarity_matrix(vec(spark, d), vec_pair(spark)).select("a_id", "a_w", "b_w", *r("sim"))
 
 
 def best_match(spark, d):
-    return similarity.best_matches(similarity.similarity_matrix(vec(spark, d), vec_pair(spark)), 0.05).select("a_w", "b_w", *r("sim"))
+    return similarity.best_matches(similarity.similarity_matrix(vec(spark, d), vec_pair(spark)), 0.05).select("a_id", "a_w", "b_w", *r("sim"))
 
 
 def weights(rows):
@@ -167,26 +166,25 @@ def entropy_weighted_match(spark, d):
 
 
 def distribution_distance(spark, d):
-    return similarity.distribution_distance(vec(spark, d), vec_pair(spark)).select("dim", *r("distance"))
+    return similarity.distribution_distance(vec(spark, d), vec_pair(spark)).select("a_id", "dim", *r("distance"))
 
 
 def js_distance(spark, d):
-    return similarity.distribution_distance(vec(spark, d), vec_pair(spark), "js").select("dim", *r("distance"))
+    return similarity.distribution_distance(vec(spark, d), vec_pair(spark), "js").select("a_id", "dim", *r("distance"))
 
 
 def whitened_similarity(spark, d):
-    return similarity.whitened(vec(spark, d), vec_pair(spark)).select("a_w", "b_w", *r("sim"))
+    return similarity.whitened(vec(spark, d), vec_pair(spark)).select("a_id", "a_w", "b_w", *r("sim"))
 
 
 def numbered(spark, d):
-    """Feature rows of label 0, numbered in order of vec_id."""
-    z = vec(spark, d, ("0",))
+    """Feature rows of each label, numbered in order of vec_id."""
     w = Window.partitionBy("signal_id").orderBy("w")
-    return z.withColumn("w", F.row_number().over(w).cast("bigint") - 1)
+    return vec(spark, d).withColumn("w", F.row_number().over(w).cast("bigint") - 1)
 
 
 def self_similarity_lags(spark, d):
-    return similarity.self_similarity(numbered(spark, d), 5).select("lag", "w", *r("sim"))
+    return similarity.self_similarity(numbered(spark, d), 5).select("signal_id", "lag", "w", *r("sim"))
 
 
 def novelty_curve(spark, d):
@@ -209,16 +207,16 @@ def annotated_matches(spark, d):
 
 
 def motif_profile(spark, d):
-    return unsupervised.motif_profile(numbered(spark, d).withColumn("x", F.slice("x", 1, 4)), 3).select("j", *r("distance", d=5))
+    return unsupervised.motif_profile(numbered(spark, d), 3).select("signal_id", "j", *r("distance", d=5))
 
 
 def motif_report(spark, d):
-    found, _ = unsupervised.motifs(unsupervised.motif_profile(numbered(spark, d).withColumn("x", F.slice("x", 1, 4)), 3), 0.75, 0.25)
+    found, _ = unsupervised.motifs(unsupervised.motif_profile(numbered(spark, d), 3), 0.75, 0.25)
     return found.select("signal_id", "pattern_index", "occurrences", *r("significance", d=5))
 
 
 def discord_report(spark, d):
-    return unsupervised.motifs(unsupervised.motif_profile(numbered(spark, d).withColumn("x", F.slice("x", 1, 4)), 3), 0.75, 0.25)[1].select("signal_id", "j", *r("distance", d=5))
+    return unsupervised.motifs(unsupervised.motif_profile(numbered(spark, d), 3), 0.75, 0.25)[1].select("signal_id", "j", *r("distance", d=5))
 
 
 def change_score(spark, d):
@@ -347,12 +345,9 @@ def lag_profile(spark, d):
 
 
 def scores(spark, d):
-    """Error of two simple forecasts of each band of user signals: values over and under the user's mean."""
-    s = X.with_stats(signals.by_user(spark, d), _m=F.avg("y"))
-    band = F.when(F.col("y") >= 2 * F.col("_m"), "high").when(F.col("y") >= F.col("_m"), "mid").otherwise("low")
-    z = s.select("signal_id", band.alias("band"), F.abs(F.col("y") - F.col("_m")).alias("e"))
-    z = z.groupBy("signal_id", "band").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("a"), F.avg("e").alias("b"))
-    return z.unpivot(["signal_id", "band"], ["a", "b"], "model", "rmse")
+    """Errors of two forecasts of each band's level."""
+    z = forecast.band_series(spectral.mel_bands(spectral.mel_levels(spec(spark, d), 9, 33, 16000.0), 9))
+    return forecast.metrics(forecast.forecasts(z, ["signal_id", "band"], "w", "x", 5, ("naive", "mean")), ["signal_id", "band", "model"])
 
 
 def band_error_summary(spark, d):
@@ -409,8 +404,6 @@ EMD = (
     "hc AS (SELECT {key}, lo, hi, nb, sum(ca) OVER o / sum(ca) OVER q - sum(cb) OVER o / nullif(sum(cb) OVER q, 0) AS gap, sum(cb) OVER q AS inb FROM hz WINDOW o AS (PARTITION BY {key} ORDER BY bin), q AS (PARTITION BY {key})), "
     "emd AS (SELECT {key}, CASE WHEN max(inb) > 0 THEN sum(abs(gap)) * max((hi - lo) / nb) END AS emd FROM hc GROUP BY {key})"
 )
-LONG = "lg AS (SELECT signal_id, w, 'energy' AS trend, energy AS x FROM e UNION ALL SELECT signal_id, w, 'complexity', complexity FROM e)"
-LONG4 = "lg AS (SELECT signal_id, w, 'energy' AS trend, energy AS x FROM e UNION ALL SELECT signal_id, w, 'brightness', brightness FROM e UNION ALL SELECT signal_id, w, 'complexity', complexity FROM e UNION ALL SELECT signal_id, w, 'rhythm', rhythm FROM e)"
 PR = "pr(a_id, b_id) AS (VALUES ('click', 'purchase'), ('click', 'view'), ('purchase', 'view'))"
 KEY3 = "a_id, b_id, trend"
 SIMILAR = (
@@ -424,7 +417,12 @@ SIMILAR = (
     f"xa AS (SELECT {KEY3}, a AS x, least(30, greatest(10, t // 5)) AS bn FROM al), xb AS (SELECT {KEY3}, b AS x FROM al), {EMD.format(key=KEY3, bins='bn')}, "
     f"sc AS (SELECT {KEY3}, pearson, spearman, derivative, exp(-2 * emd) AS distribution FROM cr LEFT JOIN emd USING ({KEY3}))"
 )
-SCORED = f"ss AS (SELECT *, least(1, greatest(0, 0.15 * pearson + 0.15 * spearman + 0.35 * derivative + 0.10 * coalesce(distribution, 0)))::DOUBLE AS score FROM sc)"
+SIDES = f"sd2 AS (SELECT {KEY3}, side, t, k, (v - min(v) OVER q) / (max(v) OVER q - min(v) OVER q + 1e-12) AS v FROM (SELECT {KEY3}, 'a' AS side, t, k, a AS v FROM al UNION ALL SELECT {KEY3}, 'b', t, k, b FROM al) WINDOW q AS (PARTITION BY {KEY3}, side))"
+OVERLAP = (
+    f"{SIDES}, {peaks_sql('pk', 'sd2', KEY3 + ', side', 'k', 'v', height='0.6', distance='greatest(1, n // 20)')}, "
+    f"ov AS (SELECT {KEY3}, count(*) FILTER (WHERE m = 2) / count(*) AS overlap FROM (SELECT {KEY3}, p, count(*) AS m FROM pk GROUP BY ALL) GROUP BY ALL)"
+)
+SCORED = f"{OVERLAP}, ss AS (SELECT {KEY3}, pearson, spearman, derivative, distribution, coalesce(overlap, 1.0) AS overlap, least(1, greatest(0, 0.15 * pearson + 0.15 * spearman + 0.35 * derivative + 0.25 * coalesce(overlap, 1) + 0.10 * coalesce(distribution, 0)))::DOUBLE AS score FROM sc LEFT JOIN ov USING ({KEY3}))"
 GLOBAL = "sum(score * CASE trend WHEN 'energy' THEN {0} WHEN 'brightness' THEN {1} WHEN 'complexity' THEN {2} ELSE {3} END)"
 VSCORED = "ss AS (SELECT *, least(1, greatest(0, 0.30 * pearson + 0.35 * derivative + 0.20 * coalesce(distribution, 0) + 0.15))::DOUBLE AS score FROM sc)"
 
@@ -439,9 +437,35 @@ VOLATILE = (
 )
 VEC = "v AS (SELECT label::VARCHAR AS signal_id, vec_id AS w, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 DOT = "list_inner_product({a}, {b})"
-UNIT = f"{VEC}, un AS (SELECT signal_id, w, list_transform(x, lambda q: q / (sqrt(list_inner_product(x, x)) + 1e-12)) AS u FROM v WHERE signal_id IN ('0', '1')), sm AS (SELECT a.signal_id AS a_id, b.signal_id AS b_id, a.w AS a_w, b.w AS b_w, exp(-3 * (1 - list_inner_product(a.u, b.u)) ** 2) AS sim FROM un a, un b WHERE a.signal_id = '0' AND b.signal_id = '1')"
-NUM = f"{VEC}, nv AS (SELECT row_number() OVER (ORDER BY w) - 1 AS w, x FROM v WHERE signal_id = '0')"
-DIMS = f"{VEC}, dm AS (SELECT signal_id, d, x[d + 1] AS v FROM (SELECT *, unnest(range(len(x))) AS d FROM v WHERE signal_id IN ('0', '1'))), st AS (SELECT d, avg(v) FILTER (WHERE signal_id = '0') AS ma, avg(v) FILTER (WHERE signal_id = '1') AS mb, stddev_pop(v) FILTER (WHERE signal_id = '0') AS da, stddev_pop(v) FILTER (WHERE signal_id = '1') AS db, count(*) FILTER (WHERE signal_id = '0') AS na, count(*) FILTER (WHERE signal_id = '1') AS nb FROM dm GROUP BY 1)"
+VPAIRS = "vp AS (SELECT range::VARCHAR AS a_id, ((range + 1) % 10)::VARCHAR AS b_id FROM range(10))"
+UNIT = f"{VEC}, {VPAIRS}, un AS (SELECT signal_id, w, list_transform(x, lambda q: q / (sqrt(list_inner_product(x, x)) + 1e-12)) AS u FROM v), sm AS (SELECT a_id, b_id, a.w AS a_w, b.w AS b_w, exp(-3 * (1 - list_inner_product(a.u, b.u)) ** 2) AS sim FROM vp JOIN un a ON a.signal_id = a_id JOIN un b ON b.signal_id = b_id)"
+NUM = f"{VEC}, nv AS (SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY w) - 1 AS w, x FROM v)"
+DIMS = (
+    f"{VEC}, {VPAIRS}, dm AS (SELECT signal_id, d, x[d + 1] AS v FROM (SELECT *, unnest(range(len(x))) AS d FROM v)), ds AS (SELECT signal_id, d, avg(v) AS m, stddev_pop(v) AS sd, stddev_samp(v) AS ss, count(*) AS n, min(v) AS lo, max(v) AS hi FROM dm GROUP BY 1, 2), "
+    "st AS (SELECT a_id, b_id, d, a.m AS ma, b.m AS mb, a.sd AS da, b.sd AS db, a.n AS na, b.n AS nb, a.ss AS sa, b.ss AS sb, least(a.lo, b.lo) AS lo, greatest(a.hi, b.hi) AS hi FROM vp JOIN ds a ON a.signal_id = a_id JOIN ds b USING (d) WHERE b.signal_id = b_id)"
+)
+JS = (
+    "gr AS (SELECT a_id, b_id, d, g, lo + g * (hi - lo) / 199 AS gx, greatest(sa, 1e-9) * na ** -0.2 AS ha, greatest(sb, 1e-9) * nb ** -0.2 AS hb FROM st, range(200) AS q(g)), "
+    "pa AS (SELECT a_id, d, g, sum(exp(-0.5 * ((gx - v) / ha) ** 2)) + 1e-12 AS p FROM gr JOIN dm USING (d) WHERE signal_id = a_id GROUP BY 1, 2, 3), pb AS (SELECT a_id, d, g, sum(exp(-0.5 * ((gx - v) / hb) ** 2)) + 1e-12 AS q FROM gr JOIN dm USING (d) WHERE signal_id = b_id GROUP BY 1, 2, 3), "
+    "pq AS (SELECT a_id, d, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM pa JOIN pb USING (a_id, d, g) WINDOW w AS (PARTITION BY a_id, d)), js AS (SELECT a_id, d, sum(0.5 * p * ln(2 * p / (p + q)) + 0.5 * q * ln(2 * q / (p + q))) AS js FROM pq GROUP BY 1, 2)"
+)
+SUBS = (
+    f"{NUM}, sb AS (SELECT a.signal_id, a.w AS j, list_concat(list_concat(a.x, b.x), c.x) AS s FROM nv a JOIN nv b ON b.signal_id = a.signal_id AND b.w = a.w + 1 JOIN nv c ON c.signal_id = a.signal_id AND c.w = a.w + 2), "
+    "zz AS (SELECT signal_id, j, list_transform(s, lambda q: (q - list_avg(s)) / (list_stddev_pop(s) + 1e-12)) AS z FROM sb), pr AS (SELECT a.signal_id, a.j, b.j AS k, 1 - list_inner_product(a.z, b.z) AS d FROM zz a JOIN zz b ON a.signal_id = b.signal_id AND a.j <> b.j), "
+    "mp AS (SELECT signal_id, j, min(d) AS distance, arg_min(k, d) AS nearest FROM pr GROUP BY 1, 2), mq AS (SELECT mp.*, quantile_cont(distance, 0.15) OVER (PARTITION BY signal_id) AS lo, quantile_cont(distance, 0.9) OVER (PARTITION BY signal_id) AS hi FROM mp)"
+)
+NOVELTY = (
+    "nn AS (SELECT signal_id, count(*) AS n, greatest(3, count(*) // 20) AS k FROM nv GROUP BY 1), nu AS (SELECT signal_id, w, n, k, list_transform(x, lambda q: q / (sqrt(list_inner_product(x, x)) + 1e-12)) AS u FROM nv JOIN nn USING (signal_id)), "
+    "nc AS (SELECT c.signal_id, c.w, sum(list_inner_product(a.u, b.u) * (CASE WHEN a.w - c.w + c.k < c.k / 2 THEN 1 ELSE -1 END) * (CASE WHEN b.w - c.w < c.k / 2 THEN 1 ELSE -1 END)) AS s FROM nu c JOIN nu a ON a.signal_id = c.signal_id AND a.w BETWEEN c.w - c.k AND c.w - 1 JOIN nu b ON b.signal_id = c.signal_id AND b.w BETWEEN c.w AND c.w + c.k - 1 WHERE c.w >= c.k AND c.w < c.n - c.k GROUP BY 1, 2), "
+    "nz AS (SELECT nv.signal_id, nv.w, greatest(0, coalesce(s, 0)) AS o FROM nv LEFT JOIN nc USING (signal_id, w))"
+)
+CHANGE = (
+    "nm AS (SELECT signal_id, w, (energy - avg(energy) OVER q) / (stddev_pop(energy) OVER q + 1e-12) AS a, (complexity - avg(complexity) OVER q) / (stddev_pop(complexity) OVER q + 1e-12) AS b, count(*) OVER q AS n FROM e WINDOW q AS (PARTITION BY signal_id)), "
+    "mv AS (SELECT signal_id, w, n, (avg(a) OVER l - avg(a) OVER r) ** 2 + (avg(b) OVER l - avg(b) OVER r) ** 2 AS dd, var_pop(a) OVER l + var_pop(a) OVER r + var_pop(b) OVER l + var_pop(b) OVER r AS vv FROM nm WINDOW l AS (PARTITION BY signal_id ORDER BY w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY signal_id ORDER BY w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)), "
+    "rw AS (SELECT signal_id, w, CASE WHEN w >= 3 AND w < n - 3 THEN dd / (vv + 1e-12) ELSE 0 END AS raw FROM mv), cs AS (SELECT signal_id, w, raw / (max(raw) OVER (PARTITION BY signal_id) + 1e-12) AS score FROM rw), "
+    f"{peaks_sql('pk', 'cs', 'signal_id', 'w', 'score', height='0.15', distance='4')}, "
+    "br AS (SELECT signal_id, greatest(0.15, quantile_cont(score, 0.7)) AS bar FROM cs GROUP BY 1), cp AS (SELECT * FROM (SELECT signal_id, p AS w, v AS score, row_number() OVER (PARTITION BY signal_id ORDER BY v DESC, p) AS k FROM pk JOIN br USING (signal_id) WHERE v >= bar) WHERE k <= 8)"
+)
 RQA = (
     "em AS (SELECT signal_id, i, y AS a, lead(y, 2) OVER p AS b, lead(y, 4) OVER p AS c FROM s WINDOW p AS (PARTITION BY signal_id ORDER BY i)), ee AS (SELECT * FROM em WHERE c IS NOT NULL), nq AS (SELECT signal_id, count(*) AS n FROM ee GROUP BY 1), "
     "dd AS (SELECT x.signal_id, x.i, y.i AS j, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2) AS d FROM ee x JOIN ee y ON x.signal_id = y.signal_id AND x.i <> y.i), fr AS (SELECT signal_id, max(d) AS far FROM dd GROUP BY 1), "
@@ -452,8 +476,9 @@ RQA = (
     "rz AS (SELECT nq.signal_id, coalesce(r, 0) / (n * n) AS recurrence_rate, coalesce(pd, 0) / greatest(coalesce(r, 0), 1) AS determinism, coalesce(pv, 0) / greatest(coalesce(r, 0), 1) AS laminarity, CASE WHEN ld > 0 THEN pd / ld ELSE 1.0 END AS mean_diag_length, CASE WHEN lv > 0 THEN pv / lv ELSE 1.0 END AS trapping_time, coalesce(en, 0) AS entropy_diag "
     "FROM nq LEFT JOIN rt USING (signal_id) LEFT JOIN da USING (signal_id) LEFT JOIN va USING (signal_id))"
 )
-SCORES = f"{B}, bs AS (SELECT s.signal_id, CASE WHEN y >= 2 * m THEN 'high' WHEN y >= m THEN 'mid' ELSE 'low' END AS band, abs(y - m) AS e FROM s JOIN (SELECT signal_id, avg(y) AS m FROM s GROUP BY 1) USING (signal_id)), be AS (SELECT signal_id, band, sqrt(avg(e * e)) AS a, avg(e) AS b FROM bs GROUP BY 1, 2), bz AS (SELECT signal_id, band, (a + b) / 2 AS avg_rmse, least(a, b) AS min_rmse, CASE WHEN a <= b THEN 'a' ELSE 'b' END AS best_model FROM be)"
 MEL = "hz AS (SELECT m, 700 * (10 ** (m * 2595 * log10(1 + 8000 / 700.0) / 10 / 2595) - 1) AS hz FROM (SELECT range AS m FROM range(11))), fb AS (SELECT a.m AS mel, bin, greatest(0, least((bin * 250.0 - a.hz) / (b.hz - a.hz + 1e-8), (c.hz - bin * 250.0) / (c.hz - b.hz + 1e-8))) AS wt FROM hz a JOIN hz b ON b.m = a.m + 1 JOIN hz c ON c.m = a.m + 2, (SELECT range AS bin FROM range(33))), ml AS (SELECT signal_id, w, mel, sum(wt * bins.m) AS level FROM bins JOIN fb ON fb.bin = bins.b WHERE wt > 0 GROUP BY 1, 2, 3)"
+BANDS = f"{SPEC}, {MEL}, bl AS (SELECT signal_id, w, CASE WHEN mel < 3 THEN 'low' WHEN mel < 6 THEN 'mid' ELSE 'high' END AS band, avg(level) AS x FROM ml GROUP BY 1, 2, 3)"
+SCORES = f"{BANDS}, {simple_errors('be', 'bl', 'signal_id, band', 5)}, bz AS (SELECT signal_id, band, avg(rmse) AS avg_rmse, min(rmse) AS min_rmse, arg_min(model, rmse) AS best_model FROM be GROUP BY 1, 2)"
 
 ORACLES = {
     "spectral_centroid": f"WITH {SPEC}, {FULL} SELECT signal_id, w, round(sum(fr * m) / max(t), 6) AS centroid FROM z GROUP BY 1, 2",
@@ -470,26 +495,41 @@ ORACLES = {
     "spearman_pairs": f"WITH {PAIRED}, k AS (SELECT a_id, b_id, rank() OVER (PARTITION BY a_id, b_id ORDER BY a) + (count(*) OVER (PARTITION BY a_id, b_id, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY a_id, b_id ORDER BY b) + (count(*) OVER (PARTITION BY a_id, b_id, b) - 1) / 2.0 AS rb FROM pd) SELECT a_id, b_id, round({CORR.format(a='ra', b='rb')}, 6) AS spearman FROM k GROUP BY 1, 2",
     "derivative_corr": f"WITH {PAIRED}, k AS (SELECT a_id, b_id, {GRAD.format(x='a')} AS da, {GRAD.format(x='b')} AS db FROM pd WINDOW p AS (PARTITION BY a_id, b_id ORDER BY i)) SELECT a_id, b_id, round({CORR.format(a='da', b='db')}, 6) AS derivative FROM k GROUP BY 1, 2",
     "distribution_emd": f"WITH {ASKED}, xa AS (SELECT a_id, b_id, y AS x FROM pr JOIN s ON signal_id = a_id), xb AS (SELECT a_id, b_id, y AS x FROM pr JOIN s ON signal_id = b_id), {EMD.format(key='a_id, b_id', bins='30')} SELECT a_id, b_id, round(emd, 6) AS emd, round(exp(-2 * emd), 6) AS similarity FROM emd",
-    "contrast_report": f"WITH {LAYER}, {LONG}, {PR}, ya AS (SELECT a_id, b_id, trend, x FROM pr JOIN lg ON signal_id = a_id), yb AS (SELECT a_id, b_id, trend, x FROM pr JOIN lg ON signal_id = b_id), "
+    "contrast_report": f"WITH {LAYER}, {LONG4}, {PR}, ya AS (SELECT a_id, b_id, trend, x FROM pr JOIN lg ON signal_id = a_id), yb AS (SELECT a_id, b_id, trend, x FROM pr JOIN lg ON signal_id = b_id), "
     f"sa AS (SELECT {KEY3}, avg(x) AS mean_a, var_pop(x) AS va, count(*) AS na FROM ya GROUP BY ALL), sb AS (SELECT {KEY3}, avg(x) AS mean_b, var_pop(x) AS vb, count(*) AS nb2 FROM yb GROUP BY ALL), st AS (SELECT * FROM sa JOIN sb USING ({KEY3})), "
     f"xa AS (SELECT {KEY3}, x, greatest(10, least(30, floor(sqrt(least(na, nb2)))::BIGINT)) AS bn FROM ya JOIN st USING ({KEY3})), xb AS (SELECT * FROM yb), {EMD.format(key=KEY3, bins='bn')}, "
     f"cc AS (SELECT {KEY3}, mean_a, mean_b, abs(mean_a - mean_b) / (sqrt(va + vb) + 1e-12) AS ratio, exp(-2 * emd) AS overlap FROM st LEFT JOIN emd USING ({KEY3})) "
     f"SELECT {KEY3}, {sr_('mean_a', 'mean_b', 'ratio', 'overlap')}, round(CASE WHEN ratio > 1 THEN least(1, ratio / 3) ELSE 1 - least(1, ratio / 2) END, 6) AS confidence, CASE WHEN ratio > 1 THEN 'contrast' ELSE 'similar' END AS kind FROM cc",
-    "trend_similarity": f"WITH {LAYER}, {LONG4}, {PR}, {SIMILAR}, {SCORED} SELECT {KEY3}, {sr_('pearson', 'spearman', 'derivative', 'distribution', 'score', d=5)} FROM ss",
-    "dynamics_similarity": f"WITH {LAYER}, {LONG4}, {PR}, {SIMILAR}, {SCORED} {_global((0.35, 0.25, 0.15, 0.25))}",
+    "trend_similarity": f"WITH RECURSIVE {LAYER}, {LONG4}, {PR}, {SIMILAR}, {SCORED} SELECT {KEY3}, {sr_('pearson', 'spearman', 'derivative', 'distribution', 'overlap', 'score', d=5)} FROM ss",
+    "dynamics_similarity": f"WITH RECURSIVE {LAYER}, {LONG4}, {PR}, {SIMILAR}, {SCORED} {_global((0.35, 0.25, 0.15, 0.25))}",
     "volatility_similarity": f"WITH {LAYER}, {LONG4.replace('lg AS', 'l0 AS', 1)}, {VOLATILE}, {PR}, {SIMILAR}, {VSCORED} {_global((0.35, 0.20, 0.15, 0.30))}",
-    "similarity_matrix": f"WITH {UNIT} SELECT a_w, b_w, {sr_('sim')} FROM sm",
-    "best_match": f"WITH {UNIT}, t AS (SELECT *, row_number() OVER (PARTITION BY a_w ORDER BY sim DESC, b_w) AS k FROM sm) SELECT a_w, b_w, {sr_('sim')} FROM t WHERE k = 1 AND sim > 0.05",
-    "entropy_weighted_match": f"WITH {UNIT}, {DIMS.replace(VEC + ', ', '')}, we AS (SELECT w, list_sum(list_transform(x, lambda q: abs(q))) AS e FROM v), "
-    "ba AS (SELECT a_w, max(sim) AS best FROM sm GROUP BY 1), bb AS (SELECT b_w, max(sim) AS best FROM sm GROUP BY 1), "
-    "ia AS (SELECT avg(best) AS m, sum(e * best) / (sum(e) + 1e-12) AS x FROM ba JOIN we ON w = a_w), ib AS (SELECT avg(best) AS m, sum(e * best) / (sum(e) + 1e-12) AS x FROM bb JOIN we ON w = b_w), "
-    "ds AS (SELECT median(CASE WHEN da < 1e-12 AND db < 1e-12 THEN 0 ELSE abs(ma - mb) / (da + db + 1e-10) END) AS dist FROM st), "
-    "q AS (SELECT (ia.m + ib.m) / 2 AS simple, (ia.x + ib.x) / 2 AS weighted, exp(-3 * dist) AS distribution FROM ia, ib, ds) "
-    f"SELECT '0' AS a_id, '1' AS b_id, {sr_('simple', 'weighted', 'distribution')}, round(least(1, greatest(0, 0.60 * simple + 0.25 * weighted + 0.15 * distribution)) * 100, 6) AS similarity FROM q",
-    "distribution_distance": f"WITH {DIMS}, xa AS (SELECT d, v AS x, greatest(10, least(50, floor(sqrt(least(na, nb)))::BIGINT)) AS bn FROM dm JOIN st USING (d) WHERE signal_id = '0'), xb AS (SELECT d, v AS x FROM dm WHERE signal_id = '1'), {EMD.format(key='d', bins='bn')} SELECT d AS dim, round(CASE WHEN da < 1e-12 AND db < 1e-12 THEN 0 ELSE emd END, 6) AS distance FROM st LEFT JOIN emd USING (d)",
-    "self_similarity_lags": f"WITH {NUM} SELECT b.w - a.w AS lag, a.w, round(list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))), 6) AS sim FROM nv a JOIN nv b ON b.w - a.w BETWEEN 1 AND 5",
-    "motif_profile": f"WITH {NUM}, f4 AS (SELECT w, list_slice(x, 1, 4) AS x FROM nv), sb AS (SELECT a.w AS j, list_concat(list_concat(a.x, b.x), c.x) AS s FROM f4 a JOIN f4 b ON b.w = a.w + 1 JOIN f4 c ON c.w = a.w + 2), "
-    "zz AS (SELECT j, list_transform(s, lambda q: (q - list_avg(s)) / (list_stddev_pop(s) + 1e-12)) AS z FROM sb) SELECT a.j, round(min(1 - list_inner_product(a.z, b.z)), 5) + 0.0::DOUBLE AS distance FROM zz a JOIN zz b ON a.j <> b.j GROUP BY 1",
+    "similarity_matrix": f"WITH {UNIT} SELECT a_id, a_w, b_w, {sr_('sim')} FROM sm",
+    "best_match": f"WITH {UNIT}, t AS (SELECT *, row_number() OVER (PARTITION BY a_w ORDER BY sim DESC, b_w) AS k FROM sm) SELECT a_id, a_w, b_w, {sr_('sim')} FROM t WHERE k = 1 AND sim > 0.05",
+    "entropy_weighted_match": f"WITH {UNIT}, {DIMS.replace(VEC + ', ' + VPAIRS + ', ', '')}, we AS (SELECT w, list_sum(list_transform(x, lambda q: abs(q))) AS e FROM v), "
+    "ba AS (SELECT a_id, b_id, a_w, max(sim) AS best FROM sm GROUP BY 1, 2, 3), bb AS (SELECT a_id, b_id, b_w, max(sim) AS best FROM sm GROUP BY 1, 2, 3), "
+    "ia AS (SELECT a_id, b_id, avg(best) AS m, sum(e * best) / (sum(e) + 1e-12) AS x FROM ba JOIN we ON w = a_w GROUP BY 1, 2), ib AS (SELECT a_id, b_id, avg(best) AS m, sum(e * best) / (sum(e) + 1e-12) AS x FROM bb JOIN we ON w = b_w GROUP BY 1, 2), "
+    "dq AS (SELECT a_id, b_id, median(CASE WHEN da < 1e-12 AND db < 1e-12 THEN 0 ELSE abs(ma - mb) / (da + db + 1e-10) END) AS dist FROM st GROUP BY 1, 2), "
+    "q AS (SELECT a_id, b_id, (ia.m + ib.m) / 2 AS simple, (ia.x + ib.x) / 2 AS weighted, exp(-3 * dist) AS distribution FROM ia JOIN ib USING (a_id, b_id) JOIN dq USING (a_id, b_id)) "
+    f"SELECT a_id, b_id, {sr_('simple', 'weighted', 'distribution')}, round(least(1, greatest(0, 0.60 * simple + 0.25 * weighted + 0.15 * distribution)) * 100, 6) AS similarity FROM q",
+    "distribution_distance": f"WITH {DIMS}, xa AS (SELECT a_id, d, v AS x, greatest(10, least(50, floor(sqrt(least(na, nb)))::BIGINT)) AS bn FROM dm JOIN st USING (d) WHERE signal_id = a_id), xb AS (SELECT a_id, d, v AS x FROM dm JOIN st USING (d) WHERE signal_id = b_id), {EMD.format(key='a_id, d', bins='bn')} SELECT a_id, d AS dim, round(CASE WHEN da < 1e-12 AND db < 1e-12 THEN 0 ELSE emd END, 6) AS distance FROM st LEFT JOIN emd USING (a_id, d)",
+    "js_distance": f"WITH {DIMS}, {JS} SELECT a_id, d AS dim, round(CASE WHEN da < 1e-12 AND db < 1e-12 THEN 0 ELSE js END, 6) + 0.0::DOUBLE AS distance FROM js JOIN st USING (a_id, d)",
+    "self_similarity_lags": f"WITH {NUM} SELECT a.signal_id, b.w - a.w AS lag, a.w, round(list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))), 6) AS sim FROM nv a JOIN nv b ON a.signal_id = b.signal_id AND b.w - a.w BETWEEN 1 AND 5",
+    "novelty_curve": f"WITH {NUM}, {NOVELTY} SELECT signal_id, w, round(o / (max(o) OVER (PARTITION BY signal_id) + 1e-12), 6) AS novelty FROM nz",
+    "motif_profile": f"WITH {SUBS} SELECT signal_id, j, round(distance, 5) + 0.0::DOUBLE AS distance FROM mp",
+    "motif_report": f"WITH {SUBS} SELECT signal_id, pattern_index, list_sort([j * 0.25::DOUBLE, nearest * 0.25::DOUBLE]) AS occurrences, round(1 - distance, 5) + 0.0::DOUBLE AS significance FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY distance, j) AS pattern_index FROM mq WHERE distance < lo) WHERE pattern_index <= 5",
+    "discord_report": f"WITH {SUBS} SELECT signal_id, j, round(distance, 5) + 0.0::DOUBLE AS distance FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY j) AS k FROM mq WHERE distance > hi) WHERE k <= 3",
+    "change_points": f"WITH RECURSIVE {LAYER}, {CHANGE} SELECT signal_id, w, round(score, 4) AS score FROM cp",
+    "spectrum": f"WITH {B}, n AS (SELECT signal_id, count(*) AS n FROM s GROUP BY 1) SELECT s.signal_id, k AS bin, round(k / any_value(n), 5) AS freq, round(20 * log10(sqrt(sum(y * cos(2 * pi() * k * i / n)) ** 2 + sum(y * sin(2 * pi() * k * i / n)) ** 2) / any_value(n) + 1e-10), 5) + 0.0::DOUBLE AS level FROM s JOIN n USING (signal_id) JOIN range((SELECT max(n) FROM n)) AS q(k) ON k < n // 2 GROUP BY 1, 2",
+    "flatness_global": f"WITH {B}, n AS (SELECT signal_id, count(*) AS n FROM s GROUP BY 1), m AS (SELECT s.signal_id, k, sqrt(sum(y * cos(2 * pi() * k * i / n)) ** 2 + sum(y * sin(2 * pi() * k * i / n)) ** 2) / any_value(n) AS m FROM s JOIN n USING (signal_id) JOIN range((SELECT max(n) FROM n)) AS q(k) ON k < n // 2 GROUP BY 1, 2) "
+    "SELECT signal_id, round(CASE WHEN max(m) < 1e-10 THEN 1 ELSE exp(avg(ln(m + 1e-10))) / (avg(m) + 1e-10) END, 6) AS flatness FROM m GROUP BY 1",
+    "stft": f"WITH {A}, n AS (SELECT signal_id, count(*) AS n FROM s GROUP BY 1), f AS (SELECT signal_id, range AS frame FROM n, range((SELECT max(n) // 64 + 2 FROM n)) WHERE range * 64 <= n + (64 - n % 64) % 64), "
+    "h AS (SELECT range AS k, 0.5 - 0.5 * cos(2 * pi() * range / 256) AS h FROM range(256)), p AS (SELECT f.signal_id, frame, k, h * y AS y FROM f, h JOIN s ON s.i = frame * 64 + k - 128 WHERE s.signal_id = f.signal_id) "
+    "SELECT signal_id, frame, b AS bin, round(sqrt(sum(y * cos(2 * pi() * b * k / 256)) ** 2 + sum(y * sin(2 * pi() * b * k / 256)) ** 2) / 128, 6) + 0.0::DOUBLE AS mag FROM p, range(129) AS q(b) GROUP BY 1, 2, 3",
+    "standout_trends": f"WITH {LAYER}, {LONG4}, z AS (SELECT signal_id, trend, (max(x) - min(x)) / (max(x) + 1e-12) AS range_pct FROM lg GROUP BY 1, 2) SELECT signal_id, rank, trend, round(range_pct, 6) AS range_pct FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY range_pct DESC, trend) AS rank FROM z) WHERE rank <= 3",
+    "characters": f"WITH RECURSIVE {LAYER}, {peaks_sql('pk', 'e', 'signal_id', 'w', 'rhythm', distance='3', prominence='0.15 * sd')}, bt AS (SELECT signal_id, count(*) AS beats FROM pk GROUP BY 1), "
+    "z AS (SELECT signal_id, avg(rhythm) AS r, avg(brightness) AS b, avg(complexity) AS c, (max(w) - min(w)) * 32.0 AS t, stddev_pop(energy) AS sd, regr_slope(energy, w::DOUBLE) AS sl, count(*) AS n FROM e GROUP BY 1), y AS (SELECT *, coalesce(beats, 0) / greatest(t, 0.1) * 60 AS bpm, greatest(0, least(1, c / 15)) AS fl FROM z LEFT JOIN bt USING (signal_id)) "
+    "SELECT signal_id, CASE WHEN r > 0.03 THEN 'dense' WHEN r > 0.015 THEN 'medium' ELSE 'sparse' END AS rhythm, round(bpm, 6) AS bpm, CASE WHEN bpm > 160 THEN 'very fast' WHEN bpm > 100 THEN 'fast' WHEN bpm > 50 THEN 'moderate' ELSE 'slow' END AS pace, CASE WHEN sl > sd * 0.3 / n THEN 'rising' WHEN sl < -sd * 0.3 / n THEN 'falling' ELSE 'flat' END AS energy, "
+    "CASE WHEN b > 3000 THEN 'bright' WHEN b > 1500 THEN 'balanced' ELSE 'dark' END AS timbre, CASE WHEN fl > 0.7 THEN 'noisy' WHEN fl > 0.4 THEN 'mixed' ELSE 'tonal' END AS purity FROM y",
     "change_score": f"WITH {B}, m AS (SELECT signal_id, i, count(*) OVER (PARTITION BY signal_id) AS n, avg(y) OVER l AS ml, avg(y) OVER r AS mr, var_pop(y) OVER l AS vl, var_pop(y) OVER r AS vr FROM s WINDOW l AS (PARTITION BY signal_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY signal_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)), "
     "q AS (SELECT signal_id, i, CASE WHEN i >= 3 AND i < n - 3 THEN (ml - mr) ** 2 / (vl + vr + 1e-12) ELSE 0 END AS raw FROM m) SELECT signal_id, i AS w, round(raw / (max(raw) OVER (PARTITION BY signal_id) + 1e-12), 4) AS score FROM q",
     "recurrence": f"WITH {B}, {RQA} SELECT signal_id, {sr_('recurrence_rate', 'determinism', 'laminarity', 'mean_diag_length', 'trapping_time', 'entropy_diag')}, CASE WHEN determinism > 0.8 THEN 'high' WHEN determinism > 0.5 THEN 'medium' WHEN determinism > 0.2 THEN 'low' ELSE 'random' END || CASE WHEN laminarity > 0.6 THEN '+laminar' ELSE '' END AS level FROM rz",
@@ -508,7 +548,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         spectral_centroid, spectral_entropy, spectral_flatness, spectral_rolloff, spectral_bandwidth, chroma_profile, dominant_frequency, spectrum, flatness_global, mel_energy, mel_bands, mel_spectrogram, mfcc, stft, pearson_pairs, spearman_pairs, derivative_corr,
-        distribution_emd, contrast_report, trend_similarity, trend_similarity_peaks, dynamics_similarity, volatility_similarity, similarity_matrix, best_match, entropy_weighted_match, distribution_distance, js_distance, whitened_similarity, self_similarity_lags, novelty_curve,
+        distribution_emd, contrast_report, trend_similarity, dynamics_similarity, volatility_similarity, similarity_matrix, best_match, entropy_weighted_match, distribution_distance, js_distance, whitened_similarity, self_similarity_lags, novelty_curve,
         window_features, climax_windows, annotated_matches, motif_profile, motif_report, discord_report, change_score, change_points, segment_report, recurrence, mahalanobis_outliers, mahalanobis_scores, kmeans_profile, silhouette, nmf_components, pca_variance, characters,
         self_motifs, corresponding_segments, pair_overview, standout_trends, forecast_naive_metrics, model_forecasts, arima_forecast, hmm_forecast, arima_structure, hmm_states, hmm_state_quality, state_profile, lookback_insights, lag_profile, band_error_summary, band_rank,
         band_forecasts, delay_embedding, experiments_upsert, experiments_delete, history_join, json_results,
