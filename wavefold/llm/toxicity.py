@@ -6,8 +6,8 @@ that fire are listed for every document of the corpus; a label, where a row has
 one, is one more voter. A generative model explains the lists by a hidden label:
 each voter has a rate of its own for either label, estimated by EM over all
 documents, and voters that fire together more often than the label explains are
-correlated, which divides what each adds. Voters that do not fire abstain; that
-none fires is evidence with rates of its own. The model gives posterior labels
+correlated, and where they fire on one text, each adds so much less. Voters that
+do not fire abstain; that none fires is evidence with rates of its own. The model gives posterior labels
 to documents with and without a known one, and a linear classifier on hashed
 words and word beginnings is trained on these posteriors. It scores every whole
 text.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import _store
 from ._spans import keyed
-from ._text import U, buffers, chunks, mix, prefix, runs, words
+from ._text import U, buffers, chunks, expand, mix, prefix, runs, words
 
 #: Labelled rows that voters and classifier are fitted on, at most (the first by hash), and unlabelled ones that the classifier is fitted on, about.
 MAX_LABELLED, UNLABELLED = 12_000, 12_000
@@ -112,17 +112,20 @@ def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 @dataclass
 class LabelModel:
-    """Rates at which each voter fires in either label (rows: 0, 1), and no voter does; the share of label 1; weights that correlations leave; rates at which a known label is 1."""
+    """Rates at which each voter fires in either label (rows: 0, 1), and no voter does; the share of label 1; correlations of voters within a label; rates at which a known label is 1."""
 
     rate: np.ndarray
     silent: np.ndarray
     prior: float
-    weight: np.ndarray
+    related: np.ndarray
     told: np.ndarray
 
     def posterior(self, voters: np.ndarray, row: np.ndarray, rows: int, known: np.ndarray) -> np.ndarray:
-        """Of label 1, for rows whose voters (with the row of each) are given, and known labels (-1: none)."""
-        votes = np.bincount(row, self.weight[voters] * np.log(self.rate[1] / self.rate[0])[voters], rows)
+        """Of label 1, for rows whose voters (with the row of each, in order) are given, and known labels (-1: none)."""
+        count = np.bincount(row, minlength=rows)
+        other, own = expand((np.cumsum(count) - count)[row], count[row])  # all voters of a voter's row
+        less = 1 + np.bincount(own, self.related[voters[own], voters[other]], len(voters))
+        votes = np.bincount(row, np.log(self.rate[1] / self.rate[0])[voters] / less, rows)
         none = np.bincount(row, minlength=rows) == 0
         z = np.log(self.prior / (1 - self.prior)) + np.where(none, np.log(self.silent[1] / self.silent[0]), votes)
         label = [np.log((1 - self.told[1]) / (1 - self.told[0])), np.log(self.told[1] / self.told[0]), 0.0]
@@ -151,11 +154,11 @@ def _expected(batches: Iterator[pa.RecordBatch], model: LabelModel | None, size:
 
 
 def correlations(pair: np.ndarray, n: np.ndarray, rows: tuple[int, int], size: int, least: int = SUPPORT) -> np.ndarray:
-    """What is left of each voter's evidence: 1 / (1 + its correlations, within a label, with other voters), from _together() and the rows of either label."""
+    """Correlations of voters within a label, the larger of both labels', from _together() and the rows of either label; 0 for voters that least rows don't share, and under 0.1."""
     label, a, b = pair // size // size, pair // size % size, pair % size
     own = np.zeros((2, size))
     own[label[a == b], a[a == b]] = n[a == b]
-    excess = np.zeros(size)
+    out = np.zeros((size, size), np.float32)
     for k in range(2):
         if rows[k]:
             rate = own[k] / rows[k]
@@ -163,12 +166,11 @@ def correlations(pair: np.ndarray, n: np.ndarray, rows: tuple[int, int], size: i
             x, y = a[some], b[some]
             spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
             c = np.clip((n[some] / rows[k] - rate[x] * rate[y]) / (spread[x] * spread[y]), 0, 1)
-            excess += rows[k] / sum(rows) * np.bincount(x, np.where(c >= 0.1, c, 0), size)
-    # Nearly all of what voters fire on is in label 1, so its correlations count whole.
-    return 1 / (1 + excess * sum(rows) / max(1, rows[1])) if rows[1] else 1 / (1 + excess)
+            out[x, y] = np.maximum(out[x, y], np.where(c >= 0.1, c, 0))
+    return out
 
 
-def label_model(votes: DataFrame, size: int, weight: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
+def label_model(votes: DataFrame, size: int, related: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
     """EM over votes (voters array<int>, known, n): the driver gets the sums of each voter in each round."""
     model = None
     for _ in range(rounds):
@@ -178,7 +180,7 @@ def label_model(votes: DataFrame, size: int, weight: np.ndarray, rounds: int = R
         none, every, known, ones = sums[:, size:].T
         rate = (sums[:, :size] + np.array([[0.05], [0.5]])) / (every[:, None] + 1)
         told = np.clip((ones + np.array([0.0, 1.0])) / (known + 1), [0.005, 0.9], [0.1, 0.995])
-        model = LabelModel(rate, (none + 0.5) / (every + 1), float(np.clip(every[1] / max(every.sum(), 1e-9), 1e-4, 0.5)), weight, told)
+        model = LabelModel(rate, (none + 0.5) / (every + 1), float(np.clip(every[1] / max(every.sum(), 1e-9), 1e-4, 0.5)), related, told)
     return model
 
 
@@ -201,7 +203,7 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(at, target[i:j][row], len(u))), pa.array(np.bincount(at, minlength=len(u)))], names=["h", "pos", "n"])
 
 
-def _train(batches: Iterator[pa.RecordBatch], size: int, steps: int = 500, rate: float = 0.5, decay: float = 1e-3) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterator[pa.RecordBatch], size: int, steps: int = 500, rate: float = 0.5, decay: float = 1e-4) -> Iterator[pa.RecordBatch]:
     """Logistic regression of targets on lists of features (places up to size), by AdaGrad over all rows at once; place -1 is the bias."""
     y, col, row, base = [], [], [], 0
     for batch in batches:
@@ -218,7 +220,7 @@ def _train(batches: Iterator[pa.RecordBatch], size: int, steps: int = 500, rate:
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(y)) + b, -30, 30)))
         e = p - y
-        g, gb = np.bincount(col, e[row], size) / len(y) + decay * w / max(1, size), e.mean()
+        g, gb = np.bincount(col, e[row], size) / len(y) + decay * w, e.mean()
         g2 += g * g
         gb2 += gb * gb
         w -= rate * g / np.sqrt(g2)
@@ -286,7 +288,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     pairs = sample.select(F.col("toxic").alias("known"), "text").mapInArrow(fired, "known long, voters array<int>").filter(F.size("voters") > 0)
     pairs = pairs.mapInArrow(functools.partial(_together, size=len(keys)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT).collect()
     pair, n = (np.array([r[k] for r in pairs], np.int64) for k in ("pair", "n"))
-    weight = correlations(pair, n, (total.n - (total.pos or 0), total.pos or 0), len(keys))
+    related = correlations(pair, n, (total.n - (total.pos or 0), total.pos or 0), len(keys))
 
     # A random share of the other rows trains the classifier; equal ones among them count once.
     rows = docs.count()
@@ -295,7 +297,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     known = texts.join(F.broadcast(chosen.select("doc_id", F.col("toxic").cast("long").alias("known"))), "doc_id", "left")
     known = known.select("k1", "k2", F.coalesce("known", F.lit(-1).cast("long")).alias("known"), "text", drawn.alias("drawn"))
     votes = known.select("known", "text").mapInArrow(fired, "known long, voters array<int>").groupBy("voters", "known").agg(F.count("*").alias("n"))
-    model = label_model(_store.save(votes, "votes"), len(keys), weight)
+    model = label_model(_store.save(votes, "votes"), len(keys), related)
 
     train = known.filter("known < 0 and drawn").dropDuplicates(["k1", "k2"]).select("known", "text").union(sample.select(F.col("toxic").alias("known"), "text"))
     train = train.select("known", F.col("text").alias("body"), "text").mapInArrow(fired, "known long, body string, voters array<int>")
