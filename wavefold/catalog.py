@@ -1,6 +1,6 @@
 """All registered queries and their SQL equivalents."""
 
-from .plans import core, structure
+from .plans import core, extra, structure
 
-QUERIES = {**core.QUERIES, **structure.QUERIES}
-ORACLES = {**core.ORACLES, **structure.ORACLES}
+QUERIES = {**core.QUERIES, **structure.QUERIES, **extra.QUERIES}
+ORACLES = {**core.ORACLES, **structure.ORACLES, **extra.ORACLES}

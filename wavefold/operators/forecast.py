@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fits import arma_fits, series_batches
 from ..functions.kernels import adf, arma_forecast, find_peaks, hmm_fit, ridge_ar, viterbi
-from ..functions.series import KEY, spread
+from ..functions.series import KEY, chunked, spread, tidy
 
 #: Fixed values: (p, q) that predict_arima tries, in this order; d comes from the unit-root test.
 ORDERS = ((1, 1), (1, 0), (0, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (4, 1), (4, 2), (0, 0), (2, 0), (0, 2))
@@ -197,6 +197,47 @@ def state_profile(states: DataFrame, layer: DataFrame, names: tuple, order: str
     return s.join(total, KEY).select(KEY, state, "windows", (F.col("windows") / F.col("_t")).alias("fraction"), *(f"mean_{c}" for c in names))
 
 
+def label_states(profile: DataFrame, layer: DataFrame) -> DataFrame:
+    """profile (signal_id, mean_energy, mean_brightness, mean_complexity, mean_rhythm) with ``word``: the first that fits of climax, calm, intense, active, transition, bright; else stable.
+
+    Limits are percentiles of the signal's energy and rhythm; brightness is held
+    against those of rhythm, and complexity against those of energy.
+    """
+    p = layer.groupBy(KEY).agg(*(F.percentile(c, F.lit(q)).alias(a) for a, c, q in (("_eh", "energy", 0.7), ("_el", "energy", 0.3), ("_rh", "rhythm", 0.7), ("_rl", "rhythm", 0.3), ("_et", "energy", 0.75))))
+    e, b, c, r = (F.col(f"mean_{k}") for k in ("energy", "brightness", "complexity", "rhythm"))
+    word = (
+        F.when((e >= F.col("_eh")) & (r >= F.col("_rh")), "climax").when((e <= F.col("_el")) & (r <= F.col("_rl")), "calm").when(e >= F.col("_eh"), "intense")
+        .when(r >= F.col("_rh"), "active").when(c >= F.col("_et"), "transition").when(b >= F.col("_rh"), "bright").otherwise("stable")
+    )
+    return profile.join(p, KEY).withColumn("word", word).drop("_eh", "_el", "_rh", "_rl", "_et")
+
+
+def state_changes(states: DataFrame, order: str = "w", state: str = "state") -> DataFrame:
+    """(signal_id, states, changes): different states that are entered from another one, and the first; and how often the state changes."""
+    df, w, core = chunked(states.select(KEY, order, state), 1, 0, order=order)
+    z = tidy(df.withColumn("_b", F.lag(state).over(w)), core)
+    entered = F.when(F.col("_b") != F.col(state), F.col(state))
+    return z.groupBy(KEY).agg((F.countDistinct(entered) + 1).alias("states"), F.count(entered).alias("changes"))
+
+
+def common_lags(found: DataFrame) -> DataFrame:
+    """(lags, mode): different lags among peaks (signal_id, rank, lag) of all signals, and the commonest, the least of equals."""
+    return found.agg(F.countDistinct("lag").alias("lags"), F.mode("lag", True).alias("mode"))
+
+
+def ensemble(layer: DataFrame, names: tuple, hop: float = 0.25, trends_: tuple = ("energy", "rhythm")) -> DataFrame:
+    """(signal_id, trend, kind, period, regime, lags, quality, words): what ARIMA structure, hidden states, lookback and lag profile say of each trend."""
+    series = layer.unpivot([KEY, "w"], list(trends_), "trend", "x")
+    key = [KEY, "trend"]
+    kind = arima_structure(series, key, "w", "x").select(*key, "kind", "period")
+    regime = lookback_insights(series, key, "w", "x", hop=hop).groupBy(*key).agg(F.first("regime").alias("regime"))
+    lags = lag_profile(series, key, "w", "x").groupBy(*key).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "bucket", F.col("lag").cast("string")))).alias("lags"))
+    quality = state_quality(hmm_states(layer, names), layer, names)
+    z = kind.join(regime, key, "left").join(lags, key, "left").join(quality, KEY, "left")
+    words = F.concat_ws("; ", F.concat(F.lit("structure: "), "kind"), F.concat(F.lit("memory: "), "regime"), F.concat(F.lit("lags: "), F.array_join("lags", ", ")), F.when(F.col("quality") > 1, "states well apart").otherwise("states overlap"))
+    return z.withColumn("words", words)
+
+
 def state_quality(states: DataFrame, layer: DataFrame, names: tuple, order: str = "w", state: str = "state") -> DataFrame:
     """(signal_id, quality): variance between states, weighted by their size, over the sum of the variances within them."""
     z = states.select(KEY, order, state).join(layer, [KEY, order])

@@ -158,6 +158,44 @@ def novelty(rows: DataFrame, vector: str = "x", order: str = "w") -> DataFrame:
     return rows.select(KEY, order, vector).groupBy(KEY).applyInPandas(run, f"{KEY} string, {order} bigint, novelty double")
 
 
+def boundaries(curve: DataFrame, height: float = 0.3, order: str = "w") -> DataFrame:
+    """(signal_id, p, novelty): peaks of a novelty curve, a twentieth of the signal apart, and 3 at least."""
+    from .trends import peaks
+
+    def wide(n: int) -> int:
+        return max(3, n // 20)
+
+    return peaks(curve, [KEY], order, "novelty", height=height, distance_of=wide)
+
+
+def patterns(features: DataFrame, rows: DataFrame, cap: int = 200) -> DataFrame:
+    """(signal_id, kind, w, lag, value): climaxes, repetitions at lags from 2 on (on about cap rows of a signal) and boundaries; none under 3 rows.
+
+    features has the window scalars, rows (signal_id, w, x) the vectors, w
+    counting from 0. Places found on thinned rows are those of the whole signal.
+    """
+    n = rows.groupBy(KEY).agg(F.count("*").alias("_n"))
+    rows = rows.join(n, KEY).filter("_n >= 3")
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / cap))
+    thin = rows.filter(F.col("w") % step == 0).select(KEY, (F.col("w") / step).cast("bigint").alias("w"), "x", step.alias("_s"))
+    again = repetition_peaks(self_similarity(thin, 2 * cap).filter("lag >= 2")).join(thin.select(KEY, "_s").distinct(), KEY)
+    parts = [
+        climaxes(features).select(KEY, F.lit("climax").alias("kind"), "w", F.lit(None).cast("bigint").alias("lag"), F.col("rms_energy").alias("value")),
+        again.select(KEY, F.lit("repetition").alias("kind"), (F.col("p") * F.col("_s")).alias("w"), (F.col("lag") * F.col("_s")).alias("lag"), F.col("sim").alias("value")),
+        boundaries(novelty(rows.select(KEY, "w", "x"))).select(KEY, F.lit("boundary").alias("kind"), F.col("p").alias("w"), F.lit(None).cast("bigint").alias("lag"), F.col("novelty").alias("value")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def analyze(features: DataFrame, rows: DataFrame, pair: DataFrame) -> dict[str, DataFrame]:
+    """The whole comparison of pairs: matrix, scores, best matches both ways with their features, and each signal's patterns."""
+    sim = similarity_matrix(rows, pair)
+    back = similarity_matrix(rows, pair.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id")))
+    distance = median_distance(distribution_distance(rows, pair, "difference"))
+    matches = annotate(best_matches(sim).union(best_matches(back)), features)
+    return {"matrix": sim, "scores": aggregate(sim, features.select(KEY, "w", "spectral_entropy"), distance), "matches": matches, "patterns": patterns(features, rows)}
+
+
 def climaxes(features: DataFrame, energy: float = 0.85, onset: float = 0.80) -> DataFrame:
     """Windows whose energy and onset density both reach their percentile."""
     p = features.groupBy(KEY).agg(F.percentile("rms_energy", F.lit(energy)).alias("_e"), F.percentile("onset_density", F.lit(onset)).alias("_o"))

@@ -79,11 +79,12 @@ def segments(layer: DataFrame, high: float = 0.85, low: float = 0.25, busy: floa
 
 
 def peaks(rows: DataFrame, key: list[str], order: str, value: str, **options) -> DataFrame:
-    """(key, p, value): peaks of each series, see kernels.find_peaks; prominence may be given as deviations by prominence_sd."""
+    """(key, p, value): peaks of each series, see kernels.find_peaks; prominence may be given as deviations by prominence_sd, distance as a function of the length by distance_of."""
     names = {f.name: f.dataType.simpleString() for f in rows.schema}
     shape = ", ".join(f"{k} {names[k]}" for k in key) + f", p bigint, {value} double"
     sd = options.pop("prominence_sd", None)
     share = options.pop("distance_share", None)
+    apart = options.pop("distance_of", None)
     flip = options.pop("valleys", False)
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
@@ -92,6 +93,8 @@ def peaks(rows: DataFrame, key: list[str], order: str, value: str, **options) ->
         own = dict(options)
         if sd is not None:
             own["prominence"] = sd * x.std()
+        if apart is not None:
+            own["distance"] = apart(len(x))
         if share is not None:
             own["distance"] = max(1, len(x) // share)
         at = find_peaks(-x if flip else x, **own)

@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import discovery, forecast, similarity, spectral, stats, trends, unsupervised, volatility
+from ..operators import discovery, forecast, plotdata, similarity, spectral, stats, trends, unsupervised, volatility
 from ..operators.trends import TRENDS
 from ..schemas import EngineConfig
 from ..sinks import registry
@@ -49,6 +49,7 @@ def analyze(samples: DataFrame, options: str | None = None, sr: float = 16000.0,
         norms = tuple(f"{t}_norm" for t in TRENDS)
         states = forecast.hmm_states(layer, norms, c.hmm_states, c.seed)
         out |= {"arima": forecast.arima_structure(series, ["signal_id", "trend"], "w", "x"), "states": states, "state_profile": forecast.state_profile(states, layer, norms), "lookback": forecast.lookback_insights(series, ["signal_id", "trend"], "w", "x"), "lags": forecast.lag_profile(series, ["signal_id", "trend"], "w", "x")}
+        out |= {"state_changes": forecast.state_changes(states), "ensemble": forecast.ensemble(layer, norms, c.hop)}
     if "timeseries" in chosen:
         first = samples.filter(F.col("i") < int(sr))
         out |= {"pacf": stats.pacf(first), "acf_peaks": stats.acf_peaks(first), "dominant": spectral.dominant(samples, sr), "entropy": stats.sample_entropy(samples), "white_noise": stats.white_noise_vote(samples.filter(F.col("i") < int(2 * sr)))}
@@ -69,6 +70,14 @@ def analyze(samples: DataFrame, options: str | None = None, sr: float = 16000.0,
         cross = discovery.cross_summary(discovery.corresponding(layer, pair), pair)
         contrast = discovery.contrast(layer, pair)
         out |= {"trend_similarity": scores, "similarity": trends.global_similarity(scores), "correspondence": cross, "contrast": contrast, "overview": discovery.overview(cross, contrast), "similarity_matrix": similarity.similarity_matrix(rows, pair)}
+    if "visualization" in chosen:
+        vol = volatility.volatility_layer(series, c.volatility_window)
+        out |= {"plot_waveform": plotdata.waveform(samples, sr), "plot_spectrum": plotdata.spectrum(samples, sr), "plot_periodicity": plotdata.periodicity(samples, sr), "plot_segments": plotdata.segment_bar(trends.segments(layer)), "plot_trends": plotdata.trend_lines(layer)}
+        out |= {"plot_volatility": plotdata.volatility_band(series, vol), "plot_persistence": plotdata.persistence_words(volatility.garch(series, "x", ["signal_id", "trend"], "w")), "plot_histogram": plotdata.histogram(series, "x", ["signal_id", "trend"])}
+        if "band" in chosen:
+            out["plot_bands"] = plotdata.band_heatmap(forecast.metrics(bands, ["signal_id", "band", "model"]), list(forecast.MODELS))
+        if pair is not None:
+            out["plot_dimensions"] = plotdata.top_dimensions(similarity.distribution_distance(rows, pair, "difference"), [f"{t}_norm" for t in TRENDS])
     return out
 
 

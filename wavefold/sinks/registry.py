@@ -72,3 +72,16 @@ def report(df: DataFrame, title: str, most: int = 50) -> str:
     width = [max(len(c), *(len(r[k]) for r in cells)) if cells else len(c) for k, c in enumerate(df.columns)]
     line = lambda r: "  ".join(v.ljust(w) for v, w in zip(r, width)).rstrip()
     return "\n".join([title, "=" * len(title), line(df.columns), *(line(r) for r in cells)])
+
+
+def compact(df: DataFrame, keep: list[str], digits: int = 4) -> DataFrame:
+    """The columns to keep (nested ones by their path), doubles rounded, NaN and infinities null: what a result page shows of a large result."""
+    z = df.select(*(F.col(c).alias(c.rsplit(".", 1)[-1]) for c in keep))
+    number = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.round(c, digits))
+    return z.select(*(number(f.name).alias(f.name) if f.dataType.typeName() in ("double", "float") else f.name for f in z.schema))
+
+
+def ranges_text(ranges, most: int = 3):
+    """Text of an array<struct<a, b>> of times: the first ones, and how many more there are."""
+    shown = F.array_join(F.transform(F.slice(ranges, 1, most), lambda r: F.concat(F.format_string("%.1f", r["a"]), F.lit("-"), F.format_string("%.1f", r["b"]), F.lit("s"))), ", ")
+    return F.when(F.size(ranges) > most, F.concat(shown, F.lit(" +"), (F.size(ranges) - most).cast("string"), F.lit(" more"))).otherwise(shown)
