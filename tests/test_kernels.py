@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wavefold.functions import kernels as K
-from wavefold.operators.forecast import correlations, forecast_one
+from wavefold.operators.forecast import correlations, forecast_many
 from wavefold.operators.similarity import describe_window, jensen_shannon
 from wavefold.operators.spectral import dct_matrix, mel_filterbank, stft_array
 from wavefold.schemas import feature_names
@@ -121,10 +121,10 @@ def test_ridge_and_forecasts():
     x = np.sin(2 * np.pi * t / 12)
     assert np.abs(K.ridge_ar(x[:110], 24, 10, 1e-3) - x[110:]).max() < 0.1
     assert np.allclose(K.ridge_ar(np.ones(40), 5, 3), 1)
-    assert all(r[5] == "too short" for r in forecast_one(np.ones(8), 10))
-    assert {r[0] for r in forecast_one(x, 10, ("naive", "arima", "hmm"))} == {"naive", "arima", "hmm"}
+    assert all(r[5] == "too short" for r in forecast_many([np.ones(8)], 10)[0])
+    assert {r[0] for r in forecast_many([x], 10, ("naive", "arima", "hmm"))[0]} == {"naive", "arima", "hmm"}
     with pytest.raises(ValueError):
-        forecast_one(x, 10, ("oracle",))
+        forecast_many([x], 10, ("oracle",))
 
 
 def test_spectral():

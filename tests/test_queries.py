@@ -33,7 +33,7 @@ def test_query(spark, duck, name):
     spark.catalog.clearCache()
 
 
-QUICK = ("acf_peaks", "find_peaks", "pacf_table", "window_features", "pca_variance", "nmf_components", "kmeans_profile", "model_forecasts", "motif_report", "related_pair", "js_distance", "mfcc")
+QUICK = ("window_features", "pca_variance", "nmf_components", "kmeans_profile", "model_forecasts", "related_pair", "mfcc", "pattern_report", "similarity_report", "ensemble_report", "garch_fit", "corresponding_segments", "pair_overview", "hmm_states", "lag_profile", "lookback_insights")
 
 
 @pytest.mark.parametrize("name", QUICK)

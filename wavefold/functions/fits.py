@@ -103,7 +103,7 @@ def arma_fits(series: list[np.ndarray], d: list[int], orders: tuple, steps: int
     a = both * ready[:, None]
     gram, target = a @ a.transpose(0, 2, 1), (a @ (z * ready)[:, :, None])[:, :, 0]
     s, k = len(w), len(orders)
-    mask = np.array([[j < p for j in range(P)] + [j < q for j in range(Q)] for p, q in orders])
+    mask = np.array([[j < p for j in range(P)] + [j < q for j in range(Q)] for p, q in orders], bool).reshape(k, P + Q)
     room = np.array([[x > p + q + 2 for p, q in orders] for x in size])
     mask = (mask[None] & room[:, :, None]).reshape(s * k, P + Q)
     row = np.repeat(np.arange(s), k)

@@ -69,6 +69,9 @@ ONE = {
 
 def forecast_many(series: list[np.ndarray], h: int, models: tuple = MODELS) -> list[list[tuple]]:
     """For each series rows (model, step, forecast, actual, backend, error): fitted on all but the last h values, held against those."""
+    unknown = set(models) - {"arima", *ONE}
+    if unknown:
+        raise ValueError(f"unknown models {sorted(unknown)}")
     series = [np.asarray(x, float) for x in series]
     long = [i for i, x in enumerate(series) if len(x) >= h + 5]
     arima = dict(zip(long, predict_arima([series[i][:-h] for i in long], h))) if "arima" in models else {}
