@@ -65,18 +65,34 @@ def difference(df: DataFrame, value: str, out: str, factor: float = 1.0, key: li
     return tidy(df.withColumn(out, F.when(before.isNotNull(), F.col(value) - factor * before).otherwise(F.col(value) if factor < 1 else F.lit(None))), core)
 
 
-def smooth(df: DataFrame, value: str, out: str, size: Column, n: Column, widest: int, order: str = ORD) -> DataFrame:
+def running_sum(df: DataFrame, value: str, out: str, key: list[str] | None = None, order: str = ORD, size: int = CHUNK) -> DataFrame:
+    """df with the sum of value up to each row: within chunks of the ordinal, beside the sums of the chunks before."""
+    key = key or [KEY]
+    z = df.withColumn("_own", F.floor(F.col(order) / size))
+    before = F.sum("_t").over(Window.partitionBy(*key).orderBy("_own").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = z.groupBy(*key, "_own").agg(F.sum(value).alias("_t")).withColumn("_o", F.coalesce(before, F.lit(0.0))).drop("_t")
+    own = F.sum(value).over(Window.partitionBy(*key, "_own").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return z.withColumn(out, own).join(offsets, [*key, "_own"]).withColumn(out, F.col(out) + F.col("_o")).drop("_own", "_o")
+
+
+def smooth(df: DataFrame, value: str, out: str, size: Column, n: Column, order: str = ORD) -> DataFrame:
     """Moving mean of ``size`` rows (from i - size // 2), the series being mirrored at its ends with the edge row repeated.
 
-    size and n are columns of df; size is at most widest. Each row is handed to
-    the frames that hold it or its mirror image, as a grouped sum.
+    size and n are columns of df, size at most n. A mean is made of the running
+    sums at up to four places, so a row is handed to four others at most,
+    however wide the frame.
     """
-    half = F.floor(size / 2)
-    at = F.explode(F.sequence(F.col(order) - half, F.col(order) + size - half - 1)).alias("_at")
-    wanted = df.select(KEY, F.col(order).alias("_to"), n.alias("_n"), at)
-    image = F.when(F.col("_at") < 0, -1 - F.col("_at")).when(F.col("_at") >= F.col("_n"), 2 * F.col("_n") - 1 - F.col("_at")).otherwise(F.col("_at"))
-    source = df.select(KEY, F.col(order).alias("_from"), F.col(value).alias("_v"))
-    means = wanted.withColumn("_from", image).join(source, [KEY, "_from"]).groupBy(KEY, F.col("_to").alias(order)).agg(F.avg("_v").alias(out))
+    i = F.col(order)
+    z = df.withColumn("_size", size).withColumn("_n", n).withColumn("_lo", i - F.floor(F.col("_size") / 2)).withColumn("_hi", F.col("_lo") + F.col("_size") - 1)
+    low, high, last = F.col("_lo"), F.col("_hi"), F.col("_n") - 1
+    place = lambda at, sign: F.struct(at.cast("bigint").alias("at"), F.lit(sign).alias("sign"))
+    parts = F.array(
+        place(F.least(high, last), 1.0), F.when(low > 0, place(low - 1, -1.0)), F.when(low < 0, place(-low - 1, 1.0)),
+        F.when(high > last, place(last, 1.0)), F.when((high > last) & (2 * last - high >= 0), place(2 * last - high, -1.0)),
+    )
+    wanted = z.select(KEY, order, "_size", F.explode(F.array_compact(parts)).alias("_p")).select(KEY, order, "_size", F.col("_p.at").alias("_at"), F.col("_p.sign").alias("_sign"))
+    sums = running_sum(df.select(KEY, order, value), value, "_s", order=order).select(KEY, F.col(order).alias("_at"), "_s")
+    means = wanted.join(sums, [KEY, "_at"]).groupBy(KEY, order).agg((F.sum(F.col("_sign") * F.col("_s")) / F.first("_size")).alias(out))
     return df.join(means, [KEY, order])
 
 

@@ -61,14 +61,14 @@ def long(layer: DataFrame, names: tuple = TRENDS) -> DataFrame:
     return layer.unpivot([KEY, "w"], list(names), "trend", "x")
 
 
-def segments(layer: DataFrame, high: float = 0.85, low: float = 0.25, busy: float = 0.80, widest: int = 1 << 14) -> DataFrame:
+def segments(layer: DataFrame, high: float = 0.85, low: float = 0.25, busy: float = 0.80) -> DataFrame:
     """(signal_id, w, label): the first that fits of climax, calm, buildup, release, transition; else sustained."""
     p = layer.groupBy(KEY).agg(
         F.count("*").alias("_n"), F.percentile("energy", F.lit(high)).alias("_eh"), F.percentile("energy", F.lit(low)).alias("_el"),
         F.percentile("rhythm", F.lit(high)).alias("_rh"), F.percentile("rhythm", F.lit(low)).alias("_rl"), F.percentile("complexity", F.lit(busy)).alias("_ch"),
     )
     df = layer.select(KEY, "w", "energy", "rhythm", "complexity").join(p, KEY)
-    df = X.smooth(df, "energy", "_sm", F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("_n") / 10)), F.col("_n"), widest, order="w")
+    df = X.smooth(df, "energy", "_sm", F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("_n") / 10)), F.col("_n"), order="w")
     df = X.gradient(df, "_sm", "_g", order="w")
     df = X.with_stats(df, _gs=F.stddev_pop("_g")).withColumn("_d", F.col("_g") / (F.col("_gs") + 1e-12))
     label = (

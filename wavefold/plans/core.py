@@ -90,7 +90,7 @@ def series_gradient(spark, d):
 
 def moving_mean(spark, d):
     s = X.with_stats(signals.by_user(spark, d), n=F.count("*"))
-    return X.smooth(s, "y", "m", F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("n") / 10)), F.col("n"), 1 << 14).select("signal_id", "i", *r("m"))
+    return X.smooth(s, "y", "m", F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("n") / 10)), F.col("n")).select("signal_id", "i", *r("m"))
 
 
 def structural_segments(spark, d):
