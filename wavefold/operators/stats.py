@@ -3,30 +3,57 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fits import series_batches
 from ..functions.kernels import durbin_levinson
-from ..functions.series import KEY, ORD, chi2_sf_even, chunked, corr, tidy
+from ..functions.series import KEY, ORD, chi2_sf_even, chunked, tidy
 from .framing import blocks
 
 
 def acf(samples: DataFrame, nlags: int = 40) -> DataFrame:
     """(signal_id, lag, acf, n): correlation of the overlapping pairs at each lag; 1 at lag 0.
 
-    Pairs come from one equi-join on the ordinal, so that a long signal is
-    spread over tasks like any other rows. Lags beyond a signal's length, and
-    pairs that don't vary, give 0.
+    Sums of products of the centred values come from chunks of the ordinal that
+    overlap by nlags rows, and are added up, so each sample is shuffled once,
+    whatever the number of lags. Lags beyond a signal's length, and pairs that
+    don't vary, give 0.
     """
-    n = samples.groupBy(KEY).agg(F.count("*").alias("n"))
-    late = samples.select(KEY, ORD, F.col("y").alias("y0"), F.explode(F.sequence(F.lit(1), F.lit(nlags - 1))).alias("lag")).withColumn("_j", F.col(ORD) - F.col("lag")).filter("_j >= 0")
-    pairs = late.join(samples.select(KEY, F.col(ORD).alias("_j"), F.col("y").alias("y1")), [KEY, "_j"])
-    found = pairs.groupBy(KEY, "lag").agg(corr("y0", "y1").alias("acf"))
-    grid = n.select(KEY, "n", F.explode(F.sequence(F.lit(0), F.lit(nlags - 1))).alias("lag")).join(found, [KEY, "lag"], "left")
-    return grid.select(KEY, F.col("lag").cast("bigint").alias("lag"), F.when(F.col("lag") == 0, 1.0).otherwise(F.coalesce("acf", F.lit(0.0))).alias("acf"), "n")
+    stats = samples.groupBy(KEY).agg(F.count("*").alias("n"), F.avg("y").alias("_m"))
+    df, _, _ = chunked(samples.join(stats, KEY).select(KEY, ORD, (F.col("y") - F.col("_m")).alias("c")), nlags - 1, 0)
+    kind = samples.schema[KEY].dataType.simpleString()
+    names = ("pairs", "sx", "sy", "sxx", "syy", "sxy")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, chunks in series_batches(frames, [KEY, "_chunk"], "c"):
+            rows = [(key, *sums) for (key, chunk), c in zip(ids, chunks) for sums in lag_sums(c, nlags, nlags - 1 if chunk else 0)]
+            yield pd.DataFrame(rows, columns=[KEY, "lag", *names])
+
+    dealt = df.select(KEY, "_chunk", ORD, "c").repartition(KEY, "_chunk").sortWithinPartitions(KEY, "_chunk", ORD)
+    sums = dealt.mapInPandas(run, f"{KEY} {kind}, lag bigint, " + ", ".join(f"{k} double" for k in names)).groupBy(KEY, "lag").agg(*(F.sum(k).alias(k) for k in names))
+    n = F.col("pairs")
+    of = lambda xy, x, y: F.col(xy) / n - F.col(x) / n * F.col(y) / n
+    z = sums.withColumn("_x", of("sxx", "sx", "sx")).withColumn("_y", of("syy", "sy", "sy"))
+    varies = (F.col("_x") > 1e-14 * F.col("sxx") / n) & (F.col("_y") > 1e-14 * F.col("syy") / n)
+    found = z.select(KEY, "lag", F.when(varies, of("sxy", "sx", "sy") / F.sqrt(F.col("_x") * F.col("_y"))).otherwise(0.0).alias("acf"))
+    grid = stats.select(KEY, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nlags - 1).cast("bigint"))).alias("lag")).join(found, [KEY, "lag"], "left")
+    return grid.select(KEY, "lag", F.when(F.col("lag") == 0, 1.0).otherwise(F.coalesce("acf", F.lit(0.0))).alias("acf"), "n")
+
+
+def lag_sums(c: np.ndarray, nlags: int, known: int) -> list[tuple]:
+    """For each lag that has pairs: (lag, pairs, sums of x, y, x x, y y, x y) of the values from place known on and those lag places before them."""
+    out = []
+    for lag in range(1, min(nlags, len(c))):
+        at = max(known, lag)
+        x, y = c[at:], c[at - lag : len(c) - lag]
+        if len(x):
+            out.append((lag, float(len(x)), x.sum(), y.sum(), x @ x, y @ y, x @ y))
+    return out
 
 
 def band(n: Column | str) -> Column:
