@@ -32,6 +32,8 @@ from ._text import U, buffers, chunks, expand, mix, prefix, runs, words
 MAX_LABELLED, UNLABELLED = 12_000, 12_000
 #: Voters and weights of the model, at most; rows that a word or a pair of voters must have; rounds of EM.
 VOTERS, KEEP, SUPPORT, ROUNDS, THRESHOLD = 2048, 4096, 5, 8, 0.7
+#: Pairs of voters that are held at once.
+PAIRS = 1 << 18
 SEED = ("idiot", "moron", "stupid", "scum", "trash", "pathetic", "worthless", "disgusting", "loser", "clown")
 BEGINNINGS = (4, 5)
 #: Bytes that separate words here: ASCII that is no letter.
@@ -102,12 +104,15 @@ def _fired(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.R
 def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """How many rows of either label (known) each pair of voters (and each voter, as a pair with itself) has."""
     for batch in batches:
-        codes, known = [], batch.column("known").to_numpy()
-        for label, voters in zip(known, batch.column("voters")):
+        codes, held, known = [], 0, batch.column("known").to_numpy()
+        for k, (label, voters) in enumerate(zip(known, batch.column("voters"))):
             v = voters.values.to_numpy().astype(np.int64)
             codes.append(np.add.outer((label * size + v) * size, v).ravel())
-        pair, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+            held += len(v) ** 2
+            if held > PAIRS or k + 1 == batch.num_rows:
+                pair, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+                codes, held = [], 0
 
 
 @dataclass
@@ -123,8 +128,14 @@ class LabelModel:
     def posterior(self, voters: np.ndarray, row: np.ndarray, rows: int, known: np.ndarray) -> np.ndarray:
         """Of label 1, for rows whose voters (with the row of each, in order) are given, and known labels (-1: none)."""
         count = np.bincount(row, minlength=rows)
-        other, own = expand((np.cumsum(count) - count)[row], count[row])  # all voters of a voter's row
-        less = 1 + np.bincount(own, self.related[voters[own], voters[other]], len(voters))
+        first, cost = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(count * count)]
+        less, i = np.ones(len(voters)), 0
+        while i < rows:  # all voters of a voter's row, for rows of about PAIRS pairs at a time
+            j = max(i + 1, int(np.searchsorted(cost, cost[i] + PAIRS, "right")) - 1)
+            at = np.arange(first[i], first[j])
+            other, own = expand(first[row[at]], count[row[at]])
+            less[at] += np.bincount(own, self.related[voters[at[own]], voters[other]], len(at))
+            i = j
         votes = np.bincount(row, np.log(self.rate[1] / self.rate[0])[voters] / less, rows)
         none = np.bincount(row, minlength=rows) == 0
         z = np.log(self.prior / (1 - self.prior)) + np.where(none, np.log(self.silent[1] / self.silent[0]), votes)
