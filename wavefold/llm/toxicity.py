@@ -31,7 +31,7 @@ from ._text import U, buffers, chunks, expand, mix, prefix, runs, words
 #: Labelled rows that voters and classifier are fitted on, at most (the first by hash), and unlabelled ones that the classifier is fitted on, about.
 MAX_LABELLED, UNLABELLED = 12_000, 12_000
 #: Voters and weights of the model, at most; rows that a word or a pair of voters must have; rounds of EM.
-VOTERS, KEEP, SUPPORT, ROUNDS, THRESHOLD = 2048, 4096, 5, 8, 0.7
+VOTERS, KEEP, SUPPORT, ROUNDS, THRESHOLD = 2048, 4096, 5, 3, 0.7
 #: Pairs of voters that are held at once.
 PAIRS = 1 << 18
 SEED = ("idiot", "moron", "stupid", "scum", "trash", "pathetic", "worthless", "disgusting", "loser", "clown")
@@ -150,14 +150,15 @@ def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
 
 
-def _expected(batches: Iterator[pa.RecordBatch], model: LabelModel | None, size: int) -> Iterator[pa.RecordBatch]:
-    """E-step: rows of either label that each voter has (places size to size + 3: no voter; all; known; known as 1), by the model or by a first guess."""
+def _expected(batches: Iterator[pa.RecordBatch], model: LabelModel | None, size: int, anchored: bool) -> Iterator[pa.RecordBatch]:
+    """E-step: rows of either label that each voter has (places size to size + 3: no voter; all; known; known as 1), by the model, or at first by the known labels alone (anchored) or a guess."""
     sums = np.zeros((2, size + 4))
     for batch in batches:
         n, known = batch.column("n").to_numpy(), batch.column("known").to_numpy()
         v, row = _lists(batch)
         none = np.bincount(row, minlength=len(n)) == 0
         q = model.posterior(v, row, len(n), known) if model else np.where(known >= 0, known, np.where(none, 0.05, 0.8))
+        n = np.where(known >= 0, n, 0) if anchored and not model else n
         for k, mass in enumerate(((1 - q) * n, q * n)):
             sums[k, :size] += np.bincount(v, mass[row], size)
             sums[k, size:] += mass[none].sum(), mass.sum(), mass[known >= 0].sum(), mass[known == 1].sum()
@@ -181,11 +182,16 @@ def correlations(pair: np.ndarray, n: np.ndarray, rows: tuple[int, int], size: i
     return out
 
 
-def label_model(votes: DataFrame, size: int, related: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
-    """EM over votes (voters array<int>, known, n): the driver gets the sums of each voter in each round."""
+def label_model(votes: DataFrame, size: int, related: np.ndarray, anchored: bool = True, rounds: int = ROUNDS) -> LabelModel:
+    """EM over votes (voters array<int>, known, n): the driver gets the sums of each voter in each round.
+
+    Rates start from the rows with a known label, if there are enough
+    (anchored); few rounds follow, since many rounds over mostly unlabelled rows
+    would drift from what labels say to whatever voters have in common.
+    """
     model = None
-    for _ in range(rounds):
-        step = votes.mapInArrow(functools.partial(_expected, model=model, size=size), "place long, clean double, toxic double")
+    for _ in range(rounds if anchored else 2 * rounds):
+        step = votes.mapInArrow(functools.partial(_expected, model=model, size=size, anchored=anchored), "place long, clean double, toxic double")
         got = step.groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).orderBy("place").collect()
         sums = np.array([[r.clean for r in got], [r.toxic for r in got]])
         none, every, known, ones = sums[:, size:].T
@@ -308,7 +314,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     known = texts.join(F.broadcast(chosen.select("doc_id", F.col("toxic").cast("long").alias("known"))), "doc_id", "left")
     known = known.select("k1", "k2", F.coalesce("known", F.lit(-1).cast("long")).alias("known"), "text", drawn.alias("drawn"))
     votes = known.select("known", "text").mapInArrow(fired, "known long, voters array<int>").groupBy("voters", "known").agg(F.count("*").alias("n"))
-    model = label_model(_store.save(votes, "votes"), len(keys), related)
+    model = label_model(_store.save(votes, "votes"), len(keys), related, min(total.pos or 0, total.n - (total.pos or 0)) >= 50)
 
     train = known.filter("known < 0 and drawn").dropDuplicates(["k1", "k2"]).select("known", "text").union(sample.select(F.col("toxic").alias("known"), "text"))
     train = train.select("known", F.col("text").alias("body"), "text").mapInArrow(fired, "known long, body string, voters array<int>")
