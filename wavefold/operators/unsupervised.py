@@ -78,19 +78,26 @@ def characterise(s: DataFrame) -> DataFrame:
 def motif_profile(rows: DataFrame, length: int, cap: int = 300, vector: str = "x", order: str = "w") -> DataFrame:
     """(signal_id, j, nearest, distance): for each z-normed subsequence the nearest other one; distance 1 - dot product, not over the length.
 
-    At most about cap subsequences of a signal are compared (a stride), which
-    bounds its pairs.
+    Under twice cap subsequences of a signal are compared (a stride), so that its
+    pairs are one bounded matrix.
     """
     sub = subsequences(rows, length, vector, order)
     n = sub.groupBy(KEY).agg(F.count("*").alias("n"))
     sub = stride(sub.join(n, KEY), F.col("n"), cap, "j")
-    size = F.size("s")
-    sub = sub.withColumn("m", F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / size).withColumn("c", F.transform("s", lambda x: x - F.col("m")))
-    sub = sub.withColumn("d", F.sqrt(dot(F.col("c"), F.col("c")) / size) + 1e-12).select(KEY, "j", F.transform("c", lambda x: x / F.col("d")).alias("z"))
-    other = sub.select(KEY, F.col("j").alias("k"), F.col("z").alias("y"))
-    pairs = sub.join(other, KEY).filter("j <> k").select(KEY, "j", "k", (1 - dot(F.col("z"), F.col("y"))).alias("distance"))
-    best = pairs.groupBy(KEY, "j").agg(F.min(F.struct("distance", "k")).alias("b"))
-    return best.select(KEY, "j", F.col("b.k").alias("nearest"), F.col("b.distance").alias("distance"))
+    kind = rows.schema[KEY].dataType.simpleString()
+
+    def run(ids: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("j")
+        z = np.stack(df.s.to_numpy()).astype(float)
+        z -= z.mean(1, keepdims=True)
+        z /= z.std(1, keepdims=True) + 1e-12
+        far = 1 - z @ z.T
+        np.fill_diagonal(far, np.inf)
+        j = df.j.to_numpy()
+        near = far.argmin(1)
+        return pd.DataFrame({KEY: ids[0], "j": j, "nearest": j[near], "distance": far[np.arange(len(j)), near]})[: len(j) if len(j) > 1 else 0]
+
+    return spread(sub.select(KEY, "j", "s"), KEY).groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, j bigint, nearest bigint, distance double")
 
 
 def motifs(profile: DataFrame, seconds: float, hop: float, top: int = 5) -> tuple[DataFrame, DataFrame]:
