@@ -13,7 +13,6 @@ from ..functions import series as X
 from ..functions.kernels import find_peaks, nmf
 from ..functions.series import KEY, spread
 from .framing import embed, stride, subsequences
-from .spectral import dot
 from .trends import peaks
 
 
