@@ -43,7 +43,7 @@ def vector_folder(path, n, labels=1, dims=4, seed=2):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["motif_profile", "motif_report"])
+@pytest.mark.parametrize("name", ["motif_profile", "motif_report", "discord_report"])
 def test_motifs_compare_every_subsequence(spark, tmp_path, name):
     """Over the 600 subsequences at which a stride began."""
     got, want = both(spark, vector_folder(tmp_path, 701), name, "embeddings")
