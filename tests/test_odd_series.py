@@ -149,7 +149,7 @@ def test_nearest_both_ways(spark, monkeypatch):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["similarity_matrix"])
+@pytest.mark.parametrize("name", ["similarity_matrix", "whitened"])
 def test_matrices_are_handed_over_as_arrays(spark, monkeypatch, name):
     """A row of a with arrays of b, of which the JVM makes the rows; null where a vector is."""
     from wavefold.operators import similarity, trends
