@@ -164,6 +164,19 @@ def test_matrices_are_handed_over_as_arrays(spark, monkeypatch, name):
         assert got[0, 3] == 1 and got[0, 2] == round(float(np.exp(-3)), 6) and got[0, 4] is None and got[1, 4] is None
 
 
+def test_whitened_holds_no_whole_matrix(spark, monkeypatch):
+    """A row of a comes with the rows of one block of b, and a batch holds one piece, or one row of a; all pairs are there."""
+    from wavefold.operators import similarity, trends
+
+    small_blocks(monkeypatch)
+    monkeypatch.setattr(similarity, "_listed", lambda arrays: arrays)
+    x, rows = window_rows(spark, {"a": 60, "b": 40}, 4)
+    got = similarity.whitened(rows, trends.pairs(spark, [("a", "b")])).collect()
+    assert max(len(r.bs) for r in got) < 20 and sorted((r.a_w, w) for r in got for w in r.bs) == [*np.ndindex(60, 40)]
+    batches = list(similarity._matrix(("a", "b"), np.arange(60), x["a"], np.arange(7), x["b"][:7], None))
+    assert sum(len(b["sims"].flatten()) for b in batches) == 60 * 7 and max(len(b["sims"].flatten()) for b in batches) <= 16
+
+
 def test_whitened_by_blocks(spark, monkeypatch):
     """Against the whole matrices of each pair; a side of 5 rows is only standardised."""
     from wavefold.operators import similarity, trends
