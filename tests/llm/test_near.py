@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wavefold.llm import _spans, _store
+from wavefold.llm._spans import sifted
 from wavefold.llm.embedding_dedup import audited_recall, embedding_dedup
 from wavefold.llm.jaccard_join import Audit, jaccard_join, one_of_each, shingles as shingle_hashes
 
@@ -142,3 +144,37 @@ def test_embedding_attempts_go_on_until_the_audit_holds(spark, caplog):
         assert all(r.n_links == 1 and r.component_id == r.vec_id - r.vec_id % 2 for r in got.collect())
     seen = [r.args for r in caplog.records]
     assert len(seen) > 1 and min(seen[0][1].values()) < 0.99 <= min(seen[-1][1].values()) and seen[0][2] >= 200
+
+
+def test_sifted_keeps_every_held_key(spark, monkeypatch):
+    rows = spark.range(20000).select(F.xxhash64("id").alias("k1"), F.xxhash64("id", F.lit(1)).alias("k2"), "id")
+    keys = _store.save(rows.filter("id % 10 = 0").select("k1", "k2"), "some")
+    found = sifted(rows, keys)
+    assert found.count() == 20000 and found.filter("maybe and id % 10 = 0").count() == 2000 and found.filter("maybe").count() < 2000 + 0.1 * 18000
+    assert sifted(rows, keys.limit(0)).filter("maybe").count() == 0
+    monkeypatch.setattr(_spans, "SIEVE", 4)  # too small a filter only lets more rows pass
+    assert sifted(rows, keys).filter("maybe and id % 10 = 0").count() == 2000
+
+
+def test_texts_of_single_documents_are_not_shuffled(spark):
+    """Only near copies travel with their texts, though every join is too large to be broadcast."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(2000))) for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(4)] + [(2000, rows[7][1]), (2001, rows[8][1]), (2001, rows[8][1])]
+    docs = _store.save(frame(spark, rows), "documents")
+    context = spark.sparkContext._jsc.sc()
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    before, threshold = stages(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = one_of_each(docs, audit=4).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(r.doc_id for r in kept) == list(range(200))
+    moved = sum(n for k, n in stages().items() if k not in before)
+    assert 0 < moved < 0.6 * sum(len(t) for _, t in rows)

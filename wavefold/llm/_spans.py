@@ -34,6 +34,8 @@ from . import _store
 from ._text import CHUNK, U, buffers, choosers, chunks, expand, mix, prefix, runs, sliding_min, word_hashes, words
 
 ANCHORS = "k1 long, k2 long, ah long, sh long, lo int, nw short, ld short"
+#: Keys to a word of the Bloom filter of sifted(), and its most words, some 40 MB in memory; beyond them more rows pass.
+KEYS, SIEVE = 8, 1 << 20
 
 
 def key_of(doc_id: Column, text: Column) -> tuple[Column, Column]:
@@ -47,6 +49,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def sifted(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows (k1, k2, ...) with a column maybe: false only where keys (k1, k2) don't hold the row's key.
+
+    Tells most rows apart where they are read, by a Bloom filter that every task gets, so that only the others have to
+    be shuffled with their texts for a join with keys, which must follow.
+    """
+    words = max(1, min(SIEVE, keys.count() // KEYS))
+    word = F.pmod(F.col("k1"), F.lit(words).cast("long")).alias("word")
+    bits = functools.reduce(lambda a, b: a.bitwiseOR(b), (F.expr(f"shiftleft(1L, cast(shiftright(k2, {6 * i}) & 63 as int))") for i in range(3)))
+    sieve = keys.select(word, bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("held"))
+    found = rows.withColumn("word", word).join(F.broadcast(sieve), "word", "left")
+    return found.select(*rows.columns, F.coalesce(F.col("held").bitwiseAND(bits) == bits, F.lit(False)).alias("maybe"))
+
+
 def _symbols(raw: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
     return (raw, offsets) if unit == "byte" else word_hashes(raw, offsets)
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _graph, _store
-from ._spans import key_of, keyed
+from ._spans import key_of, keyed, sifted
 from ._text import U, buffers, chunks, expand, grams, mix, prefix, runs, word_hashes
 
 WORDS, THRESHOLD, RUNS, SAMPLE, SMALL, DEPTH = 5, 0.8, 14, 32, 128, 3
@@ -349,7 +349,7 @@ def _joined(texts: DataFrame, words: int, threshold: float, run_count: float, sa
     # Those send their shingles there.
     wanted = needed.groupBy("node").agg(F.collect_list(F.struct("path", "tile", "block")).alias("buckets")).join(sets.select("node", "copies", "k1", "k2"), "node").join(own.drop("sketch"), "node")
     wanted = _store.save(wanted, "wanted")
-    full = texts.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select(*CARRIED, "buckets", "text")
+    full = sifted(texts.select("k1", "k2", "text"), wanted).filter("maybe").join(wanted, ["k1", "k2"]).select(*CARRIED, "buckets", "text")
     full = full.mapInArrow(functools.partial(_texts_to_sets, words=words), "path long, tile long, block int, node long, n long, copies long, paths array<long>, grp long, grouped boolean, data binary")
     full = full.repartition("path", "tile").sortWithinPartitions("path", "tile", "node")
     links = _store.save(full.mapInArrow(functools.partial(_linked, threshold=threshold), "u long, v long, links long"), "links")
@@ -399,11 +399,13 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     keys = _store.save(keys.filter("not stays or copies > 1"), "keys")
     k1, k2 = key_of(docs["doc_id"], docs["text"])
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
-    once = rows.join(keys, ["k1", "k2"], "left_anti").select("row.*")
+    rows = sifted(rows, keys)
+    some = rows.filter("maybe")
+    once = rows.filter("not maybe").union(some.join(keys, ["k1", "k2"], "left_anti")).select("row.*")
     twice = keys.filter("stays").select("k1", "k2")
     if twice.isEmpty():
         return once
-    return once.union(rows.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*"))
+    return once.union(some.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
